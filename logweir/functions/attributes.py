@@ -91,26 +91,33 @@ def search_map(entries: Column) -> Column:
     )
 
 
-def _shortest_text(number: float) -> str:
-    """Shortest decimal text: plain digits for 1e-6 <= |x| < 1e21, else d.ddde+n."""
-    if number == 0:
-        return "0"
-    sign, digits, exponent = Decimal(repr(number)).normalize().as_tuple()
-    prefix = "-" if sign else ""
-    text = "".join(map(str, digits))
-    point = len(text) + exponent
-    if 0 < point <= 21:
-        whole, fraction = text[:point].ljust(point, "0"), text[point:]
-        return prefix + whole + (f".{fraction}" if fraction else "")
-    if -6 < point <= 0:
-        return f"{prefix}0.{'0' * -point}{text}"
-    fraction = f".{text[1:]}" if len(text) > 1 else ""
-    return f"{prefix}{text[0]}{fraction}e{point - 1:+d}"
-
-
-@F.pandas_udf("array<string>")
-def _number_texts(numbers: pd.Series) -> pd.Series:
-    return numbers.map(lambda row: None if row is None else [_shortest_text(float(x)) for x in row])
+def _number_texts(numbers: Column) -> Column:
+    """Shortest decimal texts of an ARRAY<DOUBLE>.
+
+    Nested, so that executors need not have this package installed.
+    """
+
+    def shortest(number: float) -> str:
+        """Plain digits for 1e-6 <= |x| < 1e21, else d.ddde+n."""
+        if number == 0:
+            return "0"
+        sign, digits, exponent = Decimal(repr(number)).normalize().as_tuple()
+        prefix = "-" if sign else ""
+        text = "".join(map(str, digits))
+        point = len(text) + exponent
+        if 0 < point <= 21:
+            whole, fraction = text[:point].ljust(point, "0"), text[point:]
+            return prefix + whole + (f".{fraction}" if fraction else "")
+        if -6 < point <= 0:
+            return f"{prefix}0.{'0' * -point}{text}"
+        fraction = f".{text[1:]}" if len(text) > 1 else ""
+        return f"{prefix}{text[0]}{fraction}e{point - 1:+d}"
+
+    @F.pandas_udf("array<string>")
+    def texts(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda row: [shortest(float(x)) for x in row])
+
+    return texts(numbers)
 
 
 def add_search_map(logs: DataFrame) -> DataFrame:

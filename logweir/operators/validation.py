@@ -49,7 +49,9 @@ def timestamp_reason(text: Column, parsed: Column, now: Column) -> Column:
     )
 
 
-def validate_entries(entries: DataFrame, now: datetime | str | Column) -> DataFrame:
+def validate_entries(
+    entries: DataFrame, now: datetime | str | Column, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Check ``(request_seq, entry_index, entry VARIANT)``; the first failing rule names the reason.
 
     The rules run in the order timestamp, level, service, message, attributes.
@@ -59,9 +61,11 @@ def validate_entries(entries: DataFrame, now: datetime | str | Column) -> DataFr
     refused entry), ``slow_numbers`` (``attributes_search`` still needs
     :func:`logweir.functions.attributes.add_search_map`) and ``order_unsure``
     (several bad attributes: :func:`settle_attribute_order` names the first).
+    Columns named in ``keep`` are passed through.
     """
     now = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
     fields = entries.select(
+        *keep,
         "request_seq",
         "entry_index",
         "entry",
@@ -104,6 +108,7 @@ def validate_entries(entries: DataFrame, now: datetime | str | Column) -> DataFr
     accepted = F.col("reason").isNull()
     slow = F.coalesce(has_slow_numbers(F.col("attribute_entries")), F.lit(False))
     return judged.select(
+        *keep,
         "request_seq",
         "entry_index",
         "reason",

@@ -73,6 +73,15 @@ def explode_entries(parsed: DataFrame) -> DataFrame:
     )
 
 
+def explode_requests(parsed: DataFrame) -> DataFrame:
+    """Like :func:`explode_entries`, plus one row without entry per refused or empty request.
+
+    One pass then carries everything a report needs.
+    """
+    entries = F.when(F.col("error").isNull(), F.col("entries"))
+    return parsed.select("request_seq", "n_entries", "error", F.posexplode_outer(entries).alias("entry_index", "entry"))
+
+
 def request_states(parsed: DataFrame) -> DataFrame:
     """``(request_seq, n_entries, error)``: the envelope result without the entries."""
     return parsed.select("request_seq", "n_entries", "error")
