@@ -14,6 +14,28 @@ from pyspark.sql import functions as F
 
 MAX_SAFE_INTEGER = 2**53 - 1
 
+def native_texts(attributes: Column) -> Column:
+    """MAP<STRING, STRING> as Spark prints the values; NULL when ``attributes`` is no object."""
+    return F.try_variant_get(attributes, "$", "map<string,string>")
+
+
+def are_plain(attributes: Column, texts: Column) -> Column:
+    """True when all values are acceptable and ``texts`` has them right: nearly always.
+
+    Decided from the schema text and the joined values, without looping over the
+    attributes. Keys and strings may look unusual too; that costs time, never
+    correctness.
+    """
+    types = F.schema_of_variant(attributes)
+    usual_types = ~(
+        F.contains(types, F.lit("DOUBLE"))
+        | F.contains(types, F.lit("VOID"))
+        | F.contains(types, F.lit("ARRAY"))
+        | F.contains(F.substring(types, F.lit(2), F.length(types)), F.lit("OBJECT"))
+    )
+    short_decimals = ~F.contains(types, F.lit("DECIMAL")) | ~types.rlike(r"DECIMAL\((1[6-9]|[2-9][0-9])")
+    return usual_types & short_decimals & ~F.array_join(F.map_values(texts), " ").rlike(r"[0-9]{16}|0\.000000")
+
 
 def attribute_entries(attribute_map: Column) -> Column:
     """ARRAY<STRUCT<key, value VARIANT, kind>> from MAP<STRING, VARIANT>; NULL stays NULL."""
@@ -79,18 +101,6 @@ def has_slow_numbers(entries: Column) -> Column:
     return F.exists(entries, _needs_number_text)
 
 
-def search_map(entries: Column) -> Column:
-    """MAP<STRING, STRING> of attribute texts, JVM-side."""
-    return F.map_from_entries(
-        F.transform(
-            entries,
-            lambda e: F.struct(
-                e["key"].alias("key"), F.try_variant_get(e["value"], "$", "string").alias("value")
-            ),
-        )
-    )
-
-
 def _number_texts(numbers: Column) -> Column:
     """Shortest decimal texts of an ARRAY<DOUBLE>.
 

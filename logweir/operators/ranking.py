@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.operators.filters import instant
+from logweir.session import cut_lineage
 
 BLOCK = 65_536
 HOT_ROWS = 1_000_000
@@ -54,7 +55,7 @@ def assign_ids(accepted: DataFrame, first_id: int = 1) -> DataFrame:
     request has at most 5000 entries, so its window is bounded, and it reuses
     the shuffle of the join.
     """
-    counts = accepted.groupBy("request_seq").agg(F.count("*").alias("n"))
+    counts = cut_lineage(accepted.groupBy("request_seq").agg(F.count("*").alias("n")))
     offsets = exclusive_prefix_sum(counts, "request_seq", "n").select("request_seq", "before")
     inside = F.row_number().over(Window.partitionBy("request_seq").orderBy("entry_index"))
     return (
@@ -76,12 +77,13 @@ def newest_first_rank(logs: DataFrame, hot_rows: int = HOT_ROWS, block: int = BL
     millis = F.unix_millis("timestamp")
     # Negated keys: the sums run over newer rows.
     keyed = logs.withColumn("minute_key", -F.floor(millis / MINUTE_MS).cast("long"))
-    minutes = exclusive_prefix_sum(
-        keyed.groupBy("minute_key").agg(F.count("*").alias("n")), "minute_key", "n", levels=1
-    )
+    counts = cut_lineage(keyed.groupBy("minute_key").agg(F.count("*").alias("n")))
+    minutes = exclusive_prefix_sum(counts, "minute_key", "n", levels=1)
     calm = keyed.join(minutes.where(F.col("n") <= hot_rows), "minute_key")
     in_minute = Window.partitionBy("minute_key").orderBy(F.desc("timestamp"), F.desc("id"))
     calm = calm.select(*logs.columns, (F.col("before") + F.row_number().over(in_minute)).alias("rank"))
+    if counts.where(F.col("n") > hot_rows).isEmpty():
+        return calm
 
     hot_minutes = minutes.where(F.col("n") > hot_rows).select(
         "minute_key", F.col("before").alias("minute_before")
@@ -91,7 +93,7 @@ def newest_first_rank(logs: DataFrame, hot_rows: int = HOT_ROWS, block: int = BL
         .withColumn("ms_key", -millis)
         .withColumn("id_key", -F.floor(F.col("id") / block).cast("long"))
     )
-    cells = hot.groupBy("minute_key", "ms_key", "id_key").agg(F.count("*").alias("n"))
+    cells = cut_lineage(hot.groupBy("minute_key", "ms_key", "id_key").agg(F.count("*").alias("n")))
     instants = cells.groupBy("minute_key", "ms_key").agg(F.sum("n").alias("n"))
     instants = exclusive_prefix_sum(instants, "ms_key", "n", ["minute_key"], levels=0).select(
         "ms_key", F.col("before").alias("ms_before")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweir.session import cut_lineage
+
 # Fixed value: the reported percentiles.
 PERCENTILES = (50, 90, 95, 99)
 
@@ -24,7 +26,7 @@ def latency_summary(samples: DataFrame, value: str, by: str, splits: int = 256)
     # As a struct, a NULL group joins like any other.
     data = samples.select(F.struct(F.col(by).alias("by")).alias("by"), F.col(value).cast("double").alias("v"))
     cuts = F.percentile_approx("v", [i / splits for i in range(1, splits)], 10 * splits)
-    groups = data.groupBy("by").agg(F.count("v").alias("n"), cuts.alias("cuts"))
+    groups = cut_lineage(data.groupBy("by").agg(F.count("v").alias("n"), cuts.alias("cuts")))
     values = (
         data.where(F.col("v").isNotNull())
         .groupBy("by", "v")

@@ -12,9 +12,10 @@ from logweir.functions.attributes import (
     attribute_entries,
     attribute_fault,
     attribute_faults,
+    are_plain,
     has_slow_numbers,
+    native_texts,
     ordered_keys,
-    search_map,
 )
 from logweir.functions.text import is_blank
 from logweir.functions.timestamps import strict_timestamp
@@ -74,19 +75,22 @@ def validate_entries(
         _text_field("service").alias("service"),
         _text_field("message").alias("message"),
         F.try_variant_get("entry", "$.attributes", "variant").alias("attributes"),
-        F.try_variant_get("entry", "$.attributes", "map<string,variant>").alias("attribute_map"),
     )
     parsed = fields.withColumn("timestamp", strict_timestamp(F.col("timestamp_text"))).withColumn(
-        "attribute_entries", attribute_entries(F.col("attribute_map"))
+        "texts", native_texts(F.col("attributes"))
     )
-    checked = parsed.withColumn("faults", attribute_faults(F.col("attribute_entries")))
+    # Only unusual attributes are looked at one by one.
+    unusual = ~are_plain(F.col("attributes"), F.col("texts"))
+    entries_of = attribute_entries(F.try_variant_get("attributes", "$", "map<string,variant>"))
+    listed = parsed.withColumn("attribute_entries", F.when(unusual, entries_of))
+    checked = listed.withColumn("faults", attribute_faults(F.col("attribute_entries")))
 
     level = F.col("level")
     level_reason = F.when(level.isNull(), _required("level")).when(
         ~level.isin(*schema.LOG_LEVELS), F.concat(F.lit("invalid level: '"), level, F.lit("'"))
     )
     attributes_reason = F.when(
-        F.col("attributes").isNotNull() & F.col("attribute_map").isNull(),
+        F.col("attributes").isNotNull() & F.col("texts").isNull(),
         "attributes must be a flat object",
     ).otherwise(F.get("faults", F.lit(0)))
     # A field of a non-object is missing, so only rows without a timestamp can be non-objects.
@@ -115,7 +119,7 @@ def validate_entries(
         *(F.when(accepted, F.col(name)).alias(name) for name in ("timestamp", "level", "service", "message")),
         F.when(accepted, F.coalesce("attributes", F.parse_json(F.lit("{}")))).alias("attributes"),
         F.when(
-            accepted & ~slow, F.coalesce(search_map(F.col("attribute_entries")), F.create_map().cast("map<string,string>"))
+            accepted & ~slow, F.coalesce("texts", F.create_map().cast("map<string,string>"))
         ).alias("attributes_search"),
         F.when(~accepted, F.to_json("entry")).alias("raw"),
         (accepted & slow).alias("slow_numbers"),

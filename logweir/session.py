@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -20,3 +20,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str | None:
     """The folder all executors can reach, as named by the cluster, or None."""
     return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once, for a small result that is used several times.
+
+    Goes to the shared checkpoint folder, so losing an executor costs nothing.
+    Without such a folder ``df`` is computed wherever it is used.
+    """
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        return df
+    return df.checkpoint()
