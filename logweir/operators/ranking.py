@@ -16,6 +16,11 @@ SLOTS = 4_096
 MINUTE_MS = 60_000
 
 
+def _floor_div(value: Column, size: int) -> Column:
+    """Exact floor division of LONGs (a double would misplace large keys)."""
+    return F.call_function("div", value - F.pmod(value, F.lit(size)), F.lit(size))
+
+
 def _running_before(value: str, order: str, within: list[str]) -> Column:
     before = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(value).over(before), F.lit(0))
@@ -29,13 +34,13 @@ def exclusive_prefix_sum(
     Keys are unique LONGs. They are cut into blocks of ``block`` consecutive
     keys; the block totals are summed up the same way, ``levels`` times. Each
     window partition below the top holds at most ``block`` rows, and the top one
-    at most ``key range / block**levels`` (32,768 for three levels over any LONG).
+    at most ``key range / block**levels`` (32,769 for three levels over any LONG).
     """
     within = within or []
     if levels == 0:
         return counts.withColumn("before", _running_before(value, key, within))
     block_key = f"{key}_block"
-    blocked = counts.withColumn(block_key, F.floor(F.col(key) / block).cast("long"))
+    blocked = counts.withColumn(block_key, _floor_div(F.col(key), block))
     totals = blocked.groupBy(*within, block_key).agg(F.sum(value).alias(value))
     starts = exclusive_prefix_sum(totals, block_key, value, within, levels - 1, block).select(
         *within, block_key, F.col("before").alias("block_before")
@@ -48,6 +53,16 @@ def exclusive_prefix_sum(
     )
 
 
+def _levels(counts: DataFrame, key: str, block: int = BLOCK) -> int:
+    """Levels needed for the key range at hand, so that no window partition exceeds ``block`` rows."""
+    low, high = counts.agg(F.min(key), F.max(key)).first()
+    levels, keys = 0, 1 if low is None else high - low + 1
+    while keys > block:
+        keys = keys // block + 2
+        levels += 1
+    return levels
+
+
 def assign_ids(accepted: DataFrame, first_id: int = 1) -> DataFrame:
     """Consecutive ids in the order ``(request_seq, entry_index)``.
 
@@ -56,7 +71,8 @@ def assign_ids(accepted: DataFrame, first_id: int = 1) -> DataFrame:
     the shuffle of the join.
     """
     counts = cut_lineage(accepted.groupBy("request_seq").agg(F.count("*").alias("n")))
-    offsets = exclusive_prefix_sum(counts, "request_seq", "n").select("request_seq", "before")
+    levels = _levels(counts, "request_seq")
+    offsets = exclusive_prefix_sum(counts, "request_seq", "n", levels=levels).select("request_seq", "before")
     inside = F.row_number().over(Window.partitionBy("request_seq").orderBy("entry_index"))
     return (
         accepted.join(offsets, "request_seq")
@@ -76,9 +92,9 @@ def newest_first_rank(logs: DataFrame, hot_rows: int = HOT_ROWS, block: int = BL
     """
     millis = F.unix_millis("timestamp")
     # Negated keys: the sums run over newer rows.
-    keyed = logs.withColumn("minute_key", -F.floor(millis / MINUTE_MS).cast("long"))
+    keyed = logs.withColumn("minute_key", -_floor_div(millis, MINUTE_MS))
     counts = cut_lineage(keyed.groupBy("minute_key").agg(F.count("*").alias("n")))
-    minutes = exclusive_prefix_sum(counts, "minute_key", "n", levels=1)
+    minutes = exclusive_prefix_sum(counts, "minute_key", "n", levels=_levels(counts, "minute_key"))
     calm = keyed.join(minutes.where(F.col("n") <= hot_rows), "minute_key")
     in_minute = Window.partitionBy("minute_key").orderBy(F.desc("timestamp"), F.desc("id"))
     calm = calm.select(*logs.columns, (F.col("before") + F.row_number().over(in_minute)).alias("rank"))
@@ -91,7 +107,7 @@ def newest_first_rank(logs: DataFrame, hot_rows: int = HOT_ROWS, block: int = BL
     hot = (
         keyed.join(hot_minutes, "minute_key")
         .withColumn("ms_key", -millis)
-        .withColumn("id_key", -F.floor(F.col("id") / block).cast("long"))
+        .withColumn("id_key", -_floor_div(F.col("id"), block))
     )
     cells = cut_lineage(hot.groupBy("minute_key", "ms_key", "id_key").agg(F.count("*").alias("n")))
     instants = cells.groupBy("minute_key", "ms_key").agg(F.sum("n").alias("n"))
@@ -139,7 +155,7 @@ def kth_oldest(logs: DataFrame, k: int, slots: int = SLOTS, finish: int = 10_000
     def narrow(select, key: Column, lo: int, hi: int, k: int, rows: int):
         while lo < hi and rows > finish:
             width = -(-(hi - lo + 1) // slots)
-            slot = F.floor((key - lo) / width).cast("long").alias("slot")
+            slot = _floor_div(key - F.lit(lo), width).alias("slot")
             for number, rows in sorted(map(tuple, select(lo, hi).groupBy(slot).count().collect())):
                 if k <= rows:
                     break

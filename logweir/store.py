@@ -160,8 +160,11 @@ class LogStore:
         staged = self.spark.read.schema(validated.schema).parquet(staging)
         entries = staged.where(F.col("entry_index").isNotNull())
 
-        rare = staged.agg(F.bool_or("slow_numbers"), F.bool_or("order_unsure")).first()
-        slow_numbers, order_unsure = map(bool, rare)
+        slow_numbers, order_unsure, total = staged.agg(
+            F.bool_or("slow_numbers"),
+            F.bool_or("order_unsure"),
+            F.count_if(F.col("entry_index").isNotNull() & F.col("reason").isNull()),
+        ).first()
 
         accepted = accepted_rows(entries)
         accepted = add_search_map(accepted) if slow_numbers else accepted.drop("slow_numbers")
@@ -169,7 +172,6 @@ class LogStore:
         self._write_logs(accepted.select("id", *LOG_FIELDS), segment)
         written = self._read("logs", T.StructType([*schema.LOG, LOG_DATE, SEGMENT]), [segment])
         self._write_rollup(minute_counts(written), seq, segment)
-        total = self._read("rollup", ROLLUP_DELTA, [segment]).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
 
         refused = entries.where(F.col("reason").isNotNull())
         if order_unsure:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logweir import store as store_module
 from logweir.operators.rollup import minute_counts
+from logweir.params import LogQuery
 from logweir.store import LogStore
 
 
@@ -116,13 +117,11 @@ def test_page_window_widens(spark, tmp_path, monkeypatch):
     """A page is the same whatever time window it was found in."""
     store = LogStore(spark, str(tmp_path))
     ingest_three(spark, store)
-    from logweir.params import LogQuery
-
     for limit in (1, 2, 3, 6, 7):
         rows, cursor = store.fetch_page(LogQuery(limit=limit))
-        monkeypatch.setattr(store_module, "PAGE_WINDOWS", ())
-        assert (rows, cursor) == store.fetch_page(LogQuery(limit=limit))
-        monkeypatch.undo()
-        assert [row.id for row in rows] == [7, 6, 5, 4, 3, 2, 1][:limit]
-        assert (cursor is None) == (limit == 7)
+        with monkeypatch.context() as patch:
+            patch.setattr(store_module, "PAGE_WINDOWS", ())
+            whole, whole_cursor = store.fetch_page(LogQuery(limit=limit))
+        assert [row.id for row in rows] == [row.id for row in whole] == [7, 6, 5, 4, 3, 2, 1][:limit]
+        assert cursor == whole_cursor and (cursor is None) == (limit == 7)
     assert store.logs().where(F.col("log_date") == F.to_date("timestamp")).count() == 7
