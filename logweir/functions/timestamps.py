@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,3 +69,11 @@ def bucket_key(ts: Column, seconds: int) -> Column:
 def bucket_start(ts: Column, seconds: int) -> Column:
     """Start of the epoch-aligned bucket; independent of the session time zone."""
     return F.timestamp_micros(bucket_key(ts, seconds))
+
+
+def as_millis(value: datetime) -> int:
+    return int(round(value.timestamp() * 1_000))
+
+
+def from_millis(millis: int) -> datetime:
+    return datetime(1970, 1, 1, tzinfo=UTC) + timedelta(milliseconds=millis)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions.text import contains_ignore_case
+from logweir.functions.timestamps import as_millis
 from logweir.params import AggregateQuery, LogQuery, QueryCursor
 
 Query = LogQuery | AggregateQuery
@@ -17,7 +18,7 @@ Query = LogQuery | AggregateQuery
 
 def instant(value: datetime) -> Column:
     """Timestamp literal that does not depend on any time zone setting."""
-    return F.timestamp_micros(F.lit(int(round(value.timestamp() * 1_000)) * 1_000))
+    return F.timestamp_millis(F.lit(as_millis(value)))
 
 
 def time_range(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from logweir.functions.attributes import keep_scalars
+from logweir.functions.timestamps import from_millis
 from logweir.operators.filters import apply_filters
 from logweir.operators.ranking import newest_first_rank
 from logweir.params import LogQuery, QueryCursor
@@ -67,10 +68,7 @@ def fetch_page(logs: DataFrame, query: LogQuery) -> tuple[list[Row], QueryCursor
 
 
 def cursor_after(row: Row) -> QueryCursor:
-    from datetime import UTC, datetime, timedelta
-
-    instant = datetime(1970, 1, 1, tzinfo=UTC) + timedelta(milliseconds=row["timestamp_millis"])
-    return QueryCursor(instant, row["id"])
+    return QueryCursor(from_millis(row["timestamp_millis"]), row["id"])
 
 
 def page_after(logs: DataFrame, cursor: QueryCursor, limit: int) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweir.functions.timestamps import from_millis
 from logweir.operators.filters import instant
 from logweir.session import cut_lineage
 
@@ -175,7 +176,7 @@ def kth_oldest(logs: DataFrame, k: int, slots: int = SLOTS, finish: int = 10_000
         same = in_ids(first, last)
     millis = F.unix_millis("timestamp").alias("millis")
     row = same.orderBy("timestamp", "id").limit(k).orderBy(F.desc("timestamp"), F.desc("id")).select(millis, "id").first()
-    return datetime(1970, 1, 1, tzinfo=UTC) + timedelta(milliseconds=row["millis"]), row["id"]
+    return from_millis(row["millis"]), row["id"]
 
 
 def up_to(position: tuple[datetime, int]) -> Column:

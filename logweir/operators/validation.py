@@ -50,25 +50,21 @@ def timestamp_reason(text: Column, parsed: Column, now: Column) -> Column:
     )
 
 
-def validate_entries(
-    entries: DataFrame, now: datetime | str | Column, keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """Check ``(request_seq, entry_index, entry VARIANT)``; the first failing rule names the reason.
+def validate_entries(entries: DataFrame, now: datetime | str | Column) -> DataFrame:
+    """Check the ``entry VARIANT`` of each row; the first failing rule names the reason.
 
     The rules run in the order timestamp, level, service, message, attributes.
     ``now`` is an instant with a time zone, fixed for the whole batch.
 
-    Adds ``reason`` (NULL when accepted), the log fields, ``raw`` (text of a
-    refused entry), ``slow_numbers`` (``attributes_search`` still needs
+    Replaces ``entry`` by ``reason`` (NULL when accepted), the log fields, ``raw``
+    (text of a refused entry), ``slow_numbers`` (``attributes_search`` still needs
     :func:`logweir.functions.attributes.add_search_map`) and ``order_unsure``
     (several bad attributes: :func:`settle_attribute_order` names the first).
-    Columns named in ``keep`` are passed through.
     """
+    others = [name for name in entries.columns if name != "entry"]
     now = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
     fields = entries.select(
-        *keep,
-        "request_seq",
-        "entry_index",
+        *others,
         "entry",
         _text_field("timestamp").alias("timestamp_text"),
         _text_field("level").alias("level"),
@@ -112,9 +108,7 @@ def validate_entries(
     accepted = F.col("reason").isNull()
     slow = F.coalesce(has_slow_numbers(F.col("attribute_entries")), F.lit(False))
     return judged.select(
-        *keep,
-        "request_seq",
-        "entry_index",
+        *others,
         "reason",
         *(F.when(accepted, F.col(name)).alias(name) for name in ("timestamp", "level", "service", "message")),
         F.when(accepted, F.coalesce("attributes", F.parse_json(F.lit("{}")))).alias("attributes"),

@@ -212,7 +212,7 @@ SELECT request_seq, CASE WHEN kind = 'ok' AND accepted = 0 THEN 'all_rejected' E
 )
 def ingest_report(spark, sf_dir):
     parsed = raw.explode_requests(parsed_payload(spark, sf_dir))
-    validated = validation.validate_entries(parsed, logview.PAYLOAD_NOW, keep=("n_entries", "error"))
+    validated = validation.validate_entries(parsed, logview.PAYLOAD_NOW)
     report = validation.batch_report(
         validated.where(F.col("entry_index").isNull()), validated.where(F.col("entry_index").isNotNull())
     )

@@ -32,34 +32,42 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 
 def read_request_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text files with one request body per line, numbered in file order."""
-    return number_lines(spark.read.text(path).selectExpr(*LINE_COLUMNS))
+    return number_lines(place_lines(spark.read.text(path).selectExpr(*LINE_COLUMNS)))
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """``(request_seq, body)`` in order of file time, file name and line.
+def place_lines(lines: DataFrame) -> DataFrame:
+    """Add ``place``, which tells lines apart and orders those of one file split."""
+    return lines.withColumn("place", F.monotonically_increasing_id())
 
-    Takes :data:`LINE_COLUMNS`. Lines are counted per file split and the splits
-    are ordered, so no line is moved. The one window runs over the splits, a
-    list no longer than the one Spark's scan planning keeps on the driver.
+
+def number_lines(placed: DataFrame) -> DataFrame:
+    """Replace the place columns by ``request_seq``: the order of file time, file name and line.
+
+    Works on placed lines and on anything derived from them that has at least
+    one row per line. Places are consecutive in a split, so their ends give the
+    size of the split and no line is moved. The one window runs over the splits,
+    a list no longer than the one Spark's scan planning keeps on the driver.
     """
-    placed = lines.withColumn("place", F.monotonically_increasing_id())
     split = ("file_time", "file", "block")
-    splits = placed.groupBy(*split).agg(F.count("*").alias("lines"), F.min("place").alias("first_place"))
+    splits = placed.groupBy(*split).agg(F.min("place").alias("first"), F.max("place").alias("last"))
     before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select(
-        "file", "block", "first_place", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("start")
+        "file",
+        "block",
+        "first",
+        F.coalesce(F.sum(F.col("last") - F.col("first") + 1).over(before), F.lit(0)).alias("start"),
     )
-    return placed.join(starts, ["file", "block"]).select(
-        (F.col("start") + F.col("place") - F.col("first_place")).alias("request_seq"), "body"
+    numbered = placed.join(starts, ["file", "block"])
+    return numbered.withColumn("request_seq", F.col("start") + F.col("place") - F.col("first")).drop(
+        *split, "place", "start", "first"
     )
 
 
 def parse_requests(requests: DataFrame) -> DataFrame:
-    """Add ``entries ARRAY<VARIANT>`` (NULL when the body is no batch), ``n_entries`` and ``error``."""
+    """Replace ``body`` by ``entries ARRAY<VARIANT>`` (NULL when it is no batch), ``n_entries`` and ``error``."""
     entries = F.try_variant_get(F.try_parse_json("body"), "$.logs", "array<variant>")
-    parsed = requests.select("request_seq", entries.alias("entries")).withColumn(
-        "n_entries", F.when(F.col("entries").isNotNull(), F.size("entries"))
-    )
+    parsed = requests.withColumn("entries", entries).drop("body")
+    parsed = parsed.withColumn("n_entries", F.when(F.col("entries").isNotNull(), F.size("entries")))
     error = F.when(F.col("n_entries").isNull(), NOT_A_BATCH).when(
         F.col("n_entries") > schema.MAX_LOGS_PER_BATCH, TOO_LARGE
     )
@@ -72,8 +80,9 @@ def explode_requests(parsed: DataFrame) -> DataFrame:
     One pass then carries everything a report needs. (An inner explode would
     have the optimizer push a size filter below the parse, which repeats it.)
     """
+    others = [name for name in parsed.columns if name != "entries"]
     entries = F.when(F.col("error").isNull(), F.col("entries"))
-    return parsed.select("request_seq", "n_entries", "error", F.posexplode_outer(entries).alias("entry_index", "entry"))
+    return parsed.select(*others, F.posexplode_outer(entries).alias("entry_index", "entry"))
 
 
 def explode_entries(parsed: DataFrame) -> DataFrame:

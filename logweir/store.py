@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from logweir import schema
 from logweir.functions.attributes import add_search_map
+from logweir.functions.timestamps import as_millis, from_millis
 from logweir.operators.buckets import bucket_counts
 from logweir.operators.filters import instant
 from logweir.operators.listing import fetch_page
@@ -35,7 +36,7 @@ from logweir.operators.validation import (
 )
 from logweir.params import AggregateQuery, LogQuery, QueryCursor
 from logweir.session import configure
-from logweir.sources.requests import explode_requests, parse_requests
+from logweir.sources.requests import explode_requests, number_lines, parse_requests
 
 LEDGER = "segment string, seq long, first_id long, next_id long, covers array<string>"
 RETENTION = "seq long, max_id long, last_millis long, last_id long, cutoff_millis long"
@@ -45,14 +46,6 @@ LOG_DATE = T.StructField("log_date", T.DateType())
 PAGE_WINDOWS = (timedelta(hours=1), timedelta(days=1), timedelta(days=30))
 
 
-def _millis(value: datetime) -> int:
-    return int(round(value.timestamp() * 1_000))
-
-
-def _instant_of(millis: int) -> datetime:
-    return datetime(1970, 1, 1, tzinfo=UTC) + timedelta(milliseconds=millis)
-
-
 class LogStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = configure(spark)
@@ -112,23 +105,27 @@ class LogStore:
     def _logs(self, segments: list[str], deletions: list[Row]) -> DataFrame:
         logs = self._read("logs", T.StructType([*schema.LOG, LOG_DATE, SEGMENT]), segments)
         for d in deletions:
-            deleted = (F.col("id") <= d.max_id) & up_to((_instant_of(d.last_millis), d.last_id))
+            deleted = (F.col("id") <= d.max_id) & up_to((from_millis(d.last_millis), d.last_id))
             logs = logs.where(~deleted)
         return logs.drop("segment")
 
     def _deltas(self, segments: list[str], deletions: list[Row]) -> DataFrame:
         deltas = self._read("rollup", T.StructType([*ROLLUP_DELTA, SEGMENT]), segments)
         for d in deletions:
-            purged = (F.col("seq") <= d.seq) & (F.col("minute") < instant(_instant_of(d.cutoff_millis)))
+            purged = (F.col("seq") <= d.seq) & (F.col("minute") < instant(from_millis(d.cutoff_millis)))
             deltas = deltas.where(~purged)
         return deltas.select("minute", "service", "level", "count")
 
+    def _state(self) -> tuple[list[str], list[Row]]:
+        """Live segments and deletions: what a reader needs to know, read once per query."""
+        return self._live(self._ledger()), self._retention()
+
     def logs(self) -> DataFrame:
-        return self._logs(self._live(self._ledger()), self._retention())
+        return self._logs(*self._state())
 
     def rollup_deltas(self) -> DataFrame:
         """Unmerged counts; :func:`bucket_counts` sums them as they are."""
-        return self._deltas(self._live(self._ledger()), self._retention())
+        return self._deltas(*self._state())
 
     def rollup(self) -> DataFrame:
         return rollup_scan(self.rollup_deltas())
@@ -143,7 +140,7 @@ class LogStore:
     # -- ingestion ----------------------------------------------------------
 
     def ingest(self, requests: DataFrame, segment: str, now: datetime | str) -> None:
-        """Validate and append ``(request_seq, body)`` as one batch.
+        """Validate and append ``(request_seq, body)`` or placed text lines as one batch.
 
         ``segment`` names the batch and is the same when it is repeated.
         """
@@ -155,9 +152,12 @@ class LogStore:
 
         # Parsed and checked once; everything below reads this table.
         staging = self._folder("staging", segment)
-        validated = validate_entries(explode_requests(parse_requests(requests)), now, keep=("n_entries", "error"))
+        validated = validate_entries(explode_requests(parse_requests(requests)), now)
         validated.write.mode("overwrite").parquet(staging)
         staged = self.spark.read.schema(validated.schema).parquet(staging)
+        by_line = "place" in staged.columns
+        if by_line:
+            staged = number_lines(staged)
         entries = staged.where(F.col("entry_index").isNotNull())
 
         slow_numbers, order_unsure, total = staged.agg(
@@ -175,7 +175,7 @@ class LogStore:
 
         refused = entries.where(F.col("reason").isNotNull())
         if order_unsure:
-            rejects = settle_attribute_order(refused, requests)
+            rejects = settle_attribute_order(refused, number_lines(requests) if by_line else requests)
         else:
             rejects = refused.select("request_seq", "entry_index", "reason", "raw")
         rejects.write.mode("overwrite").parquet(self._folder("rejects", segment))
@@ -210,7 +210,8 @@ class LogStore:
     # -- queries ------------------------------------------------------------
 
     def bucket_counts(self, query: AggregateQuery, source: str = "auto") -> DataFrame:
-        return bucket_counts(self.logs(), self.rollup_deltas(), query, source)
+        state = self._state()
+        return bucket_counts(self._logs(*state), self._deltas(*state), query, source)
 
     def fetch_page(self, query: LogQuery) -> tuple[list[Row], QueryCursor | None]:
         """A page, read from as short a time range as fills it.
@@ -219,9 +220,10 @@ class LogStore:
         whole range; a range that holds more rows than the page holds all of the
         page, so the result is that of the whole range.
         """
-        logs = self.logs()
-        upper = self.rollup_deltas().agg(F.max(F.unix_millis("minute"))).first()[0]
-        ends = [_instant_of(upper) + timedelta(minutes=1)] if upper is not None else []
+        state = self._state()
+        logs = self._logs(*state)
+        upper = self._deltas(*state).agg(F.max(F.unix_millis("minute"))).first()[0]
+        ends = [from_millis(upper) + timedelta(minutes=1)] if upper is not None else []
         ends += [end for end in (query.until, query.cursor and query.cursor.timestamp) if end]
         for window in PAGE_WINDOWS if ends else ():
             since = min(ends) - window
@@ -248,7 +250,7 @@ class LogStore:
         # Without a last row, everything before the cutoff goes.
         last_at, last_id = plan.last or (plan.cutoff - timedelta(milliseconds=1), max_id)
         new = Row("seq", "max_id", "last_millis", "last_id", "cutoff_millis")(
-            max((row.seq for row in ledger), default=0), max_id, _millis(last_at), last_id, _millis(plan.cutoff)
+            max((row.seq for row in ledger), default=0), max_id, as_millis(last_at), last_id, as_millis(plan.cutoff)
         )
         kept = [
             r for r in records

@@ -11,7 +11,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from logweir.sources.requests import LINE_COLUMNS, number_lines
+from logweir.sources.requests import LINE_COLUMNS, place_lines
 from logweir.store import LogStore
 
 
@@ -42,7 +42,7 @@ def start_ingest_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         received = now or datetime.now(UTC)
-        store.ingest(number_lines(batch), f"{name}-{batch_id:012d}", received)
+        store.ingest(place_lines(batch), f"{name}-{batch_id:012d}", received)
 
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}

@@ -156,7 +156,7 @@ def test_ordered_keys(spark):
 
 def report(spark, *bodies):
     parsed = explode_requests(parse_requests(requests(spark, *bodies)))
-    validated = validate_entries(parsed, NOW, keep=("n_entries", "error"))
+    validated = validate_entries(parsed, NOW)
     rows = batch_report(
         validated.where("entry_index is null"), validated.where("entry_index is not null")
     ).orderBy("request_seq").collect()
