@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from datetime import datetime
 from functools import reduce
 from operator import and_
@@ -37,9 +38,19 @@ def time_range(
     return predicates
 
 
-def has_attribute(key: str, value: str) -> Column:
-    """String equality on one attribute; a missing key does not match."""
-    return F.col("attributes_search")[key] == F.lit(value)
+def attribute_column(key: str) -> str:
+    """Column that holds one attribute on its own, in tables that keep it so."""
+    return f"attr_{key}"
+
+
+def has_attribute(key: str, value: str, columns: Collection[str] = ()) -> Column:
+    """String equality on one attribute; a missing key does not match.
+
+    A column of its own is pushed down and saves reading the map.
+    """
+    own = attribute_column(key)
+    found = F.col(own) if own in columns else F.col("attributes_search")[key]
+    return found == F.lit(value)
 
 
 def before_cursor(cursor: QueryCursor, timestamp: str = "timestamp") -> Column:
@@ -48,14 +59,16 @@ def before_cursor(cursor: QueryCursor, timestamp: str = "timestamp") -> Column:
     return (ts <= at) & ((ts < at) | (F.col("id") < F.lit(cursor.id)))
 
 
-def predicates(query: Query, timestamp: str = "timestamp", date: str | None = None) -> list[Column]:
+def predicates(query: Query, timestamp: str = "timestamp", columns: Collection[str] = ()) -> list[Column]:
+    """Predicates of the present parameters; ``columns`` are those of the table."""
     found = []
+    date = "log_date" if "log_date" in columns else None
     if query.service is not None:
         found.append(F.col("service") == F.lit(query.service))
     if query.level is not None:
         found.append(F.col("level") == F.lit(query.level))
     found += time_range(query.since, query.until, timestamp, date)
-    found += [has_attribute(key, value) for key, value in query.attributes.items()]
+    found += [has_attribute(key, value, columns) for key, value in query.attributes.items()]
     if query.q is not None:
         found.append(contains_ignore_case(F.col("message"), query.q))
     cursor = getattr(query, "cursor", None)
@@ -68,6 +81,5 @@ def predicates(query: Query, timestamp: str = "timestamp", date: str | None = No
 
 def apply_filters(df: DataFrame, query: Query, timestamp: str = "timestamp") -> DataFrame:
     """All predicates of the query, AND-combined. Uses a ``log_date`` column when there is one."""
-    date = "log_date" if "log_date" in df.columns else None
-    found = predicates(query, timestamp, date)
+    found = predicates(query, timestamp, df.columns)
     return df.where(reduce(and_, found)) if found else df

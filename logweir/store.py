@@ -11,6 +11,7 @@ overwrites it; repeating a finished batch does nothing. One writer at a time.
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 from datetime import UTC, date, datetime, timedelta
 
@@ -22,7 +23,7 @@ from logweir import schema
 from logweir.functions.attributes import add_search_map
 from logweir.functions.timestamps import as_millis, from_millis
 from logweir.operators.buckets import bucket_counts
-from logweir.operators.filters import instant
+from logweir.operators.filters import attribute_column, instant
 from logweir.operators.listing import fetch_page
 from logweir.operators.ranking import assign_ids, up_to
 from logweir.operators.retention import RetentionPlan, retention_plan
@@ -38,7 +39,7 @@ from logweir.params import AggregateQuery, LogQuery, QueryCursor
 from logweir.session import configure
 from logweir.sources.requests import explode_requests, number_lines, parse_requests
 
-LEDGER = "segment string, seq long, first_id long, next_id long, covers array<string>"
+LEDGER = "segment string, seq long, first_id long, next_id long, indexed array<string>, covers array<string>"
 RETENTION = "seq long, max_id long, last_millis long, last_id long, cutoff_millis long"
 ROLLUP_DELTA = T.StructType([*schema.ROLLUP, T.StructField("seq", T.LongType())])
 SEGMENT = T.StructField("segment", T.StringType())
@@ -47,9 +48,18 @@ PAGE_WINDOWS = (timedelta(hours=1), timedelta(days=1), timedelta(days=30))
 
 
 class LogStore:
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    """A set of tables under ``root``.
+
+    ``indexed`` names attributes that are often searched: segments written from
+    now on keep each in a column of its own with a bloom filter.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, indexed: tuple[str, ...] = ()) -> None:
+        if not all(re.fullmatch("[A-Za-z0-9_]{1,128}", key) for key in indexed):
+            raise ValueError("indexed attributes need plain names")
         self.spark = configure(spark)
         self.root = root.rstrip("/")
+        self.indexed = indexed
 
     # -- files and metadata -------------------------------------------------
 
@@ -82,9 +92,10 @@ class LogStore:
     def _finished(ledger: list[Row], segment: str) -> bool:
         return any(segment == row.segment or segment in row.covers for row in ledger)
 
-    def _live(self, ledger: list[Row]) -> list[str]:
+    @staticmethod
+    def _live(ledger: list[Row]) -> list[Row]:
         covered = {name for row in ledger for name in row.covers}
-        return sorted(row.segment for row in ledger if row.segment not in covered)
+        return sorted((row for row in ledger if row.segment not in covered), key=lambda row: row.segment)
 
     def _read(self, table: str, layout: T.StructType, segments: list[str]) -> DataFrame:
         if not segments:
@@ -102,21 +113,26 @@ class LogStore:
 
     # -- tables -------------------------------------------------------------
 
-    def _logs(self, segments: list[str], deletions: list[Row]) -> DataFrame:
-        logs = self._read("logs", T.StructType([*schema.LOG, LOG_DATE, SEGMENT]), segments)
+    def _logs(self, live: list[Row], deletions: list[Row]) -> DataFrame:
+        # An attribute column can be used when every segment has it.
+        shared = set.intersection(*(set(row.indexed) for row in live)) if live else ()
+        own = [T.StructField(attribute_column(key), T.StringType()) for key in sorted(shared)]
+        layout = T.StructType([*schema.LOG, *own, LOG_DATE, SEGMENT])
+        logs = self._read("logs", layout, [row.segment for row in live])
         for d in deletions:
             deleted = (F.col("id") <= d.max_id) & up_to((from_millis(d.last_millis), d.last_id))
             logs = logs.where(~deleted)
         return logs.drop("segment")
 
-    def _deltas(self, segments: list[str], deletions: list[Row]) -> DataFrame:
+    def _deltas(self, live: list[Row], deletions: list[Row]) -> DataFrame:
+        segments = [row.segment for row in live]
         deltas = self._read("rollup", T.StructType([*ROLLUP_DELTA, SEGMENT]), segments)
         for d in deletions:
             purged = (F.col("seq") <= d.seq) & (F.col("minute") < instant(from_millis(d.cutoff_millis)))
             deltas = deltas.where(~purged)
         return deltas.select("minute", "service", "level", "count")
 
-    def _state(self) -> tuple[list[str], list[Row]]:
+    def _state(self) -> tuple[list[Row], list[Row]]:
         """Live segments and deletions: what a reader needs to know, read once per query."""
         return self._live(self._ledger()), self._retention()
 
@@ -131,10 +147,11 @@ class LogStore:
         return rollup_scan(self.rollup_deltas())
 
     def rejects(self) -> DataFrame:
-        return self._read("rejects", T.StructType([*schema.REJECT, SEGMENT]), self._live(self._ledger()))
+        segments = [row.segment for row in self._live(self._ledger())]
+        return self._read("rejects", T.StructType([*schema.REJECT, SEGMENT]), segments)
 
     def reports(self, segment: str | None = None) -> DataFrame:
-        segments = [segment] if segment else self._live(self._ledger())
+        segments = [segment] if segment else [row.segment for row in self._live(self._ledger())]
         return self._read("reports", T.StructType([*schema.REPORT, SEGMENT]), segments)
 
     # -- ingestion ----------------------------------------------------------
@@ -188,19 +205,26 @@ class LogStore:
         states = staged.where(F.col("entry_index").isNull()).select("request_seq", "n_entries", "error")
         batch_report(states, outcomes).write.mode("overwrite").parquet(self._folder("reports", segment))
 
-        self._put([(seq, first_id, first_id + total, [])], LEDGER.split(",", 1)[1], self._folder("ledger", segment))
+        self._enter(segment, seq, first_id, first_id + total, [])
         self._drop(staging)
 
+    def _enter(self, segment: str, seq: int, first_id: int, next_id: int, covers: list[str]) -> None:
+        row = (seq, first_id, next_id, list(self.indexed), covers)
+        self._put([row], LEDGER.split(",", 1)[1], self._folder("ledger", segment))
+
     def _write_logs(self, logs: DataFrame, segment: str) -> None:
         """One day per file, sorted for row-group skipping; a hot day is split over several tasks."""
-        dated = logs.withColumn("log_date", F.to_date("timestamp"))
-        (
+        own = {attribute_column(key): F.col("attributes_search")[key] for key in self.indexed}
+        dated = logs.withColumns({**own, "log_date": F.to_date("timestamp")})
+        writer = (
             dated.hint("rebalance", "log_date")
             .sortWithinPartitions("log_date", "timestamp", "id")
             .write.mode("overwrite")
             .partitionBy("log_date")
-            .parquet(self._folder("logs", segment))
         )
+        for name in own:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+        writer.parquet(self._folder("logs", segment))
 
     def _write_rollup(self, counts: DataFrame, seq: int, segment: str) -> None:
         counts.withColumn("seq", F.lit(seq).cast("long")).write.mode("overwrite").parquet(
@@ -259,7 +283,7 @@ class LogStore:
         version = self._next_version()
         self._put([tuple(r)[:5] for r in [*kept, new]], RETENTION, f"{self.root}/retention/version={version}")
         self._drop(f"{self.root}/retention/version={version - 1}")
-        self._drop_days_before(last_at.astimezone(UTC).date(), live)
+        self._drop_days_before(last_at.astimezone(UTC).date(), [row.segment for row in live])
         return plan
 
     def _next_version(self) -> int:
@@ -284,18 +308,17 @@ class LogStore:
         if self._finished(ledger, segment):
             return
         live, records = self._live(ledger), self._retention()
-        old = live if segments is None else [name for name in live if name in set(segments)]
-        if not old:
+        merged = [row for row in live if segments is None or row.segment in segments]
+        if not merged:
             return
+        old = [row.segment for row in merged]
         seq = max(row.seq for row in ledger) + 1
-        merged = [row for row in ledger if row.segment in old]
-        self._write_logs(self._logs(old, records).drop("log_date"), segment)
-        self._write_rollup(rollup_scan(self._deltas(old, records)), seq, segment)
+        self._write_logs(self._logs(merged, records).select("id", *LOG_FIELDS), segment)
+        self._write_rollup(rollup_scan(self._deltas(merged, records)), seq, segment)
         for table, layout in (("rejects", schema.REJECT), ("reports", schema.REPORT)):
             self._read(table, layout, old).write.mode("overwrite").parquet(self._folder(table, segment))
-        span = min(row.first_id for row in merged), max(row.next_id for row in merged)
         covers = sorted({*old, *(name for row in merged for name in row.covers)})
-        self._put([(seq, *span, covers)], LEDGER.split(",", 1)[1], self._folder("ledger", segment))
+        self._enter(segment, seq, min(row.first_id for row in merged), max(row.next_id for row in merged), covers)
         for name in old:
             for table in ("logs", "rollup", "rejects", "reports", "ledger"):
                 self._drop(self._folder(table, name))

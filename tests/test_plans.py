@@ -18,7 +18,7 @@ def plan(frame):
 
 @pytest.fixture(scope="module")
 def store(spark, tmp_path_factory):
-    store = LogStore(spark, str(tmp_path_factory.mktemp("plans")))
+    store = LogStore(spark, str(tmp_path_factory.mktemp("plans")), indexed=("user_id",))
     store.ingest(requests(spark, body(*golden())), "golden", GOLDEN_NOW)
     return store
 
@@ -31,6 +31,15 @@ def test_time_range_prunes_days_and_is_pushed_down(store):
     assert "GreaterThanOrEqual(timestamp" in pushed and "LessThan(timestamp" in pushed and "EqualTo(service,s)" in pushed
 
 
+def test_indexed_attribute_is_pushed_down_without_the_map(store):
+    query = AggregateQuery(
+        since="2006-07-20T14:00:00Z", until="2006-07-20T15:00:00Z", bucket="5m", attributes={"user_id": "42"}
+    )
+    text = plan(store.bucket_counts(query))
+    assert "EqualTo(attr_user_id,42)" in text.split("PushedFilters: [")[1].split("]")[0]
+    assert "attributes" not in text.split("ReadSchema: struct<")[1].split(">")[0]
+
+
 def test_cursor_is_pushed_down(store):
     text = plan(apply_filters(store.logs(), LogQuery(cursor=QueryCursor.parse("2006-07-20T14:00:00Z,5"))))
     pushed = text.split("PushedFilters: [")[1].split("]")[0]

@@ -125,3 +125,19 @@ def test_page_window_widens(spark, tmp_path, monkeypatch):
         assert [row.id for row in rows] == [row.id for row in whole] == [7, 6, 5, 4, 3, 2, 1][:limit]
         assert cursor == whole_cursor and (cursor is None) == (limit == 7)
     assert store.logs().where(F.col("log_date") == F.to_date("timestamp")).count() == 7
+
+
+def test_indexed_attributes(spark, tmp_path):
+    logs = golden()
+    LogStore(spark, str(tmp_path)).ingest(requests(spark, body(*logs[:3])), "b1", GOLDEN_NOW)
+    store = LogStore(spark, str(tmp_path), indexed=("user_id", "success"))
+    store.ingest(requests(spark, body(*logs[3:])), "b2", GOLDEN_NOW)
+    query = LogQuery(attributes={"user_id": "42", "success": "false", "retries": "3"})
+    # One segment has no such columns: the map decides everywhere.
+    assert "attr_user_id" not in store.logs().columns
+    assert [row.id for row in store.fetch_page(query)[0]] == [5, 4, 1]
+    store.compact("c1")
+    assert {"attr_user_id", "attr_success"} <= set(store.logs().columns)
+    assert [row.id for row in store.fetch_page(query)[0]] == [5, 4, 1]
+    with pytest.raises(ValueError):
+        LogStore(spark, str(tmp_path), indexed=("a.b",))
