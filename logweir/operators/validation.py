@@ -19,6 +19,7 @@ from logweir.functions.attributes import (
 )
 from logweir.functions.text import is_blank
 from logweir.functions.timestamps import strict_timestamp
+from logweir.session import compute_once
 from logweir.sources.requests import EMPTY_BATCH
 
 NOT_AN_OBJECT = "log entry must be an object"
@@ -102,22 +103,28 @@ def validate_entries(entries: DataFrame, now: datetime | str | Column) -> DataFr
         _text_reason("service"),
         _text_reason("message"),
     )
-    judged = checked.withColumn("other_reason", other_reason).withColumn(
-        "reason", F.coalesce("other_reason", attributes_reason)
+    reason = F.coalesce("other_reason", attributes_reason)
+    slow = F.coalesce(has_slow_numbers(F.col("attribute_entries")), F.lit(False))
+    several = F.coalesce(F.size("faults"), F.lit(0)) > 1
+    judged = checked.withColumn("other_reason", other_reason).select(
+        "*",
+        compute_once(
+            reason=reason,
+            slow_numbers=reason.isNull() & slow,
+            order_unsure=F.col("other_reason").isNull() & several,
+        ),
     )
     accepted = F.col("reason").isNull()
-    slow = F.coalesce(has_slow_numbers(F.col("attribute_entries")), F.lit(False))
+    texts = F.coalesce("texts", F.create_map().cast("map<string,string>"))
     return judged.select(
         *others,
         "reason",
         *(F.when(accepted, F.col(name)).alias(name) for name in ("timestamp", "level", "service", "message")),
         F.when(accepted, F.coalesce("attributes", F.parse_json(F.lit("{}")))).alias("attributes"),
-        F.when(
-            accepted & ~slow, F.coalesce("texts", F.create_map().cast("map<string,string>"))
-        ).alias("attributes_search"),
+        F.when(accepted & ~F.col("slow_numbers"), texts).alias("attributes_search"),
         F.when(~accepted, F.to_json("entry")).alias("raw"),
-        (accepted & slow).alias("slow_numbers"),
-        (F.col("other_reason").isNull() & (F.coalesce(F.size("faults"), F.lit(0)) > 1)).alias("order_unsure"),
+        "slow_numbers",
+        "order_unsure",
     )
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -22,6 +23,16 @@ def shared_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
+def compute_once(**columns: Column) -> Column:
+    """Generator for ``select``: the given columns, safe to filter on.
+
+    The optimizer pushes a filter through a projection by repeating the
+    expressions in it, which is costly when they parse or validate. It does not
+    look through a generator, here one of a single row.
+    """
+    return F.inline(F.array(F.struct(*(column.alias(name) for name, column in columns.items()))))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, for a small result that is used several times.
 

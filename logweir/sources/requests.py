@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweir import schema
+from logweir.session import compute_once
 
 NOT_A_BATCH = "request body must be an object with a logs array"
 TOO_LARGE = f"logs batch exceeds maximum of {schema.MAX_LOGS_PER_BATCH}"
@@ -66,7 +67,8 @@ def number_lines(placed: DataFrame) -> DataFrame:
 def parse_requests(requests: DataFrame) -> DataFrame:
     """Replace ``body`` by ``entries ARRAY<VARIANT>`` (NULL when it is no batch), ``n_entries`` and ``error``."""
     entries = F.try_variant_get(F.try_parse_json("body"), "$.logs", "array<variant>")
-    parsed = requests.withColumn("entries", entries).drop("body")
+    others = [name for name in requests.columns if name != "body"]
+    parsed = requests.select(*others, compute_once(entries=entries))
     parsed = parsed.withColumn("n_entries", F.when(F.col("entries").isNotNull(), F.size("entries")))
     error = F.when(F.col("n_entries").isNull(), NOT_A_BATCH).when(
         F.col("n_entries") > schema.MAX_LOGS_PER_BATCH, TOO_LARGE

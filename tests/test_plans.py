@@ -6,7 +6,9 @@ from cases import GOLDEN_NOW, body, golden, requests
 import __spark_entry__ as entry_points
 from logweir.operators.filters import apply_filters
 from logweir.operators.listing import list_logs
+from logweir.operators.validation import accepted_rows, rejected_rows, validate_entries
 from logweir.params import AggregateQuery, LogQuery, QueryCursor
+from logweir.sources.requests import explode_entries, parse_requests
 from logweir.store import LogStore
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -59,6 +61,14 @@ def test_bucket_count_reads_few_columns_and_combines_early(store):
     assert schema == "timestamp:timestamp,level:string"
 
 
+def test_filters_do_not_repeat_the_parse(spark):
+    parsed = parse_requests(requests(spark, body(*golden())))
+    validated = validate_entries(explode_entries(parsed.where("error is null")), GOLDEN_NOW)
+    for frame in (accepted_rows(validated), rejected_rows(validated)):
+        text = plan(frame)
+        assert text.count("parseJson(") <= 1 and text.count("RLIKE(timestamp_text") <= 1
+
+
 @pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - {"normalize_attributes"}))
 def test_no_python_and_no_cross_join(spark, name):
     text = plan(entry_points.queries()[name](spark, SF_DIR))
