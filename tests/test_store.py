@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from cases import BASE, GOLDEN_NOW, body, entry, golden, requests
+from cases import GOLDEN_NOW, body, entry, golden, requests
 from pyspark.sql import functions as F
 
 from logweir import store as store_module
