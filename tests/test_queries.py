@@ -4,6 +4,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry_points
+from logweir.plans.registry import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -14,12 +15,13 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.keys() <= entry_points.queries().keys() and ORACLES.items() <= entry_points.oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
-    query, sql = entry_points.queries()[name], entry_points.oracle_sql()[name]
+    query, sql = QUERIES[name], ORACLES[name]
     assert oracle.difference(spark, db, SF_DIR, query, sql) is None
 
 
