@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logweir.llm.common import Scratch, documents
 from logweir.llm.exact_dedup import drop_copies
 from logweir.llm.mixing import mixed_documents
+from logweir.llm.near_dedup import drop_near_duplicates
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,12 +15,17 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    return drop_near_duplicates(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: rows as often as it takes them, one document per shard cut short."""
     return mixed_documents(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mixing", mixing)]
+STAGES = [("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing)]
 
 #: The stages learn and tokenize, which SQL cannot express.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ the branches that differ show where two texts do.
 
 A fingerprint is text: ``root/section=paragraph=piece,piece;paragraph=...|section=...``
 with 64 hex digits of SHA-256 for the root, 16 of MD5 for sections and
-paragraphs and 8 for pieces. It grows with its text, about one byte in seven.
+paragraphs and 8 for pieces. It grows with its text, about a third of its size.
 """
 
 from __future__ import annotations

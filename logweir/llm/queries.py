@@ -10,10 +10,15 @@ from logweir.llm.common import documents
 from logweir.llm.exact_dedup import find_copies
 from logweir.llm.fingerprints import fingerprint_documents
 from logweir.llm.mixing import mix
+from logweir.llm.near_dedup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_copies(documents(spark, sf_dir))
 
@@ -27,6 +32,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    query.__name__: query for query in (op3_exact_dedup, op7_mixing, op10_fingerprints)
+    query.__name__: query for query in (op1_near_dedup, op3_exact_dedup, op7_mixing, op10_fingerprints)
 }
 ORACLES: dict[str, str] = {}
