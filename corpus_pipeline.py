@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from logweir.llm.bpe import decode, encode
 from logweir.llm.common import Scratch, documents
 from logweir.llm.exact_dedup import drop_copies
 from logweir.llm.mixing import mixed_documents
@@ -25,7 +27,14 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing)]
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids; the text is the one decoded from these."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = decode(encode(docs, vocabulary), vocabulary)
+    return decoded.drop("text").withColumnRenamed("decoded", "text").select(*docs.columns, "ids")
+
+
+STAGES = [("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("bpe", bpe)]
 
 #: The stages learn and tokenize, which SQL cannot express.
 ORACLE_SQL = None

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from logweir.llm.bpe import token_digests
 from logweir.llm.common import documents
 from logweir.llm.exact_dedup import find_copies
 from logweir.llm.fingerprints import fingerprint_documents
 from logweir.llm.mixing import mix
 from logweir.llm.near_dedup import near_duplicates
+from logweir.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +26,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_copies(documents(spark, sf_dir))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
@@ -32,6 +44,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    query.__name__: query for query in (op1_near_dedup, op3_exact_dedup, op7_mixing, op10_fingerprints)
+    query.__name__: query for query in (op1_near_dedup, op3_exact_dedup, op4_bpe, op6_token_counts, op7_mixing, op10_fingerprints)
 }
 ORACLES: dict[str, str] = {}
