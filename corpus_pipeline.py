@@ -10,6 +10,12 @@ from logweir.llm.common import Scratch, documents
 from logweir.llm.exact_dedup import drop_copies
 from logweir.llm.mixing import mixed_documents
 from logweir.llm.near_dedup import drop_near_duplicates
+from logweir.llm.toxicity import drop_toxic, learn_from
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that a lexicon learned from ``labels`` does not predict toxic."""
+    return drop_toxic(docs, learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +40,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decoded.drop("text").withColumnRenamed("decoded", "text").select(*docs.columns, "ids")
 
 
-STAGES = [("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("bpe", bpe)]
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("bpe", bpe)]
 
 #: The stages learn and tokenize, which SQL cannot express.
 ORACLE_SQL = None

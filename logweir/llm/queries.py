@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from logweir.llm import quality, toxicity
 from logweir.llm.bpe import token_digests
 from logweir.llm.common import documents
 from logweir.llm.exact_dedup import find_copies
@@ -22,6 +24,12 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    lexicon = toxicity.learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _scored(toxicity.score_toxicity(docs, lexicon))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_copies(documents(spark, sf_dir))
 
@@ -30,6 +38,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _scored(quality.score_quality(docs, model))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -43,7 +57,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
+def _scored(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", toxicity.held_out().alias("held_out"), F.col("score"), F.col("predicted"))
+
+
 QUERIES: dict[str, Query] = {
-    query.__name__: query for query in (op1_near_dedup, op3_exact_dedup, op4_bpe, op6_token_counts, op7_mixing, op10_fingerprints)
+    query.__name__: query for query in (
+        op1_near_dedup, op2_toxicity, op3_exact_dedup, op4_bpe, op5_quality, op6_token_counts, op7_mixing, op10_fingerprints,
+    )
 }
 ORACLES: dict[str, str] = {}
