@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import quality, toxicity
+from logweir.llm import chat_view, quality, toxicity
 from logweir.llm.bpe import token_digests
+from logweir.llm.chat_format import format_chat
 from logweir.llm.common import documents
 from logweir.llm.exact_dedup import find_copies
 from logweir.llm.fingerprints import fingerprint_documents
+from logweir.llm.html_text import extract_main_text
 from logweir.llm.mixing import mix
 from logweir.llm.near_dedup import near_duplicates
 from logweir.llm.token_counts import count_tokens
@@ -53,6 +55,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = chat_view.messages(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return format_chat(messages, chat_view.parameters(spark))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
@@ -63,7 +74,8 @@ def _scored(rows: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     query.__name__: query for query in (
-        op1_near_dedup, op2_toxicity, op3_exact_dedup, op4_bpe, op5_quality, op6_token_counts, op7_mixing, op10_fingerprints,
+        op1_near_dedup, op2_toxicity, op3_exact_dedup, op4_bpe, op5_quality, op6_token_counts, op7_mixing,
+        op8_html_text, op9_chat_format, op10_fingerprints,
     )
 }
 ORACLES: dict[str, str] = {}
