@@ -57,8 +57,8 @@ def place_nodes(nodes: DataFrame, needs: DataFrame) -> DataFrame:
         if raised.isEmpty():
             break
         joined = now.join(raised, KEY, "left")
-        place = F.greatest(F.struct("at", "depth"), F.col("place"))
-        moved = joined.select(*KEY, "turn", place.alias("place"), "cyclic")
+        place, cyclic = F.greatest(F.struct("at", "depth"), F.col("place")), F.col("cyclic") | F.coalesce("behind_cycle", F.lit(False))
+        moved = joined.select(*KEY, "turn", place.alias("place"), cyclic.alias("cyclic"))
         moved = moved.select(*KEY, "turn", F.col("place.at").alias("at"), F.col("place.depth").alias("depth"), "cyclic")
         limits = moved.where("depth > 0").groupBy("conv_id").agg(F.count("*").alias("late"))
         circling = moved.where("depth > 0").join(limits, "conv_id").where("depth > late").select(*KEY, F.lit(True).alias("found"))
@@ -70,12 +70,13 @@ def place_nodes(nodes: DataFrame, needs: DataFrame) -> DataFrame:
 
 
 def _raised(now: DataFrame, needs: DataFrame) -> DataFrame:
-    """The nodes that don't come behind all they need, with the place where they do; none that are cyclic."""
-    needed = now.where("not cyclic").select("conv_id", F.col("node_id").alias("needed_id"), F.struct(F.col("at"), (F.col("depth") + 1).alias("depth")).alias("place"))
-    least = needs.join(needed, ["conv_id", "needed_id"]).groupBy(*KEY).agg(F.max("place").alias("place"))
+    """The nodes that don't come behind all they need, with the place where they do, and those that need a cyclic one."""
+    place = F.when(~F.col("cyclic"), F.struct(F.col("at"), (F.col("depth") + 1).alias("depth")))
+    needed = now.select("conv_id", F.col("node_id").alias("needed_id"), place.alias("place"), F.col("cyclic").alias("behind_cycle"))
+    least = needs.join(needed, ["conv_id", "needed_id"]).groupBy(*KEY).agg(F.max("place").alias("place"), F.max("behind_cycle").alias("behind_cycle"))
     own = now.where("not cyclic").select(*KEY, F.struct("at", "depth").alias("own"))
     behind = (F.col("own.at") > F.col("place.at")) | (F.col("own.at") == F.col("place.at")) & (F.col("own.depth") >= F.col("place.depth"))
-    return least.join(own, KEY).where(~behind).select(*KEY, "place")
+    return least.join(own, KEY).where(F.col("behind_cycle") | ~behind).select(*KEY, "place", "behind_cycle")
 
 
 def kind_of(value: Column) -> Column:
@@ -95,7 +96,8 @@ def validate_arguments(calls: DataFrame, parameters: DataFrame) -> DataFrame:
     parameter, kind, required``. A fault is ``no object``, ``unknown tool``, or
     ``missing``, ``unknown`` or ``type`` with the parameter's name. An integer is a number as well.
     """
-    own = calls.select("conv_id", "call_id", "tool", F.from_json("arguments", "map<string,variant>").alias("given"), F.try_parse_json("arguments").alias("whole"))
+    own = calls.select("conv_id", "call_id", "tool", F.try_parse_json("arguments").alias("whole"))
+    own = own.withColumn("given", F.from_json(F.to_json("whole"), "map<string,variant>"))
     is_object = F.coalesce(F.schema_of_variant("whole").startswith("OBJECT"), F.lit(False))
     known = own.where(is_object)
     given = known.select("conv_id", "call_id", "tool", F.explode("given").alias("parameter", "value"))
@@ -115,7 +117,7 @@ def validate_arguments(calls: DataFrame, parameters: DataFrame) -> DataFrame:
 
 
 def canonical(json: Column) -> Column:
-    """JSON text in canonical form; null if it is none. Of repeated keys the last counts."""
+    """JSON text in canonical form; null if it is none. Of repeated keys the last counts if the session allows them."""
     return F.to_json(F.try_parse_json(json))
 
 

@@ -1,0 +1,110 @@
+"""Toxicity and quality: the parts, and held-out accuracy on the test tables."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from logweir.llm import queries, quality, toxicity
+from logweir.llm.toxicity import Lexicon, fold, score_toxicity
+
+SF_DIR = "/root/testdata/sf0.1"
+
+
+@pytest.mark.parametrize("text", ["idiot", "IDIOT", "1d10t", "іdіоt", "ｉｄｉｏｔ", "ïdíòt", "i​diot", "id!ot", "1D!0T"])
+def test_folding(text):
+    assert fold(text) == fold("idiot")
+
+
+def test_folding_leaves_numbers_and_signs():
+    assert fold("in 1984, $5 (a) w0rd!! x*** 100%") == "in 1984, $5 (a) word!! x*** 100%"
+
+
+def test_lexicon_matches():
+    own = Lexicon({"^idiot$": 3.0, "^stup": 2.0, "^stupend$": 0.5}, ["village idiot"])
+    weights = lambda text: [w for _, _, w in own.matched(fold(text))]
+    assert weights("an idiot!! 1d10t idiots cidiot") == [3.0, 3.0]
+    assert weights("stupid stupend ustup") == [2.0, 0.5]
+    assert weights("the village idiot, an idiot") == [3.0] and weights("") == [] and Lexicon().matched("x") == []
+    # Longer texts weigh the same matches less.
+    assert own.density("idiot " + "word " * 5_000) < own.density("idiot " + "word " * 100) <= own.density("idiot")
+
+
+def test_exceptions_and_stems_are_learned(spark):
+    rng = random.Random(2)
+    plain = lambda: [rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(20)]
+    rows = []
+    for k in range(600):
+        words = plain()
+        toxic = k % 3 == 0
+        if toxic:
+            words.insert(rng.randrange(20), rng.choice(["grobiax", "grobiay", "grobiazz", "snoot"]))
+        elif k % 3 == 1:
+            words[5:5] = ["calm", "snoot"] if k % 30 == 1 else []
+        rows.append((k, " ".join(words), int(toxic)))
+    # Copies of one toxic text don't make its words toxic.
+    rows += [(1_000 + k, "qqqqq rrrrr grobiax sssss", 1) for k in range(60)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    assert {"^grob", "^grobi", "^grobia"} & set(lexicon.weights)
+    assert not {"^qqqqq$", "^rrrrr$", "^sssss$"} & set(lexicon.weights)
+    assert "^snoot$" not in lexicon.weights or "caim snoot" in lexicon.exceptions
+
+
+def test_toxicity_edges(table):
+    docs = table([(1, None), (2, ""), (3, "idiot"), (None, "idiot"), (4, "word " * 50_000), (3, "idiot")])
+    found = score_toxicity(docs, Lexicon({"^idiot$": 9.0}, [], 1.0, -3.0))
+    assert found.columns == [*docs.columns, "density", "score", "predicted"]
+    assert sorted((row.doc_id or 0, row.predicted) for row in found.collect()) == [(0, 1), (1, 0), (2, 0), (3, 1), (3, 1), (4, 0)]
+    kept = toxicity.drop_toxic(docs, Lexicon({"^idiot$": 9.0}, [], 1.0, -3.0))
+    assert kept.columns == docs.columns and sorted(row.doc_id for row in kept.collect()) == [1, 2, 4]
+    assert score_toxicity(docs.limit(0), Lexicon()).count() == 0
+
+
+def held_out_pairs(spark, query, label):
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").select("doc_id", F.col(label).alias("label"))
+    scored = query(spark, SF_DIR)
+    assert scored.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+    rows = scored.where("held_out").join(labels, "doc_id").collect()
+    assert all(0 <= row.score <= 1 for row in rows)
+    return np.array([row.label for row in rows]), np.array([row.score for row in rows]), np.array([row.predicted for row in rows])
+
+
+def auc(labels, scores):
+    ones, zeros = scores[labels == 1], scores[labels == 0]
+    return ((ones[:, None] > zeros).mean() + (ones[:, None] == zeros).mean() / 2)
+
+
+def test_toxicity_on_held_out_documents(spark):
+    labels, scores, predicted = held_out_pairs(spark, queries.op2_toxicity, "toxic")
+    assert (predicted == (scores >= 0.5)).all()
+    # A few labels of this table are wrong both ways.
+    assert (predicted == labels).mean() > 0.97 and auc(labels, scores) > 0.93
+
+
+def test_quality_on_held_out_documents(spark):
+    labels, scores, predicted = held_out_pairs(spark, queries.op5_quality, "quality")
+    assert (predicted == (scores >= 0.3)).all()
+    assert (predicted == labels).mean() > 0.98 and auc(labels, scores) > 0.99
+
+
+def test_quality_edges(table, spark):
+    docs = table([(k, "good plain text here" if k % 2 else "BAD!! BAD!! BAD!!") for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    model = quality.learn_from(docs, labels)
+    odd = table([(1, None), (2, ""), (3, "plain good text"), (None, "BAD!!"), (4, "x " * 100_000), (3, "plain good text")])
+    found = quality.score_quality(odd, model).collect()
+    assert len(found) == 6 and all(0 <= row.score <= 1 for row in found)
+    assert quality.score_quality(odd.limit(0), model).count() == 0
+    blank = quality.learn_from(docs, labels.limit(0))
+    assert {row.score for row in quality.score_quality(odd, blank).collect()} == {0.5}
+    again = quality.learn_from(docs.repartition(5), labels.repartition(2))
+    assert again.constant == model.constant and (again.numbers == model.numbers).all()
+
+
+def test_features_by_hand():
+    data = np.frombuffer(b"ab ab cd", np.uint8)
+    found, offsets = quality.features(data, np.array([0, 5, 5, 8]))
+    # Two words, one pair and runs of 3 and 5 bytes; nothing; one word alone (no pair across texts) and one run.
+    assert np.diff(offsets).tolist() == [2 + 1 + 3 + 1, 0, 1 + 0 + 1 + 0]
+    assert found[0] == found[1]

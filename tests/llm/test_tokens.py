@@ -1,0 +1,105 @@
+"""BPE ids, texts and token counts against the tokenizer libraries."""
+
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from logweir.llm import bpe, token_counts
+from logweir.llm.transducer import LONGEST, Transducer, compile_transducer, mapped
+
+BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+POOL = "ab cd  \n\t'sé日本１²Ⅷ½ .!?-_<|endoftext|>  \x1c\x85​🙂𝟘́ßЖ▁"
+
+
+def odd_texts():
+    rng = random.Random(3)
+    found = ["".join(rng.choice(POOL) for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    found += [chr(rng.randrange(0x20, 0x3000)) * 3 + " " + chr(rng.randrange(0x20, 0x3000)) + "x" for _ in range(3_000)]
+    found += ["", "<|endoftext|>", "a<|endoftext|> b", " ", " a", "a ", "a  ", "it's they'll  I'd", "x" * 100_000 + " y", "<s> </s> <unk>"]
+    return found
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    return [row.text for row in docs.select("text").collect()] + odd_texts()
+
+
+def test_transducer():
+    rng = random.Random(1)
+    words = {bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 9))): tuple(rng.randrange(99) for _ in range(rng.randint(0, 4))) for _ in range(3_000)}
+    lexicon = Transducer(mapped(compile_transducer(words)))
+    asked = sorted(words) + [b"abcd", b"x", b"a" * (LONGEST + 5), "é".encode()]
+    ranks = lexicon.ranks(asked)
+    assert ranks.tolist() == list(range(len(words))) + [-1] * 4
+    ids, lengths = lexicon.entries(ranks[ranks >= 0])
+    assert ids.tolist() == [i for word in sorted(words) for i in words[word]] and lengths.tolist() == [len(words[w]) for w in sorted(words)]
+    # Shared suffixes: far fewer states than there are prefixes.
+    assert len(lexicon.finals) < len({word[:k] for word in words for k in range(10)}) / 3
+    assert Transducer(compile_transducer({})).ranks([b"", b"a"]).tolist() == [-1, -1]
+
+
+@pytest.mark.parametrize("known", [0, 500, 20_000])
+def test_encode_and_decode(texts, known):
+    with open(BYTE_BPE, encoding="utf-8") as file:
+        vocabulary = bpe.Vocabulary(file.read())
+    words = sorted({word.encode() for text in texts for word in bpe._splitter()[0].findall(text)})
+    lexicon = compile_transducer({word: vocabulary.merge(word) for word in words[::3][:known] if len(word) <= LONGEST})
+    ids, offsets = bpe.Encoder(vocabulary, Transducer(lexicon)).encode(texts)
+    library = Tokenizer.from_file(BYTE_BPE)
+    exact = [found.ids for found in library.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == exact
+    assert bpe.Decoder(vocabulary).decode(ids, offsets) == [library.decode(own, skip_special_tokens=False) for own in exact]
+
+
+def test_bytes_that_are_no_text():
+    with open(BYTE_BPE, encoding="utf-8") as file:
+        vocabulary = bpe.Vocabulary(file.read())
+    half = vocabulary.merge("é".encode()[:1])
+    assert bpe.Decoder(vocabulary).decode(np.array(half), np.array([0, 1])) == ["�"]
+
+
+def test_bpe_of_a_table(table, texts):
+    rows = [*enumerate(texts[:300]), (900, None), (901, ""), (901, ""), (None, "a b")]
+    docs = table(rows)
+    encoded = bpe.encode(docs, BYTE_BPE)
+    assert encoded.columns == [*docs.columns, "ids"]
+    library = Tokenizer.from_file(BYTE_BPE)
+    back = bpe.decode(encoded, BYTE_BPE)
+    for row in back.collect():
+        assert row.ids == library.encode(row.text or "", add_special_tokens=False).ids and row.decoded == (row.text or "")
+    assert bpe.encode(docs.limit(0), BYTE_BPE).count() == 0 and bpe.token_digests(docs.limit(0), BYTE_BPE).count() == 0
+    digests = {row.doc_id: row.n_tokens for row in bpe.token_digests(docs, BYTE_BPE).collect()}
+    assert digests == {row.doc_id: len(row.ids) for row in encoded.collect()}
+
+
+def test_frequent_words(table):
+    docs = table([(i, "the the of a b c") for i in range(5)] + [(9, "once " + "y" * 100), (10, None)])
+    assert set(bpe.frequent_words(docs, 2)) <= {" the"}
+    assert set(bpe.frequent_words(docs, 100)) == {" the", " of", " a", " b", " c", " once"}
+
+
+def test_counts(texts):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    spaced = [f"{' ' * k}{text}{' ' * (k % 2)}" for k, text in enumerate(texts[:200])] + ["a  b " * 40_000, " ".join(["word"] * 50_000)]
+    for some in (texts, spaced):
+        assert token_counts.lengths(some, library).tolist() == list(map(len, library.encode(some)))
+
+
+def test_safe_parts():
+    assert token_counts.safe_parts("a b") == ["a", "b"] and token_counts.safe_parts("a  b") == ["a  b"]
+    cut = token_counts.safe_parts("  " + "ab c " * 1_000, size=100)
+    assert " ".join(cut) == "  " + "ab c " * 1_000 and max(map(len, cut)) < 110
+
+
+def test_counts_of_a_table(table):
+    docs = table([(1, "one two"), (2, None), (3, ""), (4, "a " * 9_000), (None, "x"), (1, "one two")])
+    found = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs, PIECES).collect())
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    n = lambda text: len(library.encode(text))
+    assert found == sorted([(1, 7, n("one two"), False)] * 2 + [(2, 0, 0, False), (3, 0, 0, False), (4, 18_000, n("a " * 9_000), True), (0, 1, n("x"), False)])
+    assert token_counts.count_tokens(docs.limit(0), PIECES).count() == 0
