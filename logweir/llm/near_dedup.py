@@ -13,13 +13,15 @@ all pairs up to that distance meet under a key. At a similarity of
 Steps, none of which lists all pairs of a group:
 
 1. documents with equal sets are one class from here on, so copies cost nothing;
-2. under a key with up to ``SMALL`` classes all pairs are candidates, under a
-   larger one only those with its smallest class: linear in the index;
-3. candidates within ``DISTANCE`` are confirmed on their full sets; confirmed links
-   form components;
-4. under the larger keys, only pairs of different components can still matter.
-   Keys within one component are done. The others are compared by signature
-   in blocks of bounded size, and what is within ``DISTANCE`` is confirmed as well.
+2. under a key with up to ``SMALL`` classes all pairs within ``DISTANCE`` are confirmed
+   on their full sets;
+3. under a larger key each class is compared with the smallest one, its center:
+   linear in the index. What the class lacks of the center's set and what it
+   has beyond it, its delta, gives the exact intersection of any two classes
+   of a center: ``center - lacks_x - lacks_y + common part of the deltas``;
+4. the links found so far form components. Centers whose classes are all in one
+   component are done; under the others the deltas are compared, in blocks of
+   bounded size, and only links that join two components are given out.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.llm import arrow_text
@@ -43,10 +45,10 @@ SYMBOLS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Classes under a key up to which all its pairs are candidates at once.
+#: Classes under a key up to which all its pairs are candidates.
 SMALL = 32
-#: Classes in a block of a larger key.
-BLOCK = 512
+#: Classes in a block of a center.
+BLOCK = 2_048
 
 _RANDOM = np.random.default_rng(85)
 _XOR = _RANDOM.integers(0, 2**64, SYMBOLS, dtype=np.uint64)
@@ -121,15 +123,34 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists.cast(pa.list_(pa.int64()))], ["id", "shingles"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _sets_by_id(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, shingles array<long>")
+
+
+def _joined(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` with their sets ``of_a, of_b``."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"of_{side}")), side)
+    return pairs
+
+
+def _is_link(common: Column, sizes: Column) -> Column:
+    return 100 * common >= PERCENT * (sizes - common)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that are links by their full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, shingles array<long>")
-    found = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
-    found = found.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    found = found.select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("both"))
-    return found.where(100 * F.col("common") >= PERCENT * (F.col("both") - F.col("common"))).select("a", "b").distinct()
+    common, sizes = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
+    return _joined(pairs, sets).where(_is_link(common, sizes)).select("a", "b")
+
+
+def _with_deltas(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """For each center ``a`` and class ``b``: sizes, how much of the center's set the class lacks, and its delta."""
+    lacks, beyond = F.array_except("of_a", "of_b"), F.array_except("of_b", "of_a")
+    found = _joined(stars, sets).select(
+        "a", "b", F.size("of_a").alias("of_center"), F.size("of_b").alias("size"), F.size(lacks).alias("lacks"), F.concat(lacks, beyond).alias("delta")
+    )
+    return found
 
 
 def _within_distance(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -140,45 +161,59 @@ def _within_distance(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.where(possible).select("a", "b", "signature_a", "signature_b").mapInArrow(_near, "a long, b long")
 
 
-def _candidates(keys: DataFrame, buckets: DataFrame) -> DataFrame:
-    """All pairs of small buckets, and those with its smallest class of each large one."""
-    members = keys.join(buckets, "key")
-    lists = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    lists = lists.groupBy("ids").agg(F.count("*").alias("times"))  # near-duplicates share many keys
-    first = lists.select(F.posexplode("ids").alias("place", "a"), "ids")
+def _small_pairs(keys: DataFrame, small: DataFrame) -> DataFrame:
+    """All pairs of classes under one small key."""
+    lists = keys.join(small.select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    first = lists.select("ids").distinct().select(F.posexplode("ids").alias("place", "a"), "ids")
     pairs = first.select("a", F.explode(F.slice("ids", F.col("place") + 2, F.size("ids"))).alias("b"))
-    stars = members.where((F.col("n") > SMALL) & (F.col("id") != F.col("center"))).select(F.col("center").alias("a"), F.col("id").alias("b"))
-    return union_all([pairs, stars]).where("a < b").distinct()
-
-
-def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one task's two blocks (or one) that are of different components and within the distance."""
-    rows = rows.sort_values("id")
-    found = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(-1, SYMBOLS)
-    ids, own, block = (rows[name].to_numpy() for name in ("id", "component", "block"))
-    same_block = rows["low"].iloc[0] == rows["high"].iloc[0]
-    pairs = []
-    for i in range(len(ids)):
-        wanted = (own[i + 1 :] != own[i]) & (same_block | (block[i + 1 :] != block[i]))
-        if wanted.any():
-            wanted &= (found[i + 1 :] != found[i]).sum(axis=1) <= DISTANCE
-            pairs.append(pd.DataFrame({"a": ids[i], "b": ids[i + 1 :][wanted]}))
-    return pd.concat(pairs, ignore_index=True) if pairs else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
-
-
-def _across_components(keys: DataFrame, large: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of different components under one large key that are within the distance."""
-    members = keys.join(large, "key").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    members = members.join(mixed_keys.where("low < high").select("key"), "key", "left_semi")
-    members = members.join(nodes.select("id", "signature"), "id")
+    return pairs.where("a < b").distinct()
+
+
+def _joining_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between components among the classes of one center in two blocks (or one).
+
+    Classes in the center's component are compared with others only. A link is
+    given out if it joins what the links before it have not.
+    """
+    rows = rows.sort_values("b").reset_index(drop=True)
+    ids, sizes, lacks, own = (rows[name].to_numpy(np.int64) for name in ("b", "size", "lacks", "component"))
+    center, block = rows["of_center"].iloc[0], rows["block"].to_numpy()
+    crossing = rows["low"].iloc[0] != rows["high"].iloc[0]
+    lengths = rows["delta"].map(len).to_numpy()
+    elements = np.unique(np.concatenate(rows["delta"].to_list()), return_inverse=True)[1]
+    begins = np.concatenate(([0], np.cumsum(lengths)))
+    holders = np.repeat(np.arange(len(ids)), lengths)[np.argsort(elements, kind="stable")]
+    places = np.concatenate(([0], np.cumsum(np.bincount(elements))))
+    label = np.unique(own, return_inverse=True)[1]
+    outside = np.flatnonzero(own != rows["of_center_component"].iloc[0])
+    found = []
+    for x in outside.tolist():
+        mine = elements[begins[x] : begins[x + 1]]
+        shared = np.concatenate([holders[places[e] : places[e + 1]] for e in mine.tolist()] or [holders[:0]])
+        common = center - lacks[x] - lacks + np.bincount(shared, minlength=len(ids))
+        wanted = (label != label[x]) & (100 * common >= PERCENT * (sizes + sizes[x] - common))
+        if crossing:
+            wanted &= block != block[x]
+        for y in np.flatnonzero(wanted).tolist():
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                found.append((ids[x], ids[y]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+
+def _links_across(deltas: DataFrame, found: DataFrame) -> DataFrame:
+    """Links between components among the classes that share a center."""
+    members = deltas.join(found.select(F.col("id").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    centers = members.groupBy("a").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+    centers = centers.join(found.select(F.col("id").alias("a"), F.col("component").alias("of_center_component")), "a", "left")
+    centers = centers.withColumn("of_center_component", F.coalesce("of_center_component", "a"))
+    open_ = centers.where("n > 1 and (least <> most or least <> of_center_component)").select("a", "n", "of_center_component")
+    members = members.join(open_, "a")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    others = F.sequence(F.lit(0), blocks - 1)
-    members = members.withColumn("other", F.explode(others))
+    members = members.withColumn("block", F.pmod(F.xxhash64("b"), blocks).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members = members.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    grouped = members.select("key", "low", "high", "id", "component", "block", "signature").groupBy("key", "low", "high")
-    return grouped.applyInPandas(_block_pairs, "a long, b long").distinct()
+    return members.groupBy("a", "low", "high").applyInPandas(_joining_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,17 +238,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     keys = nodes.select("id", "signature").mapInArrow(_keys, "key long, id long")
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1")
     buckets = scratch.keep(buckets, "buckets")
-    pairs = scratch.keep(_within_distance(_candidates(keys, buckets), nodes), "pairs")
-    links = scratch.keep(_confirmed(pairs, docs), "links")
+    small, large = buckets.where(F.col("n") <= SMALL), buckets.where(F.col("n") > SMALL)
+    pairs = scratch.keep(_within_distance(_small_pairs(keys, small), nodes), "pairs")
+    stars = keys.join(large, "key").where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    stars = scratch.keep(stars, "stars")
+    scratch.drop("buckets")
+
+    ids = union_all([pairs, stars]).select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = scratch.keep(_sets_by_id(ids, docs), "sets")
+    deltas = scratch.keep(_with_deltas(stars, sets), "deltas")
+    near = deltas.where(_is_link(F.col("of_center") - F.col("lacks"), F.col("of_center") + F.col("size"))).select("a", "b")
+    links = scratch.keep(union_all([_confirmed(pairs, sets), near]), "links")
+    scratch.drop("sets", "pairs", "stars")
     found = scratch.keep(components(links, scratch), "found")
-
-    large = scratch.keep(buckets.where(F.col("n") > SMALL).select("key", "n"), "large")
-    if not large.isEmpty():
-        more = scratch.keep(_across_components(keys, large, nodes, found), "more-pairs")
-        if not more.isEmpty():
-            more = scratch.keep(_confirmed(more, docs), "more-links")
-            found = scratch.keep(components(union_all([links, more]), scratch, "all-components"), "all-found")
-    scratch.drop("buckets", "pairs", "large", "more-pairs")
+    more = scratch.keep(_links_across(deltas, found), "more-links")
+    if not more.isEmpty():
+        found = scratch.keep(components(union_all([links, more]), scratch, "all-components"), "all-found")
+    scratch.drop("deltas", "links", "more-links")
 
     classes = nodes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     classes = scratch.keep(classes, "classes")
