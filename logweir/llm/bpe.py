@@ -15,19 +15,25 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from logweir.llm import arrow_text
+from logweir.llm.common import Scratch
 from logweir.llm.transducer import LONGEST, Transducer, compile_transducer, gathered, mapped, starts
 
 #: Words in the lexicon, which bounds what the driver gathers and sends.
 LEXICON = 1 << 18
+#: Unseen words that a worker remembers.
+REMEMBERED = 1 << 17
 #: Bytes of a word up to which pairs are searched one by one.
 SHORT = 64
 #: Greater than any rank.
@@ -150,6 +156,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer):
         self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.unseen: dict[bytes, list[int]] = {}
 
     def _cut(self, text: str) -> list[str]:
         """The units of ``text``; special tokens stand alone."""
@@ -159,6 +166,17 @@ class Encoder:
         parts = pattern.split(text)
         return list(chain.from_iterable([part] if k % 2 else _units(part) for k, part in enumerate(parts) if part))
 
+    def _merged(self, word: bytes) -> list[int]:
+        """The ids of a word that the lexicon does not hold; the last ones are remembered."""
+        found = self.unseen.get(word)
+        if found is None:
+            found = self.vocabulary.merge(word)
+            if len(word) <= LONGEST:
+                if len(self.unseen) >= REMEMBERED:
+                    self.unseen.clear()
+                self.unseen[word] = found
+        return found
+
     def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, one after the other, and their offsets."""
         special = self.vocabulary.special
@@ -166,7 +184,7 @@ class Encoder:
         ranks = self.lexicon.ranks(raw)
         # Unseen words stand behind the known ones, and every word is then picked from where it is.
         unseen = np.flatnonzero(ranks < 0).tolist()
-        merged = [[special[words[k]]] if words[k] in special else self.vocabulary.merge(raw[k]) for k in unseen]
+        merged = [[special[words[k]]] if words[k] in special else self._merged(raw[k]) for k in unseen]
         known, lengths = self.lexicon.entries(ranks[ranks >= 0])
         flat = np.concatenate((known, np.fromiter(chain.from_iterable(merged), np.int32)))
         place = np.empty(len(words), np.int64)
@@ -192,6 +210,26 @@ class Encoder:
         return _joined(flat, offsets, of_texts, np.fromiter(map(len, cut), np.int64, len(cut)))
 
 
+class Decoder:
+    """Puts texts together from the bytes of their ids."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        known = vocabulary.bytes_of
+        contents = [known.get(number, b"") for number in range(max(known) + 1)]
+        self.data = np.frombuffer(b"".join(contents), np.uint8)
+        self.offsets = starts(np.fromiter(map(len, contents), np.int64, len(contents)))
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts whose ids lie between ``offsets``; bytes that are no UTF-8 become U+FFFD."""
+        data, lengths = gathered(self.data, self.offsets, ids)
+        return [own.decode("utf-8", "replace") for own in _runs(data, starts(lengths)[offsets])]
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    whole, places = data.tobytes(), offsets.tolist()
+    return [whole[a:b] for a, b in zip(places, places[1:], strict=False)]
+
+
 def _picked(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     found, lengths = gathered(flat, starts(lengths), which)
     return found, starts(lengths)
@@ -206,7 +244,7 @@ def _joined(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray, sizes: np.
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     split = _splitter()[0]
     for batch in batches:
-        for part in arrow_text.slices(batch):
+        for part in arrow_text.slices(batch, most=4 * arrow_text.BYTES):
             words: Counter[str] = Counter()
             for unit, n in Counter(chain.from_iterable(map(str.split, arrow_text.texts(part.column("text"))))).items():
                 for word in split.findall(" " + unit):
@@ -215,25 +253,48 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
-    """The ``most`` words with the highest counts over all of ``docs``; ties by code point.
+    """About the ``most`` words with the highest counts over all of ``docs``, never more.
 
-    A word counts as it would behind a space. Only words that can enter the
-    lexicon are counted up, so what the driver gets is bounded in bytes as well.
+    A word counts as it would behind a space; only words short enough for the
+    lexicon count. The least count comes from a histogram of counts in bins of
+    a sixteenth of a power of two, so the driver sees under 1,100 bins and then
+    the words themselves.
     """
+    scratch = Scratch(docs.sparkSession)
     counts = docs.select("text").where("text is not null").mapInArrow(_counted, "word string, n long")
     counts = counts.where(F.octet_length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
-    return [row.word for row in counts.orderBy(F.desc("n"), F.col("word").cast("binary")).limit(most).collect()]
+    counts = scratch.keep(counts.withColumn("bin", F.floor(16 * F.log2("n")).cast("int")), "counts")
+    least, words = None, 0
+    for row in counts.groupBy("bin").count().orderBy(F.desc("bin")).collect():
+        words += row["count"]
+        if words > most:
+            break
+        least = row.bin
+    found = [] if least is None else [row.word for row in counts.where(F.col("bin") >= least).select("word").collect()]
+    scratch.drop("counts")
+    return found
+
+
+def _tools(content: str, block: bytes) -> tuple[Encoder, Decoder]:
+    """Encoder and decoder, made once per Python worker."""
+    key = hash(block)
+    if _TOOLS.get("key") != key:
+        vocabulary = Vocabulary(content)
+        _TOOLS.update(key=key, tools=(Encoder(vocabulary, Transducer(mapped(block))), Decoder(vocabulary)))
+    return _TOOLS["tools"]
 
 
-def _encoder_of(content: str, block: bytes) -> Encoder:
-    """One encoder per Python worker."""
-    key = hash(block)
-    if _ENCODERS.get("key") != key:
-        _ENCODERS.update(key=key, encoder=Encoder(Vocabulary(content), Transducer(mapped(block))))
-    return _ENCODERS["encoder"]
+_TOOLS: dict = {}
 
 
-_ENCODERS: dict = {}
+def _sent(docs: DataFrame, vocabulary_file: str, text: str, lexicon_words: int) -> Broadcast:
+    """The vocabulary and the compiled lexicon of ``docs``, for all tasks."""
+    with open(vocabulary_file, encoding="utf-8") as file:
+        content = file.read()
+    vocabulary = Vocabulary(content)
+    words = (word.encode() for word in frequent_words(docs.select(F.col(text).alias("text")), lexicon_words))
+    block = compile_transducer({word: vocabulary.merge(word) for word in words})
+    return docs.sparkSession.sparkContext.broadcast((content, block))
 
 
 def encode(docs: DataFrame, vocabulary_file: str, text: str = "text", lexicon_words: int = LEXICON) -> DataFrame:
@@ -243,23 +304,17 @@ def encode(docs: DataFrame, vocabulary_file: str, text: str = "text", lexicon_wo
     written out in a text become their ids, none are added. Any other column is
     kept, one named ``ids`` is replaced.
     """
-    with open(vocabulary_file, encoding="utf-8") as file:
-        content = file.read()
-    vocabulary = Vocabulary(content)
-    words = (word.encode() for word in frequent_words(docs.select(F.col(text).alias("text")), lexicon_words))
-    block = compile_transducer({word: vocabulary.merge(word) for word in words})
-    sent = docs.sparkSession.sparkContext.broadcast((content, block))
-    others = [name for name in docs.columns if name != "ids"]
+    sent = _sent(docs, vocabulary_file, text, lexicon_words)
+    rows = docs.select(*[name for name in docs.columns if name != "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder_of(*sent.value)
+        encoder, _ = _tools(*sent.value)
         for batch in batches:
             for part in arrow_text.slices(batch, text):
                 ids, offsets = encoder.encode(arrow_text.texts(part.column(text)))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "ids"])
 
-    rows = docs.select(*others)
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
@@ -270,27 +325,41 @@ def decode(encoded: DataFrame, vocabulary_file: str, ids: str = "ids") -> DataFr
     Any other column is kept, one named ``decoded`` is replaced.
     """
     with open(vocabulary_file, encoding="utf-8") as file:
-        bytes_of = Vocabulary(file.read()).bytes_of
-    sent = encoded.sparkSession.sparkContext.broadcast(bytes_of)
+        decoder = Decoder(Vocabulary(file.read()))
+    sent = encoded.sparkSession.sparkContext.broadcast(decoder)
     rows = encoded.select(*[name for name in encoded.columns if name != "decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        content = sent.value.__getitem__
         for batch in batches:
             for part in (batch.slice(k, 1_000) for k in range(0, batch.num_rows, 1_000)):
                 lists = part.column(ids)
-                values = (b"".join(map(content, own or ())).decode("utf-8", "replace") for own in lists.to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.string())], [*part.schema.names, "decoded"])
+                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                texts = sent.value.decode(lists.flatten().to_numpy(zero_copy_only=False), starts(lengths))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
 
 
-def token_digests(docs: DataFrame, vocabulary_file: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row, from its ids and the text decoded from them."""
-    rows = decode(encode(docs.select("doc_id", "text"), vocabulary_file).drop("text"), vocabulary_file)
-    return rows.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def token_digests(docs: DataFrame, vocabulary_file: str, lexicon_words: int = LEXICON) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row of ``doc_id, text``.
+
+    Encodes, and decodes the ids again, in one pass; only digests leave the
+    task. Ids are written in decimal and joined by commas.
+    """
+    sent = _sent(docs, vocabulary_file, "text", lexicon_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _tools(*sent.value)
+        names = [b"%d," % number for number in range(len(decoder.offsets) - 1)]
+        digits, places = np.frombuffer(b"".join(names), np.uint8), starts(np.fromiter(map(len, names), np.int64, len(names)))
+        for batch in batches:
+            for part in arrow_text.slices(batch):
+                ids, offsets = encoder.encode(arrow_text.texts(part.column("text")))
+                written, lengths = gathered(digits, places, ids)
+                of_ids = [sha256(own[:-1]).hexdigest() for own in _runs(written, starts(lengths)[offsets])]
+                of_text = [sha256(own.encode()).hexdigest() for own in decoder.decode(ids, offsets)]
+                columns = [part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

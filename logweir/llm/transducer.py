@@ -4,12 +4,11 @@ Words that share a prefix share states from the start, words that share a
 suffix share states to the end. Each edge carries the number of words that
 come before it at its state, so the sum along a word's path is the word's rank
 among all words; the rank selects its ids. The block holds arrays only and can
-be mapped from a file by all processes of a machine.
+be mapped from a file.
 """
 
 from __future__ import annotations
 
-import hashlib
 import mmap
 import os
 import tempfile
@@ -79,18 +78,13 @@ def compile_transducer(words: dict[bytes, tuple[int, ...]]) -> bytes:
 
 
 def mapped(block: bytes) -> memoryview:
-    """``block`` as a file mapped into memory, shared by the Python workers of a machine.
+    """``block`` as a file mapped into memory: its pages count as cache, not as the worker's own memory.
 
-    The file is a cache of what every worker has been sent; it is named by its
-    content and put in place whole, so a worker that finds none writes it again.
+    The file has no name any more once it is mapped, so nothing is left behind.
     """
-    path = os.path.join(tempfile.gettempdir(), f"logweir-lexicon-{hashlib.sha256(block).hexdigest()[:32]}")
-    if not os.path.exists(path):
-        own = f"{path}.{os.getpid()}"
-        with open(own, "wb") as file:
-            file.write(block)
-        os.replace(own, path)
-    with open(path, "rb") as file:
+    with tempfile.TemporaryFile() as file:
+        file.write(block)
+        file.flush()
         return memoryview(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
 
 
