@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from logweir.llm import arrow_text
-from logweir.llm.common import Scratch
+from logweir.llm.common import Scratch, map_arrow
 from logweir.llm.transducer import LONGEST, Transducer, compile_transducer, gathered, mapped, starts
 
 #: Words in the lexicon, which bounds what the driver gathers and sends.
@@ -261,7 +261,7 @@ def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
     the words themselves.
     """
     scratch = Scratch(docs.sparkSession)
-    counts = docs.select("text").where("text is not null").mapInArrow(_counted, "word string, n long")
+    counts = map_arrow(docs.select("text").where("text is not null"), _counted, "word string, n long")
     counts = counts.where(F.octet_length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
     counts = scratch.keep(counts.withColumn("bin", F.floor(16 * F.log2("n")).cast("int")), "counts")
     least, words = None, 0
@@ -315,7 +315,7 @@ def encode(docs: DataFrame, vocabulary_file: str, text: str = "text", lexicon_wo
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "ids"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+    return map_arrow(rows, run, StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def decode(encoded: DataFrame, vocabulary_file: str, ids: str = "ids") -> DataFrame:
@@ -337,7 +337,7 @@ def decode(encoded: DataFrame, vocabulary_file: str, ids: str = "ids") -> DataFr
                 texts = sent.value.decode(lists.flatten().to_numpy(zero_copy_only=False), starts(lengths))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
+    return map_arrow(rows, run, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
 
 
 def token_digests(docs: DataFrame, vocabulary_file: str, lexicon_words: int = LEXICON) -> DataFrame:
@@ -362,4 +362,4 @@ def token_digests(docs: DataFrame, vocabulary_file: str, lexicon_words: int = LE
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word: a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +59,23 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers on machines that have this package at the same place import it from there.
+
+    Where it is installed otherwise, or shipped with the job, this changes nothing.
+    """
+    environment, root = spark.sparkContext.environment, str(Path(__file__).parents[2])
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*known, root]))
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with a function of this package."""
+    share_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z in lower case and all else as it is; null is empty.
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from logweir.llm import arrow_text
+from logweir.llm.common import map_arrow
 
 # Kinds of HTML elements.
 INLINE = set(
@@ -226,4 +227,4 @@ def extract_main_text(pages: DataFrame, content: str = "html") -> DataFrame:
                 new = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.select(kept).columns, *new], [*kept, "text", "n_chars"])
 
-    return rows.mapInArrow(run, StructType([*rows.select(*kept).schema.fields, StructField("text", StringType()), StructField("n_chars", LongType())]))
+    return map_arrow(rows, run, StructType([*rows.select(*kept).schema.fields, StructField("text", StringType()), StructField("n_chars", LongType())]))

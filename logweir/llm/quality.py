@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from logweir.llm import arrow_text
-from logweir.llm.common import Scratch
+from logweir.llm.common import Scratch, map_arrow
 from logweir.llm.shingles import mixed, word_hashes, word_spans
 from logweir.llm.toxicity import labelled_sample
 
@@ -124,7 +124,7 @@ def learn_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     """A model from at most ``sample`` labelled documents; without both labels it says 0.5 of every text."""
     scratch = Scratch(docs.sparkSession)
     known = scratch.keep(labelled_sample(docs, labels, "quality", sample), "sample")
-    row = known.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_trained, "numbers binary, constant double").first()
+    row = map_arrow(known.repartition(1).sortWithinPartitions("doc_id"), _trained, "numbers binary, constant double").first()
     scratch.drop("sample")
     return Model(np.frombuffer(row.numbers, np.float32) if row else np.zeros(BUCKETS, np.float32), row.constant if row else 0.0)
 
@@ -148,4 +148,4 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text", threshold:
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "score", "predicted"])
 
     new = [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, *new]))
+    return map_arrow(rows, run, StructType([*rows.schema.fields, *new]))

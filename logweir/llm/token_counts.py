@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from logweir.llm import arrow_text
+from logweir.llm.common import map_arrow
 
 #: The space mark of SentencePiece; a text that contains it is encoded whole.
 MARK = "▁"
@@ -91,4 +92,4 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, text: str
                 yield pa.RecordBatch.from_arrays([*part.select(kept).columns, *new], [*kept, "n_bytes", "n_tokens", "over_limit"])
 
     new = [StructField("n_bytes", LongType()), StructField("n_tokens", LongType()), StructField("over_limit", BooleanType())]
-    return rows.mapInArrow(run, StructType([*rows.select(*kept).schema.fields, *new]))
+    return map_arrow(rows, run, StructType([*rows.select(*kept).schema.fields, *new]))

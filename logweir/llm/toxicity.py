@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from logweir.llm import arrow_text
-from logweir.llm.common import Scratch
+from logweir.llm.common import Scratch, map_arrow
 
 #: Labelled documents to learn from, a documented bound of the model; those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -158,7 +158,7 @@ def learn(sample: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """
     totals = sample.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).first()
     n_toxic, n_clean = totals.toxic or 0, totals.clean or 0
-    terms = sample.select("text", "label").mapInArrow(_counted, "term string, n_toxic long, n_clean long, contexts array<int>")
+    terms = map_arrow(sample.select("text", "label"), _counted, "term string, n_toxic long, n_clean long, contexts array<int>")
     contexts = F.size(F.array_distinct(F.flatten(F.collect_list("contexts"))))
     terms = terms.groupBy("term").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"), contexts.alias("contexts"))
     odds = ((F.col("n_toxic") + 0.5) / (n_toxic + 1)) / ((F.col("n_clean") + 0.5) / (n_clean + 1))
@@ -195,7 +195,7 @@ def _harmless_phrases(lexicon: Lexicon, sample: DataFrame) -> list[str]:
             found = [(p, label) for t, label in zip(arrow_text.texts(batch.column("text")), batch.column("label").to_pylist(), strict=True) for p in _phrases(own, fold(t))]
             yield pa.RecordBatch.from_pydict({"phrase": pa.array([p for p, _ in found], pa.string()), "label": pa.array([n for _, n in found], pa.int32())})
 
-    phrases = sample.select("text", "label").mapInArrow(run, "phrase string, label int").groupBy("phrase")
+    phrases = map_arrow(sample.select("text", "label"), run, "phrase string, label int").groupBy("phrase")
     usual = phrases.agg(F.count("*").alias("n"), F.max("label").alias("label")).where("n >= 3 and label = 0")
     return [row.phrase for row in usual.orderBy(F.desc("n"), "phrase").limit(MOST_TERMS).collect()]
 
@@ -265,7 +265,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "density", "score", "predicted"])
 
     new = [StructField("density", DoubleType()), StructField("score", DoubleType()), StructField("predicted", IntegerType())]
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, *new]))
+    return map_arrow(rows, run, StructType([*rows.schema.fields, *new]))
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
