@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.llm import arrow_text
-from logweir.llm.common import Scratch, union_all
+from logweir.llm.common import Scratch, map_arrow, share_package, union_all
 from logweir.llm.components import components
 from logweir.llm.shingles import mixed, shingle_sets
 
@@ -50,6 +50,9 @@ SMALL = 32
 #: Classes in a block of a center.
 BLOCK = 2_048
 
+#: Bits (as a power of two) of the map that says which texts may be fetched.
+MAP_BITS = 24
+
 _RANDOM = np.random.default_rng(85)
 _XOR = _RANDOM.integers(0, 2**64, SYMBOLS, dtype=np.uint64)
 _TIMES = _RANDOM.integers(0, 2**64, SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -94,7 +97,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def describe(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, digest, signature`` of each row of ``doc_id, text``; the last two are null without words."""
-    return docs.mapInArrow(_describe, "doc_id long, n_shingles long, digest binary, signature binary")
+    return map_arrow(docs, _describe, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -123,8 +126,23 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists.cast(pa.list_(pa.int64()))], ["id", "shingles"])
 
 
+def _possibly(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose id is not in ``ids``, and with all others.
+
+    Ids are marked in a map of ``2**MAP_BITS`` bits, so what is broadcast is bounded
+    (``2**MAP_BITS / 64`` rows) whatever the number of ids; a full map lets all pass.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << MAP_BITS))
+    words = ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+    marked = docs.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))).withColumn("word", F.shiftright("place", 6))
+    is_set = F.expr("shiftrightunsigned(bits, cast(place % 64 as int)) & 1") == 1
+    return marked.join(F.broadcast(words), "word").where(is_set).select(*docs.columns)
+
+
 def _sets_by_id(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, shingles array<long>")
+    found = _possibly(docs, ids)
+    return map_arrow(found.join(ids, found["doc_id"] == ids["id"], "left_semi").select("doc_id", "text"), _sets, "id long, shingles array<long>")
 
 
 def _joined(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -158,7 +176,7 @@ def _within_distance(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(*[F.col(old).alias(new) for old, new in (("id", side), ("n_shingles", f"n_{side}"), ("signature", f"signature_{side}"))]), side)
     possible = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    return pairs.where(possible).select("a", "b", "signature_a", "signature_b").mapInArrow(_near, "a long, b long")
+    return map_arrow(pairs.where(possible).select("a", "b", "signature_a", "signature_b"), _near, "a long, b long")
 
 
 def _small_pairs(keys: DataFrame, small: DataFrame) -> DataFrame:
@@ -203,6 +221,7 @@ def _joining_links(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _links_across(deltas: DataFrame, found: DataFrame) -> DataFrame:
     """Links between components among the classes that share a center."""
+    share_package(deltas.sparkSession)
     members = deltas.join(found.select(F.col("id").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
     centers = members.groupBy("a").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
     centers = centers.join(found.select(F.col("id").alias("a"), F.col("component").alias("of_center_component")), "a", "left")
@@ -235,7 +254,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     nodes = linked.groupBy("digest").agg(first).select("digest", F.col("first.doc_id").alias("id"), "first.n_shingles", "first.signature")
     nodes = scratch.keep(nodes, "nodes")
 
-    keys = nodes.select("id", "signature").mapInArrow(_keys, "key long, id long")
+    keys = map_arrow(nodes.select("id", "signature"), _keys, "key long, id long")
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1")
     buckets = scratch.keep(buckets, "buckets")
     small, large = buckets.where(F.col("n") <= SMALL), buckets.where(F.col("n") > SMALL)
@@ -245,11 +264,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     scratch.drop("buckets")
 
     ids = union_all([pairs, stars]).select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = scratch.keep(ids, "ids")
     sets = scratch.keep(_sets_by_id(ids, docs), "sets")
     deltas = scratch.keep(_with_deltas(stars, sets), "deltas")
     near = deltas.where(_is_link(F.col("of_center") - F.col("lacks"), F.col("of_center") + F.col("size"))).select("a", "b")
     links = scratch.keep(union_all([_confirmed(pairs, sets), near]), "links")
-    scratch.drop("sets", "pairs", "stars")
+    scratch.drop("sets", "pairs", "stars", "ids")
     found = scratch.keep(components(links, scratch), "found")
     more = scratch.keep(_links_across(deltas, found), "more-links")
     if not more.isEmpty():
