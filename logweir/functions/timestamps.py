@@ -71,9 +71,39 @@ def bucket_start(ts: Column, seconds: int) -> Column:
     return F.timestamp_micros(bucket_key(ts, seconds))
 
 
+_EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+#: The calendar repeats every 400 years, which brings year 0 into Python's range.
+_CYCLE = timedelta(days=146_097)
+
+
 def as_millis(value: datetime) -> int:
-    return int(round(value.timestamp() * 1_000))
+    return (value - _EPOCH) // timedelta(milliseconds=1)
+
+
+#: Start of year 1, the first instant of a datetime.
+FIRST_MILLIS = as_millis(datetime(1, 1, 1, tzinfo=UTC))
 
 
 def from_millis(millis: int) -> datetime:
-    return datetime(1970, 1, 1, tzinfo=UTC) + timedelta(milliseconds=millis)
+    """For instants from year 1 on; data values are kept as milliseconds."""
+    return _EPOCH + timedelta(milliseconds=millis)
+
+
+def utc(value: datetime) -> datetime:
+    """The same instant in UTC; without a zone it is UTC already."""
+    return value.replace(tzinfo=UTC) if value.tzinfo is None else value.astimezone(UTC)
+
+
+def millis_of(year: int, month: int, day: int, *time: int) -> int:
+    """Milliseconds of a UTC date and time from year 0 on; ``ValueError`` if there is none."""
+    # The same date and time 400 years on or back, so that any year is in Python's range.
+    shift = 400 if year < 5_000 else -400
+    shifted = as_millis(datetime(year + shift, month, day, *time, tzinfo=UTC))
+    return shifted - shift // 400 * (_CYCLE // timedelta(milliseconds=1))
+
+
+def iso_of_millis(millis: int) -> str:
+    """``YYYY-MM-DDTHH:MM:SS.mmm`` in UTC, from year 0 on."""
+    shift = 400 if millis < 0 else 0
+    shifted = _EPOCH + shift // 400 * _CYCLE + timedelta(milliseconds=millis)
+    return f"{shifted.year - shift:04d}{shifted.isoformat(timespec='milliseconds')[4:23]}"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions.timestamps import bucket_key
-from logweir.operators.filters import apply_filters, instant
+from logweir.operators.filters import apply_filters, day_of, instant
 from logweir.params import AggregateQuery
 
 MINUTE = timedelta(minutes=1)
@@ -55,10 +55,18 @@ def _floor_minute(value: datetime) -> datetime:
     return value.replace(second=0, microsecond=0)
 
 
-def count_exact(logs: DataFrame, rollup: DataFrame, query: AggregateQuery) -> DataFrame:
-    """Whole minutes from the rollup, the two cut-off minutes at the edges from the base table."""
+def _ceil_minute(value: datetime) -> datetime:
+    return _floor_minute(value) + (MINUTE if value != _floor_minute(value) else timedelta(0))
+
+
+def count_exact(logs: DataFrame, rollup: DataFrame, query: AggregateQuery, complete_from: datetime | None = None) -> DataFrame:
+    """Whole minutes from the rollup, the two cut-off minutes at the edges from the base table.
+
+    Minutes before ``complete_from``, where the rollup may lack logs that are
+    still there, are read from the base table as well.
+    """
     since, until = query.since.astimezone(UTC), query.until.astimezone(UTC)
-    first = _floor_minute(since) + (MINUTE if since != _floor_minute(since) else timedelta(0))
+    first = _ceil_minute(max(since, complete_from) if complete_from else since)
     last = _floor_minute(until)
     if needs_base(query) or first >= last:
         return count_logs(logs, query)
@@ -67,8 +75,8 @@ def count_exact(logs: DataFrame, rollup: DataFrame, query: AggregateQuery) -> Da
     head = matching.where(F.col("timestamp") < instant(first))
     tail = matching.where(F.col("timestamp") >= instant(last))
     if "log_date" in logs.columns:
-        head = head.where(F.col("log_date") <= F.lit(first.date()))
-        tail = tail.where(F.col("log_date") >= F.lit(last.date()))
+        head = head.where(F.col("log_date") <= day_of(first))
+        tail = tail.where(F.col("log_date") >= day_of(last))
     columns = ["service", "level"]
     edges = head.unionByName(tail).select(F.col("timestamp").alias("minute"), *columns, F.lit(1).cast("long").alias("count"))
     whole = apply_filters(rollup, query, "minute").where(
@@ -79,16 +87,20 @@ def count_exact(logs: DataFrame, rollup: DataFrame, query: AggregateQuery) -> Da
 
 
 def bucket_counts(
-    logs: DataFrame, rollup: DataFrame | None, query: AggregateQuery, source: str = "auto"
+    logs: DataFrame,
+    rollup: DataFrame | None,
+    query: AggregateQuery,
+    source: str = "auto",
+    complete_from: datetime | None = None,
 ) -> DataFrame:
     """``(start, group, count)`` in start order.
 
     ``source``: ``base`` reads the logs, ``rollup`` the rollup, ``auto`` the
     rollup whenever the filters allow it, ``exact`` the rollup for whole minutes
-    plus the logs for cut-off edge minutes.
+    plus the logs for cut-off edge minutes and for those before ``complete_from``.
     """
     if source == "exact":
-        return count_exact(logs, rollup, query)
+        return count_exact(logs, rollup, query, complete_from)
     if source == "rollup" or (source == "auto" and rollup is not None and not needs_base(query)):
         return sum_rollup(rollup, query)
     return count_logs(logs, query)

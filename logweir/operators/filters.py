@@ -11,30 +11,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions.text import contains_ignore_case
-from logweir.functions.timestamps import as_millis
+from logweir.functions.timestamps import as_millis, iso_of_millis, utc
 from logweir.params import AggregateQuery, LogQuery, QueryCursor
 
 Query = LogQuery | AggregateQuery
 
 
-def instant(value: datetime) -> Column:
-    """Timestamp literal that does not depend on any time zone setting."""
-    return F.timestamp_millis(F.lit(as_millis(value)))
+def instant(value: datetime | int) -> Column:
+    """Timestamp literal of a datetime or of milliseconds that does not depend on any time zone setting."""
+    return F.timestamp_millis(F.lit(value if isinstance(value, int) else as_millis(utc(value))))
+
+
+def day_of(value: datetime | int) -> Column:
+    """Literal of the UTC day of an instant, as ``log_date`` has it."""
+    return F.lit(iso_of_millis(value if isinstance(value, int) else as_millis(utc(value)))[:10]).cast("date")
 
 
 def time_range(
-    since: datetime | None, until: datetime | None, timestamp: str = "timestamp", date: str | None = None
+    since: datetime | int | None, until: datetime | int | None, timestamp: str = "timestamp", date: str | None = None
 ) -> list[Column]:
     """``since <= timestamp < until``; with a ``date`` partition column also the days it implies."""
     predicates = []
     if since is not None:
         predicates.append(F.col(timestamp) >= instant(since))
         if date:
-            predicates.append(F.col(date) >= F.lit(since.date()))
+            predicates.append(F.col(date) >= day_of(since))
     if until is not None:
         predicates.append(F.col(timestamp) < instant(until))
         if date:
-            predicates.append(F.col(date) <= F.lit(until.date()))
+            predicates.append(F.col(date) <= day_of(until))
     return predicates
 
 
@@ -55,7 +60,7 @@ def has_attribute(key: str, value: str, columns: Collection[str] = ()) -> Column
 
 def before_cursor(cursor: QueryCursor, timestamp: str = "timestamp") -> Column:
     """``(timestamp, id) < cursor`` written so that it is pushed down to Parquet."""
-    ts, at = F.col(timestamp), instant(cursor.timestamp)
+    ts, at = F.col(timestamp), instant(cursor.millis)
     return (ts <= at) & ((ts < at) | (F.col("id") < F.lit(cursor.id)))
 
 
@@ -75,7 +80,7 @@ def predicates(query: Query, timestamp: str = "timestamp", columns: Collection[s
     if cursor is not None:
         found.append(before_cursor(cursor, timestamp))
         if date:
-            found.append(F.col(date) <= F.lit(cursor.timestamp.date()))
+            found.append(F.col(date) <= day_of(cursor.millis))
     return found
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from logweir.functions.attributes import keep_scalars
-from logweir.functions.timestamps import from_millis
+from logweir.functions.timestamps import FIRST_MILLIS
 from logweir.operators.filters import apply_filters
 from logweir.operators.ranking import newest_first_rank
 from logweir.params import LogQuery, QueryCursor
@@ -60,15 +60,20 @@ def list_page(logs: DataFrame, query: LogQuery) -> DataFrame:
 
 
 def fetch_page(logs: DataFrame, query: LogQuery) -> tuple[list[Row], QueryCursor | None]:
-    """Rows of a page (at most 1000) and the cursor of the next one."""
-    millis = F.unix_millis("timestamp").alias("timestamp_millis")
-    rows = list_logs(logs, query).select("*", millis).collect()
+    """Rows of a page (at most 1000) and the cursor of the next one.
+
+    Each row has its ``timestamp_millis``; ``timestamp`` is None in year 0, which
+    Python's datetimes don't reach.
+    """
+    millis = F.unix_millis("timestamp")
+    shown = list_logs(logs, query).withColumn("timestamp_millis", millis)
+    rows = shown.withColumn("timestamp", F.when(millis >= FIRST_MILLIS, F.col("timestamp"))).collect()
     page = rows[: query.limit]
     return page, (cursor_after(page[-1]) if len(rows) > query.limit else None)
 
 
 def cursor_after(row: Row) -> QueryCursor:
-    return QueryCursor(from_millis(row["timestamp_millis"]), row["id"])
+    return QueryCursor(row["timestamp_millis"], row["id"])
 
 
 def page_after(logs: DataFrame, cursor: QueryCursor, limit: int) -> DataFrame:

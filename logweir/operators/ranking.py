@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.functions.timestamps import from_millis
 from logweir.operators.filters import instant
 from logweir.session import cut_lineage
 
@@ -133,8 +130,8 @@ def newest_first_rank(logs: DataFrame, hot_rows: int = HOT_ROWS, block: int = BL
     return calm.unionByName(hot)
 
 
-def kth_oldest(logs: DataFrame, k: int, slots: int = SLOTS, finish: int = 10_000) -> tuple[datetime, int] | None:
-    """``(timestamp, id)`` of the k-th oldest row, or None when there are fewer rows.
+def kth_oldest(logs: DataFrame, k: int, slots: int = SLOTS, finish: int = 10_000) -> tuple[int, int] | None:
+    """``(milliseconds, id)`` of the k-th oldest row, or None when there are fewer rows.
 
     Counts rows in ``slots`` equal ranges, keeps the one the k-th row falls
     into and repeats inside it, first by timestamp, then by id. The driver sees
@@ -176,10 +173,10 @@ def kth_oldest(logs: DataFrame, k: int, slots: int = SLOTS, finish: int = 10_000
         same = in_ids(first, last)
     millis = F.unix_millis("timestamp").alias("millis")
     row = same.orderBy("timestamp", "id").limit(k).orderBy(F.desc("timestamp"), F.desc("id")).select(millis, "id").first()
-    return from_millis(row["millis"]), row["id"]
+    return row["millis"], row["id"]
 
 
-def up_to(position: tuple[datetime, int]) -> Column:
-    """``(timestamp, id) <= position``, in a form that is pushed down."""
+def up_to(position: tuple[int, int]) -> Column:
+    """``(timestamp, id) <= position`` (milliseconds and id), in a form that is pushed down."""
     at, number = instant(position[0]), F.lit(position[1])
     return (F.col("timestamp") <= at) & ((F.col("timestamp") < at) | (F.col("id") <= number))

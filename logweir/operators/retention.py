@@ -19,13 +19,13 @@ def cutoff_for(now: datetime, days: float) -> datetime:
 
 @dataclass(frozen=True)
 class RetentionPlan:
-    """What one cycle deletes. ``last`` is the key of the last deleted row, None for all expired rows."""
+    """What one cycle deletes. ``last`` is the key (milliseconds, id) of the last deleted row, None for all expired rows."""
 
     cutoff: datetime
     deleted: int
     batches: int
     has_more: bool
-    last: tuple[datetime, int] | None
+    last: tuple[int, int] | None
 
     def deletes(self) -> Column:
         """Predicate of the deleted rows: two literals that prune files, no join on ids."""

@@ -24,9 +24,10 @@ def minute_counts(logs: DataFrame) -> DataFrame:
 
 
 def rollup_scan(deltas: DataFrame) -> DataFrame:
-    """The rollup that the deltas add up to."""
-    summed = deltas.groupBy(*KEYS).agg(F.sum("count").alias("count"))
-    return summed.where(F.col("count") > 0)
+    """The rollup that the deltas add up to; a negative sum is an error, as counts then have drifted from the logs."""
+    total = F.sum("count")
+    checked = F.when(total < 0, F.raise_error(F.lit("negative count in the rollup"))).otherwise(total)
+    return deltas.groupBy(*KEYS).agg(checked.alias("count")).where(F.col("count") != 0)
 
 
 def merge_rollup(rollup: DataFrame, added: DataFrame) -> DataFrame:

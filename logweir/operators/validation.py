@@ -132,16 +132,20 @@ def settle_attribute_order(rejects: DataFrame, requests: DataFrame) -> DataFrame
     """Name the first bad attribute in the order it was sent.
 
     A VARIANT sorts its keys, so for rows flagged ``order_unsure`` the order is
-    looked up in the request body. Needs ``(request_seq, entry_index, reason,
-    raw, order_unsure)`` and ``(request_seq, body)``; returns reject rows.
+    looked up in the request body. Each such body is cut into the texts of its
+    entries once. Needs ``(request_seq, entry_index, reason, raw, order_unsure)``
+    and ``(request_seq, body)``; returns reject rows.
     """
     columns = ("request_seq", "entry_index", "reason", "raw")
     sure = rejects.where(~F.col("order_unsure")).select(*columns)
-    unsure = rejects.where(F.col("order_unsure")).join(requests, "request_seq")
-    path = F.concat(F.lit("$.logs["), F.col("entry_index"), F.lit("].attributes"))
+    unsure = rejects.where(F.col("order_unsure"))
+    bodies = requests.join(unsure.select("request_seq").distinct(), "request_seq", "left_semi")
+    texts = F.from_json(F.call_function("get_json_object", F.col("body"), F.lit("$.logs")), "array<string>")
+    sent = bodies.select("request_seq", F.posexplode(texts).alias("entry_index", "sent"))
+    unsure = unsure.join(sent, ["request_seq", "entry_index"], "left")
     attributes = F.expr("try_variant_get(try_parse_json(raw), '$.attributes', 'map<string,variant>')")
     unsure = unsure.withColumn(
-        "keys", ordered_keys(F.call_function("get_json_object", F.col("body"), path))
+        "keys", ordered_keys(F.call_function("get_json_object", F.col("sent"), F.lit("$.attributes")))
     ).withColumn("faulty", F.filter(attribute_entries(attributes), lambda e: attribute_fault(e).isNotNull()))
     reasons = F.map_from_entries(
         F.transform(

@@ -10,10 +10,10 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from datetime import UTC, datetime, timedelta
+from datetime import datetime
 
 from logweir import schema
-from logweir.functions.timestamps import TIMESTAMP_PATTERN
+from logweir.functions.timestamps import TIMESTAMP_PATTERN, as_millis, from_millis, iso_of_millis, millis_of, utc
 
 # Fixed value: the accepted attribute keys, 1 to 128 characters.
 ATTRIBUTE_KEY = re.compile(r"[A-Za-z0-9_.:-]{1,128}")
@@ -21,44 +21,60 @@ _TIMESTAMP = re.compile(TIMESTAMP_PATTERN.replace(r"\z", r"\Z"), re.ASCII)
 _LIMIT_ERROR = f"limit must be an integer between 1 and {schema.MAX_LIMIT}"
 
 
-def parse_instant(text: str) -> datetime | None:
-    """The UTC instant of a strict timestamp, or None."""
+def parse_millis(text: str) -> int | None:
+    """The milliseconds of a strict timestamp, or None."""
     match = _TIMESTAMP.match(text)
     if match is None:
         return None
     *numbers, fraction, zone = match.groups()
     try:
-        local = datetime(*map(int, numbers), int((fraction or "0").ljust(3, "0")) * 1_000, UTC)
-        if zone == "Z":
-            return local
-        hours, minutes = int(zone[1:3]), int(zone[4:6])
-        if hours > 23 or minutes > 59:
-            return None
-        offset = timedelta(hours=hours, minutes=minutes)
-        return local + offset if zone[0] == "-" else local - offset
-    except (ValueError, OverflowError):
+        local = millis_of(*map(int, numbers), int((fraction or "0").ljust(3, "0")) * 1_000)
+    except ValueError:
+        return None
+    if zone == "Z":
+        return local
+    hours, minutes = int(zone[1:3]), int(zone[4:6])
+    if hours > 23 or minutes > 59:
+        return None
+    offset = (hours * 60 + minutes) * 60_000
+    return local + offset if zone[0] == "-" else local - offset
+
+
+def parse_instant(text: str) -> datetime | None:
+    """The UTC instant of a strict timestamp from year 1 on, or None."""
+    millis = parse_millis(text)
+    try:
+        return None if millis is None else from_millis(millis)
+    except OverflowError:
         return None
 
 
 @dataclass(frozen=True)
 class QueryCursor:
-    """Position of the last row of a page."""
+    """Position of the last row of a page: an instant, as a datetime or in milliseconds, and an id."""
 
-    timestamp: datetime
+    timestamp: datetime | int
     id: int
 
+    def __post_init__(self) -> None:
+        if not isinstance(self.timestamp, int):
+            object.__setattr__(self, "timestamp", as_millis(utc(self.timestamp)))
+
+    @property
+    def millis(self) -> int:
+        return self.timestamp
+
     @classmethod
     def parse(cls, text: str) -> QueryCursor:
         """From ``<timestamp>,<id>``."""
         instant, _, number = text.partition(",")
-        timestamp = parse_instant(instant)
+        timestamp = parse_millis(instant)
         if timestamp is None or not re.fullmatch("[0-9]+", number) or int(number) > 2**63 - 1:
             raise ValueError("malformed cursor")
         return cls(timestamp, int(number))
 
     def __str__(self) -> str:
-        instant = self.timestamp.astimezone(UTC).replace(tzinfo=None)
-        return f"{instant.isoformat(timespec='milliseconds')}Z,{self.id}"
+        return f"{iso_of_millis(self.millis)}Z,{self.id}"
 
 
 @dataclass(frozen=True)
@@ -79,9 +95,7 @@ class _Filters:
                 value = parse_instant(value)
                 if value is None:
                     raise ValueError(f"invalid {name}")
-            if value is not None and value.tzinfo is None:
-                value = value.replace(tzinfo=UTC)
-            object.__setattr__(self, name, value)
+            object.__setattr__(self, name, value and utc(value))
         self._check_required()
         if self.since is not None and self.until is not None and self.until <= self.since:
             raise ValueError("until must be strictly later than since")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from logweir.sources import requests as raw
 from logweir.sources.columns import rows_from_columns
 from logweir.sources.synthetic import synthetic_logs
 from logweir.store import LogStore
+from logweir.streaming.ingest import start_ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -650,9 +651,16 @@ def retention_report(spark, sf_dir):
 # -- tables --------------------------------------------------------------------------
 
 
+def new_folder(spark: SparkSession) -> str:
+    shared = shared_dir(spark)
+    if shared is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+    return f"{shared}/logweir-{uuid.uuid4().hex}"
+
+
 def stored(spark: SparkSession, sf_dir: str) -> LogStore:
     """The payload ingested as two batches, one of them sent twice."""
-    store = LogStore(spark, f"{shared_dir(spark)}/logweir-{uuid.uuid4().hex}")
+    store = LogStore(spark, new_folder(spark))
     requests = logview.payload_requests(spark, sf_dir)
     even = F.col("request_seq") % 2 == 0
     store.ingest(requests.where(even), "even", logview.PAYLOAD_NOW)
@@ -680,3 +688,84 @@ FROM stored GROUP BY ALL""",
 )
 def store_rollup(spark, sf_dir):
     return shown_rollup(stored(spark, sf_dir).rollup())
+
+
+@register(
+    "store_zones",
+    f"""WITH {STORED} SELECT {oracles.bucket(3_600)} AS start, level AS "group", COUNT(*) AS count
+FROM stored WHERE ts >= TIMESTAMP '2024-01-04 22:00:00' AND ts < TIMESTAMP '2024-01-26 01:00:00' GROUP BY ALL""",
+)
+def store_zones(spark, sf_dir):
+    """Instants of other zones against the days of a stored table."""
+    east, west = timezone(timedelta(hours=5)), timezone(timedelta(hours=-5))
+    query = AggregateQuery(since=datetime(2024, 1, 5, 3, tzinfo=east), until=datetime(2024, 1, 25, 20, tzinfo=west), bucket="1h", group_by="level")
+    return shown_buckets(stored(spark, sf_dir).bucket_counts(query, "base"))
+
+
+@register(
+    "store_page_zone",
+    f"""WITH {STORED} SELECT number AS id, {iso('ts')} AS timestamp, level, service, message FROM stored
+WHERE ts < TIMESTAMP '2024-01-21 04:30:00' ORDER BY ts DESC, number DESC LIMIT 200""",
+)
+def store_page_zone(spark, sf_dir):
+    """The page behind a cursor of another zone."""
+    cursor = QueryCursor(datetime(2024, 1, 20, 23, 30, tzinfo=timezone(timedelta(hours=-5))), 0)
+    return shown(listing.page_after(stored(spark, sf_dir).logs(), cursor, 200))
+
+
+REMAINING = f"""{STORED},
+gone AS (SELECT number FROM stored WHERE ts < TIMESTAMP '2024-01-21' ORDER BY ts, number LIMIT 300),
+remaining AS (SELECT * FROM stored WHERE number NOT IN (SELECT number FROM gone))"""
+
+
+def expired(spark: SparkSession, sf_dir: str) -> LogStore:
+    """The stored payload after a cycle that reached its cap."""
+    store = stored(spark, sf_dir)
+    store.apply_retention(datetime(2024, 2, 5, tzinfo=UTC), days=15, batch_size=100, max_batches=3)
+    return store
+
+
+@register("store_retention", f"WITH {REMAINING} SELECT number AS id, {iso('ts')} AS timestamp, level, service, message FROM remaining")
+def store_retention(spark, sf_dir):
+    return shown(expired(spark, sf_dir).logs())
+
+
+@register(
+    "store_exact_after_retention",
+    f"""WITH {REMAINING} SELECT {oracles.bucket(60)} AS start, service AS "group", COUNT(*) AS count
+FROM remaining WHERE ts >= TIMESTAMP '2024-01-01 00:00:10' AND ts < TIMESTAMP '2024-02-01' GROUP BY ALL""",
+)
+def store_exact_after_retention(spark, sf_dir):
+    query = AggregateQuery(since="2024-01-01T00:00:10Z", until="2024-02-01T00:00:00Z", bucket="1m", group_by="service")
+    return shown_buckets(expired(spark, sf_dir).bucket_counts(query, "exact"))
+
+
+@register("store_compacted", f"WITH {REMAINING} SELECT number AS id, {iso('ts')} AS timestamp, level, service, message FROM remaining")
+def store_compacted(spark, sf_dir):
+    store = expired(spark, sf_dir)
+    store.compact("all")
+    return shown(store.logs())
+
+
+@register("stream_drained", f"WITH {ENTRIES} SELECT {iso('ts')} AS timestamp, level, service, message FROM accepted")
+def stream_drained(spark, sf_dir):
+    """The payload as files, taken in by a stream until there is nothing left."""
+    folder = new_folder(spark)
+    logview.payload_requests(spark, sf_dir).select("body").write.text(f"{folder}/in")
+    store = LogStore(spark, f"{folder}/store")
+    stream = start_ingest_stream(store, f"{folder}/in", f"{folder}/checkpoint", "payload", max_bytes=str(1 << 30), now=logview.PAYLOAD_NOW)
+    stream.awaitTermination()
+    return shown(store.logs()).drop("id")
+
+
+@register(
+    "reject_order",
+    f"""WITH {LOGS} SELECT id // 50 AS request_seq, CAST(row_number() OVER (PARTITION BY id // 50 ORDER BY id) - 1 AS INTEGER) AS entry_index,
+  'invalid attributes.' || CASE id % 2 WHEN 0 THEN 'zeta' ELSE 'alpha' END || ': must be string, number, or boolean' AS reason FROM logs""",
+)
+def reject_order(spark, sf_dir):
+    """Two bad attributes in every entry, sent in and against the order of their names."""
+    requests = logview.twice_faulty_requests(spark, sf_dir)
+    checked = validation.validate_entries(raw.explode_entries(raw.parse_requests(requests)), logview.PAYLOAD_NOW)
+    rejects = checked.where("reason is not null").select("request_seq", "entry_index", "reason", "raw", "order_unsure")
+    return validation.settle_attribute_order(rejects, requests).select("request_seq", "entry_index", "reason")

@@ -7,6 +7,8 @@ queue offset); :func:`number_lines` makes one for plain text files.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,10 +67,20 @@ def number_lines(placed: DataFrame) -> DataFrame:
 
 
 def parse_requests(requests: DataFrame) -> DataFrame:
-    """Replace ``body`` by ``entries ARRAY<VARIANT>`` (NULL when it is no batch), ``n_entries`` and ``error``."""
-    entries = F.try_variant_get(F.try_parse_json("body"), "$.logs", "array<variant>")
+    """Replace ``body`` by ``entries ARRAY<VARIANT>`` (NULL when it is no batch), ``n_entries`` and ``error``.
+
+    The parser stops behind the first value, so the body is parsed as the first
+    of two array elements. Only if the second one, a mark that no body knows, is
+    where it belongs was there nothing else in the body.
+    """
+    mark = uuid.uuid4().hex
+    framed = F.try_parse_json(F.concat(F.lit("["), F.col("body"), F.lit(f',"{mark}"]')))
     others = [name for name in requests.columns if name != "body"]
-    parsed = requests.select(*others, compute_once(entries=entries))
+    # Both parts of the frame are read from one parse.
+    framed = requests.select(*others, compute_once(framed=framed))
+    alone = F.try_variant_get("framed", "$[1]", "string") == mark
+    entries = F.when(alone, F.try_variant_get("framed", "$[0].logs", "array<variant>"))
+    parsed = framed.select(*others, compute_once(entries=entries))
     parsed = parsed.withColumn("n_entries", F.when(F.col("entries").isNotNull(), F.size("entries")))
     error = F.when(F.col("n_entries").isNull(), NOT_A_BATCH).when(
         F.col("n_entries") > schema.MAX_LOGS_PER_BATCH, TOO_LARGE

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import replace
-from datetime import UTC, date, datetime, timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from logweir import schema
 from logweir.functions.attributes import add_search_map
-from logweir.functions.timestamps import as_millis, from_millis
+from logweir.functions.timestamps import FIRST_MILLIS, as_millis, from_millis, iso_of_millis
 from logweir.operators.buckets import bucket_counts
 from logweir.operators.filters import attribute_column, instant
 from logweir.operators.listing import fetch_page
@@ -51,12 +51,15 @@ class LogStore:
     """A set of tables under ``root``.
 
     ``indexed`` names attributes that are often searched: segments written from
-    now on keep each in a column of its own with a bloom filter.
+    now on keep each in a column of its own with a bloom filter. A writer adds
+    the names that the live segments have, so the list stays with the table.
     """
 
     def __init__(self, spark: SparkSession, root: str, indexed: tuple[str, ...] = ()) -> None:
         if not all(re.fullmatch("[A-Za-z0-9_]{1,128}", key) for key in indexed):
             raise ValueError("indexed attributes need plain names")
+        if len({key.lower() for key in indexed}) < len(indexed):
+            raise ValueError("indexed attributes must differ in more than case")
         self.spark = configure(spark)
         self.root = root.rstrip("/")
         self.indexed = indexed
@@ -120,7 +123,7 @@ class LogStore:
         layout = T.StructType([*schema.LOG, *own, LOG_DATE, SEGMENT])
         logs = self._read("logs", layout, [row.segment for row in live])
         for d in deletions:
-            deleted = (F.col("id") <= d.max_id) & up_to((from_millis(d.last_millis), d.last_id))
+            deleted = (F.col("id") <= d.max_id) & up_to((d.last_millis, d.last_id))
             logs = logs.where(~deleted)
         return logs.drop("segment")
 
@@ -128,7 +131,7 @@ class LogStore:
         segments = [row.segment for row in live]
         deltas = self._read("rollup", T.StructType([*ROLLUP_DELTA, SEGMENT]), segments)
         for d in deletions:
-            purged = (F.col("seq") <= d.seq) & (F.col("minute") < instant(from_millis(d.cutoff_millis)))
+            purged = (F.col("seq") <= d.seq) & (F.col("minute") < instant(d.cutoff_millis))
             deltas = deltas.where(~purged)
         return deltas.select("minute", "service", "level", "count")
 
@@ -186,7 +189,8 @@ class LogStore:
         accepted = accepted_rows(entries)
         accepted = add_search_map(accepted) if slow_numbers else accepted.drop("slow_numbers")
         accepted = assign_ids(accepted, first_id)
-        self._write_logs(accepted.select("id", *LOG_FIELDS), segment)
+        indexed = self._indexed(self._live(ledger))
+        self._write_logs(accepted.select("id", *LOG_FIELDS), segment, indexed)
         written = self._read("logs", T.StructType([*schema.LOG, LOG_DATE, SEGMENT]), [segment])
         self._write_rollup(minute_counts(written), seq, segment)
 
@@ -205,19 +209,30 @@ class LogStore:
         states = staged.where(F.col("entry_index").isNull()).select("request_seq", "n_entries", "error")
         batch_report(states, outcomes).write.mode("overwrite").parquet(self._folder("reports", segment))
 
-        self._enter(segment, seq, first_id, first_id + total, [])
+        self._enter(segment, seq, first_id, first_id + total, indexed, [])
         self._drop(staging)
 
-    def _enter(self, segment: str, seq: int, first_id: int, next_id: int, covers: list[str]) -> None:
-        row = (seq, first_id, next_id, list(self.indexed), covers)
+    def _indexed(self, live: list[Row]) -> list[str]:
+        """The attribute columns of a new segment; names that differ in case only are one column."""
+        names = {key.lower(): key for row in live for key in row.indexed}
+        return sorted({**names, **{key.lower(): key for key in self.indexed}}.values())
+
+    def _enter(self, segment: str, seq: int, first_id: int, next_id: int, indexed: list[str], covers: list[str]) -> None:
+        if any(row.seq >= seq for row in self._ledger()):
+            raise RuntimeError(f"another writer finished a batch while '{segment}' was written; repeat it")
+        row = (seq, first_id, next_id, indexed, covers)
         self._put([row], LEDGER.split(",", 1)[1], self._folder("ledger", segment))
 
-    def _write_logs(self, logs: DataFrame, segment: str) -> None:
-        """One day per file, sorted for row-group skipping; a hot day is split over several tasks."""
-        own = {attribute_column(key): F.col("attributes_search")[key] for key in self.indexed}
+    def _write_logs(self, logs: DataFrame, segment: str, indexed: list[str]) -> None:
+        """One day per file, sorted for row-group skipping.
+
+        Tasks get ranges of time, so a hot day, or a hot instant, is split over
+        several files that a short time range does not all touch.
+        """
+        own = {attribute_column(key): F.col("attributes_search")[key] for key in indexed}
         dated = logs.withColumns({**own, "log_date": F.to_date("timestamp")})
         writer = (
-            dated.hint("rebalance", "log_date")
+            dated.repartitionByRange("log_date", "timestamp", "id")
             .sortWithinPartitions("log_date", "timestamp", "id")
             .write.mode("overwrite")
             .partitionBy("log_date")
@@ -227,15 +242,18 @@ class LogStore:
         writer.parquet(self._folder("logs", segment))
 
     def _write_rollup(self, counts: DataFrame, seq: int, segment: str) -> None:
-        counts.withColumn("seq", F.lit(seq).cast("long")).write.mode("overwrite").parquet(
-            self._folder("rollup", segment)
-        )
+        """Sorted by minute, so that a time range reads a part of the files."""
+        numbered = counts.withColumn("seq", F.lit(seq).cast("long")).orderBy("minute", "service", "level")
+        numbered.write.mode("overwrite").parquet(self._folder("rollup", segment))
 
     # -- queries ------------------------------------------------------------
 
     def bucket_counts(self, query: AggregateQuery, source: str = "auto") -> DataFrame:
         state = self._state()
-        return bucket_counts(self._logs(*state), self._deltas(*state), query, source)
+        # A cycle drops all rollup minutes before its cutoff, but logs in bounded numbers.
+        purged = max((d.cutoff_millis for d in state[1]), default=None)
+        complete_from = None if purged is None else from_millis(purged)
+        return bucket_counts(self._logs(*state), self._deltas(*state), query, source, complete_from)
 
     def fetch_page(self, query: LogQuery) -> tuple[list[Row], QueryCursor | None]:
         """A page, read from as short a time range as fills it.
@@ -247,12 +265,14 @@ class LogStore:
         state = self._state()
         logs = self._logs(*state)
         upper = self._deltas(*state).agg(F.max(F.unix_millis("minute"))).first()[0]
-        ends = [from_millis(upper) + timedelta(minutes=1)] if upper is not None else []
-        ends += [end for end in (query.until, query.cursor and query.cursor.timestamp) if end]
+        ends = [upper + 60_000] if upper is not None else []
+        ends += [query.cursor.millis] if query.cursor else []
+        ends += [as_millis(query.until)] if query.until else []
         for window in PAGE_WINDOWS if ends else ():
-            since = min(ends) - window
-            if query.since is not None and since <= query.since:
+            millis = min(ends) - window // timedelta(milliseconds=1)
+            if millis < FIRST_MILLIS or query.since is not None and millis <= as_millis(query.since):
                 break
+            since = from_millis(millis)
             rows, cursor = fetch_page(logs, replace(query, since=since))
             if cursor is not None:
                 return rows, cursor
@@ -272,9 +292,9 @@ class LogStore:
         plan = retention_plan(self._logs(live, records), now, days, batch_size, max_batches)
         max_id = max((row.next_id for row in ledger), default=1) - 1
         # Without a last row, everything before the cutoff goes.
-        last_at, last_id = plan.last or (plan.cutoff - timedelta(milliseconds=1), max_id)
+        last_at, last_id = plan.last or (as_millis(plan.cutoff) - 1, max_id)
         new = Row("seq", "max_id", "last_millis", "last_id", "cutoff_millis")(
-            max((row.seq for row in ledger), default=0), max_id, as_millis(last_at), last_id, as_millis(plan.cutoff)
+            max((row.seq for row in ledger), default=0), max_id, last_at, last_id, as_millis(plan.cutoff)
         )
         kept = [
             r for r in records
@@ -283,7 +303,7 @@ class LogStore:
         version = self._next_version()
         self._put([tuple(r)[:5] for r in [*kept, new]], RETENTION, f"{self.root}/retention/version={version}")
         self._drop(f"{self.root}/retention/version={version - 1}")
-        self._drop_days_before(last_at.astimezone(UTC).date(), [row.segment for row in live])
+        self._drop_days_before(iso_of_millis(last_at)[:10], [row.segment for row in live])
         return plan
 
     def _next_version(self) -> int:
@@ -294,12 +314,12 @@ class LogStore:
         names = [status.getPath().getName() for status in files.listStatus(hadoop)]
         return max((int(name.split("=")[1]) for name in names if name.startswith("version=")), default=0) + 1
 
-    def _drop_days_before(self, day: date, segments: list[str]) -> None:
+    def _drop_days_before(self, day: str, segments: list[str]) -> None:
         for segment in segments:
             files, hadoop = self._file_system(self._folder("logs", segment))
             for status in files.listStatus(hadoop):
                 name = status.getPath().getName()
-                if name.startswith("log_date=") and name.removeprefix("log_date=") < day.isoformat():
+                if name.startswith("log_date=") and name.removeprefix("log_date=") < day:
                     files.delete(status.getPath(), True)
 
     def compact(self, segment: str, segments: list[str] | None = None) -> None:
@@ -313,12 +333,13 @@ class LogStore:
             return
         old = [row.segment for row in merged]
         seq = max(row.seq for row in ledger) + 1
-        self._write_logs(self._logs(merged, records).select("id", *LOG_FIELDS), segment)
+        indexed = self._indexed(live)
+        self._write_logs(self._logs(merged, records).select("id", *LOG_FIELDS), segment, indexed)
         self._write_rollup(rollup_scan(self._deltas(merged, records)), seq, segment)
         for table, layout in (("rejects", schema.REJECT), ("reports", schema.REPORT)):
             self._read(table, layout, old).write.mode("overwrite").parquet(self._folder(table, segment))
         covers = sorted({*old, *(name for row in merged for name in row.covers)})
-        self._enter(segment, seq, min(row.first_id for row in merged), max(row.next_id for row in merged), covers)
+        self._enter(segment, seq, min(row.first_id for row in merged), max(row.next_id for row in merged), indexed, covers)
         for name in old:
             for table in ("logs", "rollup", "rejects", "reports", "ledger"):
                 self._drop(self._folder(table, name))

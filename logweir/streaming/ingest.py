@@ -6,6 +6,7 @@ accepted like any other, so there is no watermark and no streaming state.
 
 from __future__ import annotations
 
+from concurrent.futures import Future
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ def start_ingest_stream(
     store: LogStore,
     input_dir: str,
     checkpoint: str,
-    name: str = "stream",
+    name: str,
     max_files: int | None = None,
     max_bytes: str | None = None,
     every: str | None = None,
@@ -29,9 +30,11 @@ def start_ingest_stream(
 
     ``max_files`` or ``max_bytes`` bounds a micro-batch, ``every`` sets the
     trigger interval; without it the stream drains what is there and stops.
-    A request is one line, so it is never split over batches. ``name`` is part
-    of the segment names and must be unique per stream and checkpoint. ``now``
-    fixes the clock, for tests.
+    A request is one line, so it is never split over batches. Segment
+    names hold ``name`` and the stream's own id, which its checkpoint keeps: a
+    restarted stream goes on with its segments, and another stream of the same
+    name, or one with a new checkpoint, has others. ``now`` fixes the clock, for
+    tests.
     """
     reader = store.spark.readStream.format("text")
     if max_files is not None:
@@ -40,10 +43,14 @@ def start_ingest_stream(
         reader = reader.option("maxBytesPerTrigger", max_bytes)
     lines = reader.load(input_dir).selectExpr(*LINE_COLUMNS)
 
+    started: Future[str] = Future()
+
     def write(batch: DataFrame, batch_id: int) -> None:
         received = now or datetime.now(UTC)
-        store.ingest(place_lines(batch), f"{name}-{batch_id:012d}", received)
+        store.ingest(place_lines(batch), f"{name}-{started.result()}-{batch_id:012d}", received)
 
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return writer.trigger(**trigger).start()
+    query = writer.trigger(**trigger).start()
+    started.set_result(query.id)
+    return query

@@ -1,4 +1,5 @@
 import json
+from datetime import UTC, datetime
 
 import pytest
 from cases import GOLDEN_NOW, body, entry, golden, requests
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logweir import store as store_module
 from logweir.operators.rollup import minute_counts
-from logweir.params import LogQuery
+from logweir.params import AggregateQuery, LogQuery, QueryCursor
 from logweir.store import LogStore
 
 
@@ -77,10 +78,10 @@ def test_duplicates_are_stored_twice(spark, tmp_path):
 
 def test_rare_values_take_the_slow_paths(spark, tmp_path):
     store = LogStore(spark, str(tmp_path))
-    odd = json.dumps(golden()[0]).replace('"retries": 3', '"retries": 1e2')
+    odd = json.dumps(golden()[0]).replace('"tries": 3', '"tries": 1e2')
     bad = entry(timestamp="2006-01-01T00:00:00Z", attributes={"z": None, "a": []})
     store.ingest(requests(spark, '{"logs":[%s,%s]}' % (odd, json.dumps(bad))), "b1", GOLDEN_NOW)
-    assert store.logs().first().attributes_search == {"user_id": "42", "retries": "100", "success": "false", "region": "eu-west"}
+    assert store.logs().first().attributes_search == {"badge": "u7", "tries": "100", "done": "false", "hall": "north"}
     reason = "invalid attributes.z: must be string, number, or boolean"
     assert store.rejects().first().reason == reason
     assert [tuple(x) for x in store.reports().first().rejected] == [(1, reason)]
@@ -106,9 +107,9 @@ def test_files_are_clustered(spark, tmp_path):
     store = LogStore(spark, str(tmp_path))
     store.ingest(requests(spark, body(*golden())), "b1", GOLDEN_NOW)
     days = sorted(p.name for p in (tmp_path / "logs/segment=b1").glob("log_date=*"))
-    assert days == ["log_date=2006-07-20", "log_date=2006-07-21"]
+    assert days == ["log_date=2011-03-05", "log_date=2011-03-06"]
     assert all(len(list((tmp_path / "logs/segment=b1" / day).glob("*.parquet"))) == 1 for day in days)
-    first = spark.read.parquet(str(tmp_path / "logs/segment=b1/log_date=2006-07-20"))
+    first = spark.read.parquet(str(tmp_path / "logs/segment=b1/log_date=2011-03-05"))
     rows = first.select("timestamp", "id").collect()
     assert rows == sorted(rows)
 
@@ -130,14 +131,94 @@ def test_page_window_widens(spark, tmp_path, monkeypatch):
 def test_indexed_attributes(spark, tmp_path):
     logs = golden()
     LogStore(spark, str(tmp_path)).ingest(requests(spark, body(*logs[:3])), "b1", GOLDEN_NOW)
-    store = LogStore(spark, str(tmp_path), indexed=("user_id", "success"))
+    store = LogStore(spark, str(tmp_path), indexed=("badge", "done"))
     store.ingest(requests(spark, body(*logs[3:])), "b2", GOLDEN_NOW)
-    query = LogQuery(attributes={"user_id": "42", "success": "false", "retries": "3"})
+    query = LogQuery(attributes={"badge": "u7", "done": "false", "tries": "3"})
     # One segment has no such columns: the map decides everywhere.
-    assert "attr_user_id" not in store.logs().columns
+    assert "attr_badge" not in store.logs().columns
     assert [row.id for row in store.fetch_page(query)[0]] == [5, 4, 1]
     store.compact("c1")
-    assert {"attr_user_id", "attr_success"} <= set(store.logs().columns)
+    assert {"attr_badge", "attr_done"} <= set(store.logs().columns)
     assert [row.id for row in store.fetch_page(query)[0]] == [5, 4, 1]
     with pytest.raises(ValueError):
         LogStore(spark, str(tmp_path), indexed=("a.b",))
+
+
+def deep(n: int) -> str:
+    """Request of ``n`` entries with two bad attributes each, sent against the order of their names."""
+    bad = ",".join('{"timestamp":"2021-01-01T00:00:00Z","level":"info","service":"s","message":"m%d","attributes":{"z":[],"a":{}}}' % i for i in range(n))
+    return '{"logs":[%s]}' % bad
+
+
+def test_several_bad_attributes_in_a_full_request(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path))
+    store.ingest(requests(spark, deep(5_000), body(golden()[0])), "b1", GOLDEN_NOW)
+    reasons = store.rejects().groupBy("reason").count().collect()
+    assert [(row.reason, row["count"]) for row in reasons] == [("invalid attributes.z: must be string, number, or boolean", 5_000)]
+    assert store.logs().count() == 1
+
+
+def test_text_behind_a_body(spark, tmp_path):
+    one = body(golden()[0])
+    texts = [one, one + one, one + " garbage", one + "]x", one + ',{"logs":[]}', one + ',"x"', one + "\n", "[" + one + "]", "", "null"]
+    store = LogStore(spark, str(tmp_path))
+    store.ingest(requests(spark, *texts), "b1", GOLDEN_NOW)
+    status = [row.status for row in store.reports().orderBy("request_seq").collect()]
+    assert status == ["ok"] + ["refused"] * 5 + ["ok"] + ["refused"] * 3 and store.logs().count() == 2
+
+
+def test_year_zero(spark, tmp_path):
+    """Rows of year 0 are listed, paged and expire."""
+    store = LogStore(spark, str(tmp_path))
+    old = [entry(timestamp=f"0000-01-0{day}T00:00:00Z", message=f"old {day}") for day in (1, 2, 3)]
+    store.ingest(requests(spark, body(*old, golden()[0])), "b1", GOLDEN_NOW)
+    found, cursor = [], None
+    while True:
+        rows, cursor = store.fetch_page(LogQuery(limit=1, cursor=cursor))
+        found += [row.message for row in rows]
+        if cursor is None:
+            break
+        cursor = QueryCursor.parse(str(cursor))
+    assert found == [golden()[0]["message"], "old 3", "old 2", "old 1"]
+    plan = store.apply_retention(datetime(2000, 1, 1, tzinfo=UTC), 1, 2, 1)
+    assert plan.deleted == 2 and plan.has_more
+    assert sorted(row.message for row in store.logs().select("message").collect()) == sorted([golden()[0]["message"], "old 3"])
+
+
+def test_exact_after_a_capped_cycle(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path))
+    store.ingest(requests(spark, body(*golden())), "b1", GOLDEN_NOW)
+    store.apply_retention(datetime(2011, 3, 5, 9, 15, 30, tzinfo=UTC), 0, 1, 2)
+    query = AggregateQuery(since="2011-03-05T09:00:10Z", until="2011-03-06T00:00:30Z", bucket="1m", group_by="service")
+    base = store.bucket_counts(query, "base").collect()
+    assert sum(row["count"] for row in base) == 5 and store.bucket_counts(query, "exact").collect() == base
+
+
+def test_index_stays_with_the_table(spark, tmp_path):
+    LogStore(spark, str(tmp_path), indexed=("badge",)).ingest(requests(spark, body(*golden()[:3])), "b1", GOLDEN_NOW)
+    plain = LogStore(spark, str(tmp_path))
+    plain.ingest(requests(spark, body(*golden()[3:])), "b2", GOLDEN_NOW)
+    assert "attr_badge" in plain.logs().columns
+    plain.compact("c1")
+    assert "attr_badge" in plain.logs().columns and plain.logs().where("attr_badge = 'u7'").count() == 5
+    with pytest.raises(ValueError, match="case"):
+        LogStore(spark, str(tmp_path), indexed=("User", "user"))
+
+
+def test_second_writer_is_noticed(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path))
+    store.ingest(requests(spark, body(golden()[0])), "b1", GOLDEN_NOW)
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._enter("b2", 1, 1, 2, [], [])
+
+
+def test_files_of_a_day_are_ranges_of_time(spark, tmp_path):
+    rows = [entry(timestamp=f"2011-03-05T{h:02d}:{m:02d}:00Z") for m in range(0, 60, 2) for h in range(24)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        LogStore(spark, str(tmp_path)).ingest(requests(spark, body(*rows[:360]), body(*rows[360:])), "b1", GOLDEN_NOW)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(str(tmp_path / "logs/segment=b1")).groupBy(F.input_file_name())
+    spans = sorted(tuple(row)[1:] for row in files.agg(F.min("timestamp"), F.max("timestamp")).collect())
+    assert len(spans) > 2 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))

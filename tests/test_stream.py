@@ -16,7 +16,7 @@ def put(folder, name, lines, at):
 
 
 def run(store, folder, checkpoint, **options):
-    query = start_ingest_stream(store, str(folder), str(checkpoint), now=GOLDEN_NOW, **options)
+    query = start_ingest_stream(store, str(folder), str(checkpoint), "stream", now=GOLDEN_NOW, **options)
     query.awaitTermination()
 
 
@@ -59,6 +59,16 @@ def test_lost_checkpoint_entry_is_replayed_once(spark, tmp_path):
     assert sum(row["count"] for row in store.rollup().collect()) == 7
 
 
+def test_two_streams_of_one_name(spark, tmp_path):
+    """Neither takes the other's batches for its own."""
+    store, logs = LogStore(spark, str(tmp_path / "store")), golden()
+    for name, part in (("a", logs[:3]), ("b", logs[3:])):
+        (tmp_path / name).mkdir()
+        put(tmp_path / name, "x.txt", [body(*part)], 1_000_000)
+        run(store, tmp_path / name, tmp_path / f"cp-{name}")
+    assert sorted(row.message for row in store.logs().collect()) == sorted(log["message"] for log in logs)
+
+
 def test_lines_are_numbered_over_splits(spark, tmp_path):
     """Small splits, several files: numbers follow file time, then line."""
     rng = random.Random(5)
