@@ -29,8 +29,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: rows as often as it takes them, one document per shard cut short."""
-    return mixed_documents(docs)
+    """The mix of sources: whole documents, as often as it takes them."""
+    return mixed_documents(docs, whole=True)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,13 +106,21 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", size).withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
 
 
-def _quotas(docs: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
-    """The narrow rows with their shards, and one row per source and shard with its quota of blocks."""
+def _quotas(docs: DataFrame, block_words: int, by_source: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The narrow rows with their shards, and one row per source and shard with its quota of blocks.
+
+    The number of shards is the root of the number of all documents, or with
+    ``by_source`` of those of the source.
+    """
     scratch = Scratch(docs.sparkSession)
     sized = scratch.keep(_sized(docs).select("doc_id", "source", "size", "text_md5"), "sized")
-    n_shards = max(1, math.isqrt(sized.count()))
     place = hex_bits(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = sized.withColumn("place", place).withColumn("shard", F.pmod(F.col("place"), F.lit(n_shards)))
+    if by_source:
+        counts = sized.groupBy(F.col("source").alias("of_source")).agg(F.floor(F.sqrt(F.count("*"))).alias("n_shards"))
+        sized = sized.join(counts, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
+    else:
+        sized = sized.withColumn("n_shards", F.lit(max(1, math.isqrt(sized.count()))))
+    sized = sized.withColumn("place", place).withColumn("shard", F.pmod("place", "n_shards")).drop("n_shards")
 
     shards = scratch.keep(sized.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")), "shards")
     sources = source_targets(shards.groupBy("source").agg(F.sum("shard_size").alias("source_size")))
@@ -141,14 +149,44 @@ def _taken(sized: DataFrame, quotas: DataFrame, block_words: int) -> DataFrame:
     return ends.join(quota, same).withColumn("taken", taken)
 
 
-def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _whole(taken: DataFrame) -> DataFrame:
+    """``taken`` with the partial document of each quota rounded to a whole copy or none.
+
+    What a source is ahead or behind by is carried from shard to shard, so its
+    words differ from the mix's by half its largest such document at most. One
+    row per source holds its partial documents, one per shard.
+    """
+    rows = Scratch(taken.sparkSession).keep(taken.select("doc_id", "source", "shard", "size", "taken").where("taken > 0"), "taken")
+    rest = F.col("taken") % F.col("size")
+    ends = rows.where(rest > 0).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("shard", "size", rest.alias("rest")))).alias("ends"))
+    start = F.struct(F.lit(0).cast("long").alias("ahead"), F.array().cast("array<bigint>").alias("up"))
+
+    def carried(state: Column, end: Column) -> Column:
+        up = 2 * (end["rest"] - state["ahead"]) >= end["size"]
+        ahead = state["ahead"] - end["rest"] + F.when(up, end["size"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(ahead.alias("ahead"), F.when(up, F.concat(state["up"], F.array(end["shard"]))).otherwise(state["up"]).alias("up"))
+
+    ups = ends.select(F.col("source").alias("its_source"), F.explode(F.aggregate("ends", start, carried)["up"]).alias("its_shard"))
+    same = F.col("source").eqNullSafe(F.col("its_source")) & (F.col("shard") == F.col("its_shard"))
+    more = F.when((rest > 0) & F.col("its_shard").isNotNull(), F.col("size")).otherwise(F.lit(0).cast("long"))
+    return rows.join(ups, same, "left").withColumn("taken", F.col("taken") - rest + more).select("doc_id", "size", "taken")
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, whole: bool = False) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as it takes them, all columns as they are.
 
     A document taken in part comes with its first words, white space as it was,
-    and ``n_chars`` to match if there is such a column. Documents that the mix
-    takes no word of are left out.
+    and ``n_chars`` to match if there is such a column. With ``whole`` no text is
+    cut: such a document comes as a whole copy more or not, see :func:`_whole`,
+    and a source has as many shards as the root of its own documents. Documents
+    that the mix takes no word of are left out.
     """
-    taken = mix(docs, block_words=block_words).where("taken > 0")
+    if whole:
+        narrow = docs.select("doc_id", "source", "text")
+        taken = _whole(_taken(*_quotas(narrow, block_words, by_source=True), block_words))
+    else:
+        taken = mix(docs, block_words=block_words)
+    taken = taken.where("taken > 0")
     # Rows of one id and size are alike to the mix; numbered, so that each meets one of its counts.
     of_id = Window.partitionBy("doc_id", "mix_size")
     taken = taken.select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,29 @@ def test_mixed_documents(table):
     assert {i: n for i, n in taken.items() if i is not None} == by_id
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_the_pipeline_mixes_whole_documents(spark, table, seed):
+    docs = table(rows_of(seed, 200))
+    rows = docs.collect()
+    texts = {(row.doc_id, row.text) for row in rows}
+    size, taken, largest = {}, {}, {}
+    for row in rows:
+        size[row.source] = size.get(row.source, 0) + len(words(row.text))
+        largest[row.source] = max(largest.get(row.source, 0), len(words(row.text)))
+    found = corpus_pipeline.mixing(spark, docs, "")
+    assert found.columns == docs.columns
+    for row in found.collect():
+        assert (row.doc_id, row.text) in texts and row.n_chars == len(row.text)
+        taken[row.source] = taken.get(row.source, 0) + len(words(row.text))
+    for source, target in targets(size).items():
+        assert abs(taken.get(source, 0) - target) <= largest[source] / 2 + mixing.BLOCK_WORDS * len(size)
+
+
+def test_whole_documents_without_python(table):
+    plan = mixed_documents(table(rows_of(5, 50)), whole=True)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
 def test_no_python_in_the_plan(table):
     for found in (mix(table(rows_of(5, 50))), mixed_documents(table(rows_of(5, 50)))):
         plan = found._jdf.queryExecution().toString()
