@@ -9,7 +9,7 @@ from logweir.llm.bpe import decode, encode
 from logweir.llm.common import Scratch, documents
 from logweir.llm.exact_dedup import drop_copies
 from logweir.llm.mixing import mixed_documents
-from logweir.llm.near_dedup import drop_near_duplicates
+from logweir.llm.near_dedup import CORPUS, drop_near_duplicates
 from logweir.llm.toxicity import drop_toxic, learn_from
 
 
@@ -24,8 +24,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
-    return drop_near_duplicates(docs)
+    """One document of each group of texts with a similarity of 0.80 or more, the one with the smallest id."""
+    return drop_near_duplicates(docs, layout=CORPUS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,19 +1,19 @@
 """Near-duplicates by MinHash and a multi-index join on the Hamming distance of signatures.
 
 A document is the set of its distinct ``WORDS``-word shingles. Its signature has
-``CHUNKS * WIDTH`` symbols of 16 bits, each the remainder of a MinHash value, so the share
+``chunks * width`` symbols of 16 bits, each the remainder of a MinHash value, so the share
 of equal symbols estimates the Jaccard similarity. The signature is cut into
-``CHUNKS`` chunks. Two signatures with at most ``DISTANCE = 2 * CHUNKS - 1`` unequal
+``chunks`` chunks. Two signatures with at most ``distance = 2 * chunks - 1`` unequal
 symbols have, by the pigeonhole principle, a chunk with at most one unequal
 symbol; each chunk is entered in the index once for every symbol left out. So
-all pairs up to that distance meet under a key. At a similarity of
-0.85 a pair is farther apart with a probability of about 1 in 7,000, at 0.9 of
-1 in 10 million.
+all pairs up to that distance meet under a key. With the ``CONTRACT`` layout a pair
+at a similarity of 0.85 is farther apart with a probability of about 1 in
+6,000, at 0.9 of 1 in 4 million; with ``CORPUS`` one at 0.80 of 1 in 10,000.
 
 Steps, none of which lists all pairs of a group:
 
 1. documents with equal sets are one class from here on, so copies cost nothing;
-2. under a key with up to ``SMALL`` classes all pairs within ``DISTANCE`` are confirmed
+2. under a key with up to ``SMALL`` classes all pairs within ``distance`` are confirmed
    on their full sets;
 3. under a larger key each class is compared with the smallest one, its center:
    linear in the index. What the class lacks of the center's set and what it
@@ -27,7 +27,9 @@ Steps, none of which lists all pairs of a group:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from hashlib import blake2b
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -40,11 +42,27 @@ from logweir.llm.common import Scratch, map_arrow, share_package, union_all
 from logweir.llm.components import components
 from logweir.llm.shingles import mixed, shingle_sets
 
-CHUNKS, WIDTH = 11, 6
-SYMBOLS = CHUNKS * WIDTH
-DISTANCE = 2 * CHUNKS - 1
-#: A link: 100 * intersection >= PERCENT * union.
-PERCENT = 85
+class Layout(NamedTuple):
+    """The threshold of a link, ``100 * intersection >= percent * union``, and the signature that finds links."""
+
+    percent: int
+    chunks: int
+    width: int
+
+    @property
+    def symbols(self) -> int:
+        return self.chunks * self.width
+
+    @property
+    def distance(self) -> int:
+        return 2 * self.chunks - 1
+
+
+CONTRACT = Layout(85, 11, 6)
+#: For a corpus: texts from a similarity of 0.80 on.
+CORPUS = Layout(80, 14, 5)
+CHUNKS, WIDTH = CONTRACT.chunks, CONTRACT.width
+SYMBOLS, DISTANCE = CONTRACT.symbols, CONTRACT.distance
 #: Classes under a key up to which all its pairs are candidates.
 SMALL = 32
 #: Classes in a block of a center.
@@ -53,28 +71,34 @@ BLOCK = 2_048
 #: Bits (as a power of two) of the map that says which texts may be fetched.
 MAP_BITS = 24
 
-_RANDOM = np.random.default_rng(85)
-_XOR = _RANDOM.integers(0, 2**64, SYMBOLS, dtype=np.uint64)
-_TIMES = _RANDOM.integers(0, 2**64, SYMBOLS, dtype=np.uint64) | np.uint64(1)
-_KEY = _RANDOM.integers(0, 2**64, (CHUNKS, WIDTH), dtype=np.uint64) | np.uint64(1)
+
+@cache
+def _numbers(layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a layout's symbols are made with, and its keys."""
+    random = np.random.default_rng(layout.percent)
+    xor = random.integers(0, 2**64, layout.symbols, dtype=np.uint64)
+    times = random.integers(0, 2**64, layout.symbols, dtype=np.uint64) | np.uint64(1)
+    return xor, times, random.integers(0, 2**64, (layout.chunks, layout.width), dtype=np.uint64) | np.uint64(1)
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of ``SYMBOLS`` 16-bit symbols for each non-empty set."""
+def signatures(values: np.ndarray, offsets: np.ndarray, layout: Layout = CONTRACT) -> np.ndarray:
+    """One row of 16-bit symbols for each non-empty set."""
+    xor, times, _ = _numbers(layout)
     begins = offsets[:-1][offsets[1:] > offsets[:-1]]
-    found = np.empty((len(begins), SYMBOLS), np.uint16)
-    for k in range(SYMBOLS if len(begins) else 0):
-        least = np.minimum.reduceat((values ^ _XOR[k]) * _TIMES[k], begins)
+    found = np.empty((len(begins), layout.symbols), np.uint16)
+    for k in range(layout.symbols if len(begins) else 0):
+        least = np.minimum.reduceat((values ^ xor[k]) * times[k], begins)
         found[:, k] = (mixed(least) >> np.uint64(48)).astype(np.uint16)
     return found
 
 
-def index_keys(found: np.ndarray) -> np.ndarray:
-    """The ``CHUNKS * WIDTH`` keys of each signature: every chunk without one of its symbols."""
-    parts = found.reshape(-1, CHUNKS, WIDTH).astype(np.uint64) * _KEY
+def index_keys(found: np.ndarray, layout: Layout = CONTRACT) -> np.ndarray:
+    """The ``chunks * width`` keys of each signature: every chunk without one of its symbols."""
+    shape = layout.chunks, layout.width
+    parts = found.reshape(-1, *shape).astype(np.uint64) * _numbers(layout)[2]
     rest = parts.sum(axis=2, dtype=np.uint64)[:, :, None] - parts
-    place = np.arange(SYMBOLS, dtype=np.uint64).reshape(CHUNKS, WIDTH)
-    return mixed(mixed(rest) + place).reshape(-1, SYMBOLS).view(np.int64)
+    place = np.arange(layout.symbols, dtype=np.uint64).reshape(shape)
+    return mixed(mixed(rest) + place).reshape(-1, layout.symbols).view(np.int64)
 
 
 def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -82,11 +106,11 @@ def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray
         yield part, *shingle_sets(*arrow_text.utf8(part.column("text")))
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, values, offsets in _sets_of(batch):
             sizes = np.diff(offsets)
-            rows = iter(signatures(values, offsets))
+            rows = iter(signatures(values, offsets, layout))
             digests = [blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             found = [next(rows).tobytes() if size else None for size in sizes]
             yield pa.RecordBatch.from_arrays(
@@ -95,28 +119,28 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def describe(docs: DataFrame) -> DataFrame:
+def describe(docs: DataFrame, layout: Layout = CONTRACT) -> DataFrame:
     """``doc_id, n_shingles, digest, signature`` of each row of ``doc_id, text``; the last two are null without words."""
-    return map_arrow(docs, _describe, "doc_id long, n_shingles long, digest binary, signature binary")
+    return map_arrow(docs, lambda batches: _describe(batches, layout), "doc_id long, n_shingles long, digest binary, signature binary")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+def _matrix(column: pa.Array, layout: Layout) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, layout.symbols)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            keys = index_keys(_matrix(batch.column("signature")))
-            ids = np.repeat(batch.column("id").to_numpy(), SYMBOLS)
+            keys = index_keys(_matrix(batch.column("signature"), layout), layout)
+            ids = np.repeat(batch.column("id").to_numpy(), layout.symbols)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "id"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            apart = (_matrix(batch.column("signature_a")) != _matrix(batch.column("signature_b"))).sum(axis=1)
-            yield batch.select(["a", "b"]).filter(pa.array(apart <= DISTANCE))
+            apart = (_matrix(batch.column("signature_a"), layout) != _matrix(batch.column("signature_b"), layout)).sum(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= layout.distance))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,14 +176,14 @@ def _joined(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs
 
 
-def _is_link(common: Column, sizes: Column) -> Column:
-    return 100 * common >= PERCENT * (sizes - common)
+def _is_link(common: Column, sizes: Column, layout: Layout) -> Column:
+    return 100 * common >= layout.percent * (sizes - common)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, layout: Layout) -> DataFrame:
     """The pairs ``a, b`` that are links by their full sets."""
     common, sizes = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    return _joined(pairs, sets).where(_is_link(common, sizes)).select("a", "b")
+    return _joined(pairs, sets).where(_is_link(common, sizes, layout)).select("a", "b")
 
 
 def _with_deltas(stars: DataFrame, sets: DataFrame) -> DataFrame:
@@ -171,12 +195,12 @@ def _with_deltas(stars: DataFrame, sets: DataFrame) -> DataFrame:
     return found
 
 
-def _within_distance(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _within_distance(pairs: DataFrame, nodes: DataFrame, layout: Layout) -> DataFrame:
     """Pairs that can be links by the sizes of their sets and the distance of their signatures."""
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(*[F.col(old).alias(new) for old, new in (("id", side), ("n_shingles", f"n_{side}"), ("signature", f"signature_{side}"))]), side)
-    possible = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    return map_arrow(pairs.where(possible).select("a", "b", "signature_a", "signature_b"), _near, "a long, b long")
+    possible = 100 * F.least("n_a", "n_b") >= layout.percent * F.greatest("n_a", "n_b")
+    return map_arrow(pairs.where(possible).select("a", "b", "signature_a", "signature_b"), lambda batches: _near(batches, layout), "a long, b long")
 
 
 def _small_pairs(keys: DataFrame, small: DataFrame) -> DataFrame:
@@ -187,7 +211,7 @@ def _small_pairs(keys: DataFrame, small: DataFrame) -> DataFrame:
     return pairs.where("a < b").distinct()
 
 
-def _joining_links(rows: pd.DataFrame) -> pd.DataFrame:
+def _joining_links(rows: pd.DataFrame, layout: Layout) -> pd.DataFrame:
     """Links between components among the classes of one center in two blocks (or one).
 
     Classes in the center's component are compared with others only. A link is
@@ -209,7 +233,7 @@ def _joining_links(rows: pd.DataFrame) -> pd.DataFrame:
         mine = elements[begins[x] : begins[x + 1]]
         shared = np.concatenate([holders[places[e] : places[e + 1]] for e in mine.tolist()] or [holders[:0]])
         common = center - lacks[x] - lacks + np.bincount(shared, minlength=len(ids))
-        wanted = (label != label[x]) & (100 * common >= PERCENT * (sizes + sizes[x] - common))
+        wanted = (label != label[x]) & (100 * common >= layout.percent * (sizes + sizes[x] - common))
         if crossing:
             wanted &= block != block[x]
         for y in np.flatnonzero(wanted).tolist():
@@ -219,7 +243,7 @@ def _joining_links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
-def _links_across(deltas: DataFrame, found: DataFrame) -> DataFrame:
+def _links_across(deltas: DataFrame, found: DataFrame, layout: Layout) -> DataFrame:
     """Links between components among the classes that share a center."""
     share_package(deltas.sparkSession)
     members = deltas.join(found.select(F.col("id").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
@@ -232,15 +256,15 @@ def _links_across(deltas: DataFrame, found: DataFrame) -> DataFrame:
     members = members.withColumn("block", F.pmod(F.xxhash64("b"), blocks).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members = members.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    return members.groupBy("a", "low", "high").applyInPandas(_joining_links, "a long, b long")
+    return members.groupBy("a", "low", "high").applyInPandas(lambda rows: _joining_links(rows, layout), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", layout: Layout = CONTRACT) -> DataFrame:
     """For every row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
     Words are runs of anything but ASCII white space, A-Z in lower case; texts
-    are linked if their sets of distinct shingles have a similarity of ``PERCENT``
-    or more. ``component_id`` is the smallest id reachable over links, ``kept`` marks
+    are linked if their sets of distinct shingles have a similarity of
+    ``layout.percent`` or more. ``component_id`` is the smallest id reachable over links, ``kept`` marks
     the rows with that id. A text without words (null, empty, blank) is linked
     with nothing. A row without id is linked with nothing either: its
     ``component_id`` is null and it is kept. Rows that repeat an id are one document
@@ -248,17 +272,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = scratch.keep(describe(docs), "rows")
+    rows = scratch.keep(describe(docs, layout), "rows")
     linked = rows.where("digest is not null and doc_id is not null")
     first = F.min(F.struct("doc_id", "n_shingles", "signature")).alias("first")
     nodes = linked.groupBy("digest").agg(first).select("digest", F.col("first.doc_id").alias("id"), "first.n_shingles", "first.signature")
     nodes = scratch.keep(nodes, "nodes")
 
-    keys = map_arrow(nodes.select("id", "signature"), _keys, "key long, id long")
+    keys = map_arrow(nodes.select("id", "signature"), lambda batches: _keys(batches, layout), "key long, id long")
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1")
     buckets = scratch.keep(buckets, "buckets")
     small, large = buckets.where(F.col("n") <= SMALL), buckets.where(F.col("n") > SMALL)
-    pairs = scratch.keep(_within_distance(_small_pairs(keys, small), nodes), "pairs")
+    pairs = scratch.keep(_within_distance(_small_pairs(keys, small), nodes, layout), "pairs")
     stars = keys.join(large, "key").where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     stars = scratch.keep(stars, "stars")
     scratch.drop("buckets")
@@ -267,11 +291,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ids = scratch.keep(ids, "ids")
     sets = scratch.keep(_sets_by_id(ids, docs), "sets")
     deltas = scratch.keep(_with_deltas(stars, sets), "deltas")
-    near = deltas.where(_is_link(F.col("of_center") - F.col("lacks"), F.col("of_center") + F.col("size"))).select("a", "b")
-    links = scratch.keep(union_all([_confirmed(pairs, sets), near]), "links")
+    near = deltas.where(_is_link(F.col("of_center") - F.col("lacks"), F.col("of_center") + F.col("size"), layout)).select("a", "b")
+    links = scratch.keep(union_all([_confirmed(pairs, sets, layout), near]), "links")
     scratch.drop("sets", "pairs", "stars", "ids")
     found = scratch.keep(components(links, scratch), "found")
-    more = scratch.keep(_links_across(deltas, found), "more-links")
+    more = scratch.keep(_links_across(deltas, found, layout), "more-links")
     if not more.isEmpty():
         found = scratch.keep(components(union_all([links, more]), scratch, "all-components"), "all-found")
     scratch.drop("deltas", "links", "more-links")
@@ -297,7 +321,7 @@ def _same_id(placed: DataFrame, scratch: Scratch) -> DataFrame:
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", layout: Layout = CONTRACT) -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id; all columns as they are."""
-    kept = near_duplicates(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_duplicates(docs, doc_id, text, layout).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("kept_id")), "left_semi")

@@ -1,8 +1,10 @@
 """Near-duplicates against all pairs in Python."""
 
+import math
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -70,6 +72,33 @@ def test_blocks_of_a_center(table, monkeypatch):
     assert {row.doc_id: row.component_id for row in near_duplicates(table(rows)).collect()} == expected(rows)
 
 
+@pytest.mark.parametrize("small", [32, 1])
+def test_the_pipeline_links_from_080_on(spark, table, monkeypatch, small):
+    """Pairs at 0.79, 0.80 and 0.84, by links in small keys and by deltas; ``op1_near_dedup`` keeps all of them."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    rows, kept = [], set()
+    for i, (common, each) in enumerate([(158, 21), (80, 10), (160, 20), (84, 8), (168, 16), (90, 5)] * 3):
+        # The sets share the shingles of a common beginning; each goes on with words of its own.
+        for side in range(2):
+            words = [f"g{i}w{k}" for k in range(common + 4)] + [f"g{i}s{side}w{k}" for k in range(each)]
+            rows.append((2 * i + side, " ".join(words)))
+        one, other = (shingle_set(text) for _, text in rows[-2:])
+        assert (len(one & other), len(one | other)) == (common, common + 2 * each)
+        kept |= {2 * i} | ({2 * i + 1} if 100 * common < 80 * (common + 2 * each) else set())
+    docs = table(rows)
+    assert {row.doc_id for row in corpus_pipeline.near_dedup(spark, docs, "").collect()} == kept
+    strict = {row.doc_id for row in near_duplicates(docs).where("kept").collect()}
+    assert strict == {i for i, _ in rows} - {2 * i + 1 for i in range(5, 18, 6)}
+
+
+@pytest.mark.parametrize("layout", [near_dedup.CONTRACT, near_dedup.CORPUS])
+def test_what_a_layout_misses(layout):
+    """At the threshold itself, at most 1 pair in 6,000 is beyond the distance."""
+    n, p = layout.symbols, 1 - layout.percent / 100
+    missed = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(layout.distance + 1, n + 1))
+    assert missed < 1 / 6_000
+
+
 def test_rows_without_id_and_repeated_ids(table):
     text = "the quick brown fox jumps over the lazy dog"
     rows = [(5, text), (7, text), (7, "another text altogether with some words"), (9, "another text altogether with some words"), (None, text), (8, None)]
