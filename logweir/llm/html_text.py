@@ -4,9 +4,10 @@ A page is cut into blocks of text, each with the path of block-level tags (and
 their classes) from the root to it. Length and punctuation are summed up by
 path and divided by the number of blocks, each path's ratios are smoothed with
 those of the paths beside it, and the two are fused into a score. Paths above
-a threshold are content; the innermost path that holds most of their text is
-the article, and all its blocks are taken but those under tags or classes that
-mark menus, notices, adverts, comments and the like.
+a threshold are content, and so is the title. The innermost path that holds
+them all, or the article or main element around it, is the article. All its
+blocks are taken but those under tags or classes that mark menus, notices,
+adverts, comments and the like.
 """
 
 from __future__ import annotations
@@ -29,9 +30,18 @@ INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q s samp small span strike"
     " strong sub sup time tt u var wbr meta link".split()
 )
-SILENT = set("script style title noscript template iframe svg math object textarea select button head canvas audio video".split())
+SILENT = set("script style title noscript template iframe object textarea select button head canvas audio video".split())
 #: Silent elements whose inside is no markup.
 RAW = set("script style title textarea iframe noscript".split())
+#: What formulas and drawings say besides what they show.
+UNSEEN = set("annotation annotation-xml desc metadata".split())
+#: Parts of formulas and drawings: like inline elements, but words don't run on through them.
+DRAWN = set(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle"
+    " msub msubsup msup mtable mtd mtext mtr munder munderover none semantics svg circle clippath defs ellipse filter foreignobject g image"
+    " line lineargradient marker mask path pattern polygon polyline radialgradient rect stop switch symbol text textpath tspan use view"
+    " animate animatemotion animatetransform mpath set".split()
+)
 ALONE = set("br hr img input meta link area base col embed param source track wbr".split())
 #: What an opening tag ends if it is open.
 ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
@@ -50,8 +60,6 @@ TOP_WORDS = set("header head banner".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？]")
 #: A path is content from this share of the best score on.
 THRESHOLD = 0.1
-#: The article holds this share of the text of content paths.
-MOST = 0.7
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S
@@ -67,11 +75,13 @@ class _Page:
         self.above = [-1]
         self.marginal = [False]
         self.article = [False]
+        self.holds = [False]
         self.tags = [""]
         self.blocks: list[tuple[int, str, int]] = []  # path, text, characters in links
         self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, path, silent
         self.names: Counter[str] = Counter()
         self.parts: list[str] = []
+        self.heads = 0
         self.link_begin, self.link_size = -1, 0
         self.size = 0
 
@@ -117,7 +127,9 @@ class _Page:
             self.tags.append(tag)
             self.marginal.append(self.marginal[path] or marginal and tag not in ("html", "body"))
             self.article.append(inside or is_article)
+            self.holds.append(is_article)
         self.open.append((tag, number, silent or hidden or tag in SILENT))
+        self.heads += tag == "h1" and not self.marginal[number]
         self.names[tag] += 1
 
     def _near(self, name: str) -> bool:
@@ -138,6 +150,11 @@ class _Page:
                     break
 
 
+def _hides(attributes: str) -> bool:
+    found = [(name.lower(), value.strip("\"'").lower()) for name, value in _ATTRIBUTE.findall(attributes)]
+    return any(name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true" for name, value in found)
+
+
 def _read(content: str) -> _Page:
     page, at = _Page(), 0
     while found := _TOKEN.search(content, at):
@@ -150,6 +167,12 @@ def _read(content: str) -> _Page:
         if tag in RAW and not closing:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(content, at)
             at = end.end() if end else len(content)
+        elif tag in UNSEEN or tag == "svg" and _hides(attributes):
+            if not closing and not attributes.endswith("/"):
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(content, at)
+                at = end.end() if end else at
+        elif tag in DRAWN:
+            page.text(" ")
         elif tag == "a":
             page.link(not closing)
         elif tag == "br":
@@ -189,22 +212,28 @@ def _scores(page: _Page) -> dict[int, float]:
     return scores
 
 
-def main_text(content: str) -> str:
+def main_text(html_text: str) -> str:
     """The article of a page: its blocks in page order, one per line; empty if there is none."""
-    page = _read(content)
+    page = _read(html_text)
     scores = _scores(page)
     least = THRESHOLD * max(scores.values(), default=0.0)
-    within: Counter[int] = Counter()
-    for path, text, _ in page.blocks:
-        if scores[path] > 0 and scores[path] >= least:
-            while path >= 0:
-                within[path] += len(text)
-                path = page.above[path]
-    if not within:
+    content = {path for path, score in scores.items() if score > 0 and score >= least}
+    if not content:
         return ""
-    # Paths are numbered from the root down, so the last one with enough text is the innermost.
-    whole = within[0]
-    article = max(path for path, size in within.items() if size >= MOST * whole and page.tags[path] not in PARTS)
+    # The only h1 of a page is its title, as is each one inside an article.
+    titles = {path for path, _, _ in page.blocks if page.tags[path] == "h1" and not page.marginal[path]}
+    content |= {path for path in titles if page.article[path] or page.heads == 1}
+    article = content.pop()
+    for path in content:
+        # Paths are numbered from the root down, so the later one of two is not above the other.
+        while path != article:
+            path, article = min(path, article), page.above[max(path, article)]
+    while page.tags[article] in PARTS:
+        article = page.above[article]
+    around = article
+    while around >= 0 and not page.holds[around]:
+        around = page.above[around]
+    article = article if around < 0 else around
     kept = [False] * len(page.above)
     for path in range(len(kept)):
         kept[path] = path == article or page.above[path] >= 0 and kept[page.above[path]]

@@ -49,6 +49,36 @@ def test_by_hand(page, text):
     assert main_text(page) == text
 
 
+LEAD = "A short lead, of one line."
+BODY = "".join(f"<p>Sentence {k}, which is somewhat longer, and goes on; it ends here.</p>" for k in range(8))
+BODY_LINES = [f"Sentence {k}, which is somewhat longer, and goes on; it ends here." for k in range(8)]
+TAIL = "A section at the end, of some length, with marks; and a full stop."
+
+
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_all_of_an_article(around):
+    """Title, lead and a second section stay when most text is in one inner container; what is marginal goes."""
+    page = (
+        f"<body><nav><a href=x>Home</a></nav><{around}><h1>T</h1><div class=lead>{LEAD}</div><div class=body>{BODY}</div>"
+        f"<section class=end><p>{TAIL}</p></section><div class=share>Share, now.</div></{around}><footer>F, g.</footer></body>"
+    )
+    assert main_text(page).split("\n") == ["T", LEAD, *BODY_LINES, TAIL]
+
+
+@pytest.mark.parametrize("share", [3, 8])
+def test_sections_of_different_classes(share):
+    page = f"<div><section class=one>{BODY}</section><section class=two>{BODY[: BODY.index('<p>Sentence 2')] if share == 3 else BODY}</section></div>"
+    assert main_text(page).split("\n") == BODY_LINES + BODY_LINES[: 2 if share == 3 else 8]
+
+
+def test_formulas_and_drawings():
+    math = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding=t>x=2</annotation></semantics></math>"
+    drawing = '<svg viewBox="0 0 1 1"><title>no</title><path d="M0"/><g><text x=1>Axis <tspan>label</tspan></text></g></svg>'
+    icon = '<svg aria-hidden="true"><text>icon</text></svg>'
+    page = f"<article><p>So {math} holds, {icon}as said.</p><figure>{drawing}</figure><p>End, here.</p></article>"
+    assert main_text(page) == "So x = 2 holds, as said.\nAxis label\nEnd, here."
+
+
 def test_table(spark):
     rows = [(1, None, "k", "old"), (2, "<p>A.</p>", "k", "old"), (None, "<p>A.</p>", "k", "old")]
     pages = spark.createDataFrame(rows, "page_id long, html string, url string, text string")
