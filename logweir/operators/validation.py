@@ -20,9 +20,10 @@ from logweir.functions.attributes import (
 from logweir.functions.text import is_blank
 from logweir.functions.timestamps import strict_timestamp
 from logweir.session import compute_once
-from logweir.sources.requests import EMPTY_BATCH
+from logweir.sources.requests import EMPTY_BATCH, entry_texts
 
 NOT_AN_OBJECT = "log entry must be an object"
+BEYOND_LIMITS = "log entry exceeds the limits of the JSON parser"
 LOG_FIELDS = ("timestamp", "level", "service", "message", "attributes", "attributes_search")
 
 
@@ -91,7 +92,8 @@ def validate_entries(entries: DataFrame, now: datetime | str | Column) -> DataFr
         "attributes must be a flat object",
     ).otherwise(F.get("faults", F.lit(0)))
     # A field of a non-object is missing, so only rows without a timestamp can be non-objects.
-    shape_reason = F.when(
+    beyond = F.schema_of_variant("entry") == "BINARY"
+    shape_reason = F.when(F.col("timestamp_text").isNull() & beyond, BEYOND_LIMITS).when(
         F.col("timestamp_text").isNull()
         & ~F.coalesce(F.schema_of_variant("entry").startswith("OBJECT"), F.lit(False)),
         NOT_AN_OBJECT,
@@ -122,7 +124,9 @@ def validate_entries(entries: DataFrame, now: datetime | str | Column) -> DataFr
         *(F.when(accepted, F.col(name)).alias(name) for name in ("timestamp", "level", "service", "message")),
         F.when(accepted, F.coalesce("attributes", F.parse_json(F.lit("{}")))).alias("attributes"),
         F.when(accepted & ~F.col("slow_numbers"), texts).alias("attributes_search"),
-        F.when(~accepted, F.to_json("entry")).alias("raw"),
+        F.when(~accepted & beyond, F.try_variant_get("entry", "$", "binary").cast("string"))
+        .when(~accepted, F.to_json("entry"))
+        .alias("raw"),
         "slow_numbers",
         "order_unsure",
     )
@@ -141,6 +145,8 @@ def settle_attribute_order(rejects: DataFrame, requests: DataFrame) -> DataFrame
     unsure = rejects.where(F.col("order_unsure"))
     bodies = requests.join(unsure.select("request_seq").distinct(), "request_seq", "left_semi")
     texts = F.from_json(F.call_function("get_json_object", F.col("body"), F.lit("$.logs")), "array<string>")
+    # This lookup has the parser's limits, too.
+    texts = F.coalesce(texts, entry_texts(F.col("body")))
     sent = bodies.select("request_seq", F.posexplode(texts).alias("entry_index", "sent"))
     unsure = unsure.join(sent, ["request_seq", "entry_index"], "left")
     attributes = F.expr("try_variant_get(try_parse_json(raw), '$.attributes', 'map<string,variant>')")

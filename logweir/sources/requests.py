@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweir import schema
@@ -19,6 +19,14 @@ NOT_A_BATCH = "request body must be an object with a logs array"
 TOO_LARGE = f"logs batch exceeds maximum of {schema.MAX_LOGS_PER_BATCH}"
 EMPTY_BATCH = "logs must contain at least one entry"
 
+#: The syntax that the parser checks, without its limits.
+UNLIMITED = {
+    "maxNestingDepth": str(2**31 - 1), "maxNumLen": str(2**31 - 1), "maxStringLen": str(2**31 - 1),
+    "allowSingleQuotes": "false", "allowNonNumericNumbers": "false",
+}
+#: Pieces of a JSON text, each up to the next character that may mean something.
+PIECES = r'[^"\\\[\]{},]*+(?:\\(?s:.)|["\[\]{},]|\z)'
+
 # A text line and the file split it comes from.
 LINE_COLUMNS = (
     "value AS body",
@@ -66,20 +74,92 @@ def number_lines(placed: DataFrame) -> DataFrame:
     )
 
 
+def _is_json(text: Column, mark: str) -> Column:
+    """Whether a text is one JSON value by its syntax, of any depth and with numbers of any length."""
+    framed = F.concat(F.lit('{"value":'), text, F.lit(f',"mark":"{mark}"}}'))
+    return F.coalesce(F.from_json(framed, "mark string", UNLIMITED)["mark"] == mark, F.lit(False))
+
+
+def entry_texts(body: Column) -> Column:
+    """The texts of the entries of ``$.logs`` as they were sent, NULL when that is no array.
+
+    ``body`` is JSON by its syntax. One pass over its pieces follows strings and
+    depth and notes the first and last piece of each entry.
+    """
+    pieces = F.regexp_extract_all(body, F.lit(PIECES), F.lit(0))
+    cuts_type = "array<struct<first:int,last:int>>"
+    none = F.lit(None).cast(cuts_type)
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit("").alias("string"),
+        F.lit(False).alias("key_next"), F.lit(False).alias("is_logs"), F.lit(False).alias("inside"), F.lit(0).alias("first"), none.alias("cuts"),
+    )
+
+    def step(state: Column, piece: Column) -> Column:
+        sign = F.right(piece, F.lit(1))
+        escape = F.substring(piece, -2, 1) == "\\"
+        quote = (sign == '"') & ~escape
+        opens, closes = ~state["quoted"] & sign.isin("[", "{"), ~state["quoted"] & sign.isin("]", "}")
+        comma = ~state["quoted"] & (sign == ",")
+        depth = state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        top = state["depth"] == 1
+        key_begins, key_ends = quote & ~state["quoted"] & state["key_next"], quote & state["quoted"] & state["key_next"]
+        # A key may be written with escapes.
+        string = F.when(key_begins, '"').when(state["quoted"] & state["key_next"], F.concat(state["string"], piece)).otherwise(F.lit(""))
+        named = F.coalesce(F.from_json(F.concat(F.lit('{"key":'), string, F.lit("}")), "key string")["key"] == "logs", F.lit(False))
+        is_logs = F.when(key_ends, named).when(top & comma, F.lit(False)).otherwise(state["is_logs"])
+        begins = top & opens & (sign == "[") & state["is_logs"]
+        ends = state["inside"] & (state["depth"] == 2) & (comma | closes)
+        cut = F.struct(state["first"].alias("first"), state["at"].alias("last"))
+        # The last one of several keys wins.
+        cuts = F.when(key_ends & named, none).when(begins, F.array().cast(cuts_type)).when(ends, F.concat(state["cuts"], F.array(cut))).otherwise(state["cuts"])
+        key_next = F.when(opens & (state["depth"] == 0) & (sign == "{") | top & comma, F.lit(True)).when(key_ends, F.lit(False)).otherwise(state["key_next"])
+        return F.struct(
+            (state["at"] + 1).alias("at"), depth.alias("depth"), (state["quoted"] != quote).alias("quoted"), string.alias("string"),
+            key_next.alias("key_next"), is_logs.alias("is_logs"),
+            F.when(begins, F.lit(True)).when(ends & closes, F.lit(False)).otherwise(state["inside"]).alias("inside"),
+            F.when(begins | ends, state["at"] + 1).otherwise(state["first"]).alias("first"), cuts.alias("cuts"),
+        )
+
+    cut_of = F.struct(pieces.alias("pieces"), F.aggregate(pieces, start, step)["cuts"].alias("cuts"))
+
+    def texts(found: Column) -> Column:
+        joined = lambda cut: F.array_join(F.slice(found["pieces"], cut["first"] + 1, cut["last"] - cut["first"] + 1), "")
+        # The last piece ends with the comma or bracket behind the entry.
+        bare = F.transform(F.transform(found["cuts"], joined), lambda text: F.substr(text, F.lit(1), F.length(text) - 1))
+        return F.filter(F.transform(bare, lambda text: F.btrim(text, F.lit(" \t\r\n"))), lambda text: text != "")
+
+    return F.get(F.transform(F.array(cut_of), texts), F.lit(0))
+
+
+def _entry_or_text(text: Column) -> Column:
+    """The entry, or if the parser refuses it its text as a binary value, which no JSON gives."""
+    entry = F.from_json(F.concat(F.lit('{"entry":'), text, F.lit("}")), "entry variant")["entry"]
+    return F.coalesce(entry, text.cast("binary").cast("variant"))
+
+
 def parse_requests(requests: DataFrame) -> DataFrame:
     """Replace ``body`` by ``entries ARRAY<VARIANT>`` (NULL when it is no batch), ``n_entries`` and ``error``.
 
     The parser stops behind the first value, so the body is parsed as the first
     of two array elements. Only if the second one, a mark that no body knows, is
     where it belongs was there nothing else in the body.
+
+    The parser has limits (1,000 digits, 1,000 levels). Only a body that it
+    refuses although its syntax is right is cut into its entries, each parsed on
+    its own; one that is refused itself stays as a binary value with its text,
+    a reject of its own.
     """
     mark = uuid.uuid4().hex
     framed = F.try_parse_json(F.concat(F.lit("["), F.col("body"), F.lit(f',"{mark}"]')))
     others = [name for name in requests.columns if name != "body"]
     # Both parts of the frame are read from one parse.
-    framed = requests.select(*others, compute_once(framed=framed))
+    refused = F.when(F.col("framed").isNull(), F.col("body"))
+    framed = requests.select("*", compute_once(framed=framed)).select(*others, "framed", refused.alias("refused"))
     alone = F.try_variant_get("framed", "$[1]", "string") == mark
-    entries = F.when(alone, F.try_variant_get("framed", "$[0].logs", "array<variant>"))
+    one_by_one = F.transform(entry_texts(F.col("refused")), _entry_or_text)
+    entries = F.when(alone, F.try_variant_get("framed", "$[0].logs", "array<variant>")).when(
+        F.col("framed").isNull() & F.col("refused").isNotNull() & _is_json(F.col("refused"), mark), one_by_one
+    )
     parsed = framed.select(*others, compute_once(entries=entries))
     parsed = parsed.withColumn("n_entries", F.when(F.col("entries").isNotNull(), F.size("entries")))
     error = F.when(F.col("n_entries").isNull(), NOT_A_BATCH).when(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logweir.functions.attributes import add_search_map, ordered_keys
 from logweir.functions.timestamps import iso_timestamp
-from logweir.operators.validation import batch_report, rejected_rows, settle_attribute_order, validate_entries
+from logweir.operators.validation import BEYOND_LIMITS, NOT_AN_OBJECT, batch_report, rejected_rows, settle_attribute_order, validate_entries
 from logweir.sources.requests import explode_entries, explode_requests, parse_requests
 
 FLAT = "attributes must be a flat object"
@@ -148,6 +148,38 @@ def test_first_bad_attribute_in_sent_order(spark):
     assert [row.reason for row in settled] == [scalar("zeta"), scalar("9"), "invalid level: 'x'", scalar("only")]
 
 
+LONG, DEEP = "7" * 1_500, "[" * 1_200 + "]" * 1_200
+
+
+@pytest.mark.parametrize("value", [LONG, DEEP, '{"a":' * 1_100 + "1" + "}" * 1_100])
+def test_an_entry_beyond_the_parsers_limits(spark, value):
+    """Its neighbours survive, in their places and with their reasons; only syntax refuses a body."""
+    good = json.dumps(entry(message='a "quoted", [x} \\ é \\"'))
+    bad = '{"timestamp":"2021-01-01T00:00:00Z","attributes":{"n":%s}}' % value
+    unsure = json.dumps(entry(attributes={"zeta": None, "ok": 1, "alpha": []}))
+    bodies = [
+        '{"x":{"logs":[1]},"logs":[9],"kind":"logs", "l\\u006fgs" : [ %s ,%s, "a,b", null,\n%s,%s]}' % (good, bad, unsure, good),
+        '{"logs":[%s,%s,{"b":}]}' % (good, bad),
+        '{"logs":[%s,%s]} x' % (good, bad),
+        '{"logs":[%s],"logs":{"n":%s}}' % (good, value),
+        '{"q":%s,"logs":[%s]}' % (value, good),
+        '{"q":%s,"logs":[ ]}' % value,
+        '["logs",[%s,%s]]' % (good, bad),
+    ]
+    sent = requests(spark, *bodies)
+    parsed = parse_requests(sent)
+    states = [row.n_entries for row in parsed.orderBy("request_seq").collect()]
+    assert states == [6, None, None, None, 1, 0, None]
+    validated = validate_entries(explode_entries(parsed), NOW)
+    rows = validated.orderBy("request_seq", "entry_index").collect()
+    of_first = [row.reason for row in rows[:6]]
+    assert of_first[:4] == [None, BEYOND_LIMITS, NOT_AN_OBJECT, NOT_AN_OBJECT] and of_first[5] is None
+    assert rows[1].raw == bad and rows[0].message == rows[5].message == 'a "quoted", [x} \\ é \\"'
+    assert [row.reason for row in rows[6:]] == [None]
+    settled = settle_attribute_order(validated.where("reason is not null"), sent).where("entry_index = 4").collect()
+    assert [row.reason for row in settled] == [scalar("zeta")]
+
+
 def test_ordered_keys(spark):
     text = '{"b":1,"2":1,"a":{"x":1},"01":1,"10":1,"4294967295":1,"b":2,"0":1}'
     found = spark.createDataFrame([(text,)], "t string").select(ordered_keys(F.col("t"))).first()[0]
