@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
+from itertools import count
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,6 +86,17 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text that is not null, as an array."""
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, or the first of ``name_2, name_3, ...`` that is not among ``taken``; case does not tell names apart."""
+    used = {other.lower() for other in taken}
+    return next(found for k in count(1) if (found := name if k == 1 else f"{name}_{k}").lower() not in used)
+
+
 def hex_bits(text: Column, digits: int = 15) -> Column:
     """The first hex digits of a text's MD5 as a long: a seeded, portable hash."""
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
