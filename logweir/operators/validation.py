@@ -20,7 +20,7 @@ from logweir.functions.attributes import (
 from logweir.functions.text import is_blank
 from logweir.functions.timestamps import strict_timestamp
 from logweir.session import compute_once
-from logweir.sources.requests import EMPTY_BATCH, entry_texts
+from logweir.sources.requests import EMPTY_BATCH, UNLIMITED, tamed
 
 NOT_AN_OBJECT = "log entry must be an object"
 BEYOND_LIMITS = "log entry exceeds the limits of the JSON parser"
@@ -144,9 +144,9 @@ def settle_attribute_order(rejects: DataFrame, requests: DataFrame) -> DataFrame
     sure = rejects.where(~F.col("order_unsure")).select(*columns)
     unsure = rejects.where(F.col("order_unsure"))
     bodies = requests.join(unsure.select("request_seq").distinct(), "request_seq", "left_semi")
-    texts = F.from_json(F.call_function("get_json_object", F.col("body"), F.lit("$.logs")), "array<string>")
-    # This lookup has the parser's limits, too.
-    texts = F.coalesce(texts, entry_texts(F.col("body")))
+    # Entries beyond the parser's limits are of no interest here, but keep their places.
+    body = F.when(F.try_parse_json("body").isNull(), tamed(F.col("body"), "")).otherwise(F.col("body"))
+    texts = F.from_json(body, "logs array<string>", UNLIMITED)["logs"]
     sent = bodies.select("request_seq", F.posexplode(texts).alias("entry_index", "sent"))
     unsure = unsure.join(sent, ["request_seq", "entry_index"], "left")
     attributes = F.expr("try_variant_get(try_parse_json(raw), '$.attributes', 'map<string,variant>')")

@@ -24,8 +24,15 @@ UNLIMITED = {
     "maxNestingDepth": str(2**31 - 1), "maxNumLen": str(2**31 - 1), "maxStringLen": str(2**31 - 1),
     "allowSingleQuotes": "false", "allowNonNumericNumbers": "false",
 }
-#: Pieces of a JSON text, each up to the next character that may mean something.
-PIECES = r'[^"\\\[\]{},]*+(?:\\(?s:.)|["\[\]{},]|\z)'
+#: Of the parser: levels of a value, characters of a number.
+LEVELS, DIGITS = 1_000, 1_000
+# Parts of a JSON text. All quantifiers are possessive: no part is read twice, whatever follows.
+_STRING = r'"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"'
+_NUMBER = r"-?+[0-9][-+0-9.eE]"
+_LONG = f"{_NUMBER}{{{DIGITS},}}+"
+_FLAT = rf'(?:[^"\[\]{{}}0-9-]++|{_STRING}|{_NUMBER}{{0,{DIGITS - 1}}}+(?![-+0-9.eE]))*+'
+#: Pieces of a JSON text, each up to a bracket or a long number; flat arrays and objects are no ends.
+PIECES = rf"(?:[^\"\[\]{{}}0-9-]++|{_STRING}|{_NUMBER}{{0,{DIGITS - 1}}}+(?![-+0-9.eE])|\[{_FLAT}\]|\{{{_FLAT}\}})*+(?:[\[\]{{}}]|{_LONG}|\z)"
 
 # A text line and the file split it comes from.
 LINE_COLUMNS = (
@@ -80,61 +87,68 @@ def _is_json(text: Column, mark: str) -> Column:
     return F.coalesce(F.from_json(framed, "mark string", UNLIMITED)["mark"] == mark, F.lit(False))
 
 
-def entry_texts(body: Column) -> Column:
-    """The texts of the entries of ``$.logs`` as they were sent, NULL when that is no array.
+def tamed(body: Column, mark: str) -> Column:
+    """``body`` with what is beyond the parser's limits put into strings that begin with ``mark``.
 
-    ``body`` is JSON by its syntax. One pass over its pieces follows strings and
-    depth and notes the first and last piece of each entry.
+    ``body`` is JSON by its syntax. An entry, which is a value on the third
+    level, goes as a whole if it holds a long number or too many levels, with
+    its text as it was sent; a long number above that level goes alone. One pass
+    over pieces between brackets notes the first and last piece of each.
     """
     pieces = F.regexp_extract_all(body, F.lit(PIECES), F.lit(0))
     cuts_type = "array<struct<first:int,last:int>>"
-    none = F.lit(None).cast(cuts_type)
     start = F.struct(
-        F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit("").alias("string"),
-        F.lit(False).alias("key_next"), F.lit(False).alias("is_logs"), F.lit(False).alias("inside"), F.lit(0).alias("first"), none.alias("cuts"),
+        F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("beyond"), F.lit(0).alias("first"),
+        F.array().cast(cuts_type).alias("cuts"),
     )
 
     def step(state: Column, piece: Column) -> Column:
         sign = F.right(piece, F.lit(1))
-        escape = F.substring(piece, -2, 1) == "\\"
-        quote = (sign == '"') & ~escape
-        opens, closes = ~state["quoted"] & sign.isin("[", "{"), ~state["quoted"] & sign.isin("]", "}")
-        comma = ~state["quoted"] & (sign == ",")
+        opens, closes = sign.isin("[", "{"), sign.isin("]", "}")
+        number = ~opens & ~closes & (sign != "")
         depth = state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        top = state["depth"] == 1
-        key_begins, key_ends = quote & ~state["quoted"] & state["key_next"], quote & state["quoted"] & state["key_next"]
-        # A key may be written with escapes.
-        string = F.when(key_begins, '"').when(state["quoted"] & state["key_next"], F.concat(state["string"], piece)).otherwise(F.lit(""))
-        named = F.coalesce(F.from_json(F.concat(F.lit('{"key":'), string, F.lit("}")), "key string")["key"] == "logs", F.lit(False))
-        is_logs = F.when(key_ends, named).when(top & comma, F.lit(False)).otherwise(state["is_logs"])
-        begins = top & opens & (sign == "[") & state["is_logs"]
-        ends = state["inside"] & (state["depth"] == 2) & (comma | closes)
-        cut = F.struct(state["first"].alias("first"), state["at"].alias("last"))
-        # The last one of several keys wins.
-        cuts = F.when(key_ends & named, none).when(begins, F.array().cast(cuts_type)).when(ends, F.concat(state["cuts"], F.array(cut))).otherwise(state["cuts"])
-        key_next = F.when(opens & (state["depth"] == 0) & (sign == "{") | top & comma, F.lit(True)).when(key_ends, F.lit(False)).otherwise(state["key_next"])
+        entry_begins, entry_ends = opens & (depth == 3), closes & (depth == 2)
+        alone = number & (depth < 3) & piece.rlike(rf"(?:\A|[^-+0-9.eE]){_LONG}\z")
+        cut = F.struct(F.when(alone, state["at"]).otherwise(state["first"]).alias("first"), state["at"].alias("last"))
+        ends = alone | entry_ends & state["beyond"]
         return F.struct(
-            (state["at"] + 1).alias("at"), depth.alias("depth"), (state["quoted"] != quote).alias("quoted"), string.alias("string"),
-            key_next.alias("key_next"), is_logs.alias("is_logs"),
-            F.when(begins, F.lit(True)).when(ends & closes, F.lit(False)).otherwise(state["inside"]).alias("inside"),
-            F.when(begins | ends, state["at"] + 1).otherwise(state["first"]).alias("first"), cuts.alias("cuts"),
+            (state["at"] + 1).alias("at"), depth.alias("depth"),
+            F.when(entry_begins, F.lit(False)).otherwise(state["beyond"] | number | (depth >= LEVELS)).alias("beyond"),
+            F.when(entry_begins, state["at"]).otherwise(state["first"]).alias("first"),
+            F.when(ends, F.concat(state["cuts"], F.array(cut))).otherwise(state["cuts"]).alias("cuts"),
         )
 
-    cut_of = F.struct(pieces.alias("pieces"), F.aggregate(pieces, start, step)["cuts"].alias("cuts"))
+    found = F.struct(pieces.alias("pieces"), F.aggregate(pieces, start, step)["cuts"].alias("cuts"))
 
-    def texts(found: Column) -> Column:
-        joined = lambda cut: F.array_join(F.slice(found["pieces"], cut["first"] + 1, cut["last"] - cut["first"] + 1), "")
-        # The last piece ends with the comma or bracket behind the entry.
-        bare = F.transform(F.transform(found["cuts"], joined), lambda text: F.substr(text, F.lit(1), F.length(text) - 1))
-        return F.filter(F.transform(bare, lambda text: F.btrim(text, F.lit(" \t\r\n"))), lambda text: text != "")
+    def joined(found: Column, first: Column, last: Column) -> Column:
+        return F.array_join(F.slice(found["pieces"], first + 1, F.greatest(last - first + 1, F.lit(0))), "")
 
-    return F.get(F.transform(F.array(cut_of), texts), F.lit(0))
+    def replaced(found: Column) -> Column:
+        def one(cut: Column, k: Column) -> Column:
+            before = joined(found, F.coalesce(F.get(found["cuts"], k - 1)["last"] + 1, F.lit(0)), cut["first"])
+            # The first piece ends with what opens the entry, or with the number.
+            begin = F.when(cut["first"] == cut["last"], F.regexp_extract(before, f"({_LONG})\\z", 1)).otherwise(F.right(before, F.lit(1)))
+            text = F.concat(begin, joined(found, cut["first"] + 1, cut["last"]))
+            for plain, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+                text = F.replace(text, F.lit(plain), F.lit(written))
+            return F.concat(F.left(before, F.length(before) - F.length(begin)), F.lit(f'"{mark}'), text, F.lit('"'))
 
+        rest = joined(found, F.coalesce(F.get(found["cuts"], F.size(found["cuts"]) - 1)["last"] + 1, F.lit(0)), F.size(found["pieces"]))
+        return F.concat(F.array_join(F.transform(found["cuts"], one), ""), rest)
 
-def _entry_or_text(text: Column) -> Column:
-    """The entry, or if the parser refuses it its text as a binary value, which no JSON gives."""
-    entry = F.from_json(F.concat(F.lit('{"entry":'), text, F.lit("}")), "entry variant")["entry"]
-    return F.coalesce(entry, text.cast("binary").cast("variant"))
+    return F.get(F.transform(F.array(found), replaced), F.lit(0))
+
+
+def _framed(body: Column, mark: str) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), body, F.lit(f',"{mark}"]')))
+
+
+def _entry_or_text(entry: Column, mark: str) -> Column:
+    """The entry; one that was put into a string is parsed alone, or if the parser refuses it its text as a binary value, which no JSON gives."""
+    text = F.try_variant_get(entry, "$", "string")
+    text = F.when((F.schema_of_variant(entry) == "STRING") & text.startswith(mark), F.substr(text, F.lit(len(mark) + 1)))
+    parsed = F.from_json(F.concat(F.lit('{"entry":'), text, F.lit("}")), "entry variant")["entry"]
+    return F.when(text.isNull(), entry).otherwise(F.coalesce(parsed, text.cast("binary").cast("variant")))
 
 
 def parse_requests(requests: DataFrame) -> DataFrame:
@@ -145,21 +159,25 @@ def parse_requests(requests: DataFrame) -> DataFrame:
     where it belongs was there nothing else in the body.
 
     The parser has limits (1,000 digits, 1,000 levels). Only a body that it
-    refuses although its syntax is right is cut into its entries, each parsed on
-    its own; one that is refused itself stays as a binary value with its text,
-    a reject of its own.
+    refuses although its syntax is right is parsed again with the entries beyond
+    them put into strings; one that is refused alone, too, stays as a
+    binary value with its text, a reject of its own. All of that takes a time in
+    proportion to the body's length.
     """
     mark = uuid.uuid4().hex
-    framed = F.try_parse_json(F.concat(F.lit("["), F.col("body"), F.lit(f',"{mark}"]')))
     others = [name for name in requests.columns if name != "body"]
-    # Both parts of the frame are read from one parse.
-    refused = F.when(F.col("framed").isNull(), F.col("body"))
-    framed = requests.select("*", compute_once(framed=framed)).select(*others, "framed", refused.alias("refused"))
+    once = requests.select("*", compute_once(framed=_framed(F.col("body"), mark)))
+    # A parse that succeeded is not looked at again; the body goes no further.
+    again = F.when(F.col("framed").isNull() & F.col("body").isNotNull() & _is_json(F.col("body"), mark), _framed(tamed(F.col("body"), mark), mark))
+    framed = once.select(*others, compute_once(framed=F.coalesce("framed", again), is_tamed=F.col("framed").isNull()))
     alone = F.try_variant_get("framed", "$[1]", "string") == mark
-    one_by_one = F.transform(entry_texts(F.col("refused")), _entry_or_text)
-    entries = F.when(alone, F.try_variant_get("framed", "$[0].logs", "array<variant>")).when(
-        F.col("framed").isNull() & F.col("refused").isNotNull() & _is_json(F.col("refused"), mark), one_by_one
-    )
+    entries = F.when(alone, F.try_variant_get("framed", "$[0].logs", "array<variant>"))
+
+    def restored(found: Column) -> Column:
+        too_many = F.size(found) > schema.MAX_LOGS_PER_BATCH
+        return F.when(too_many, found).otherwise(F.transform(found, lambda entry: _entry_or_text(entry, mark)))
+
+    entries = F.when(F.col("is_tamed"), F.get(F.transform(F.array(entries), restored), F.lit(0))).otherwise(entries)
     parsed = framed.select(*others, compute_once(entries=entries))
     parsed = parsed.withColumn("n_entries", F.when(F.col("entries").isNotNull(), F.size("entries")))
     error = F.when(F.col("n_entries").isNull(), NOT_A_BATCH).when(

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from cases import ABSENT, BASE, NOW, body, entry, requests
@@ -180,6 +181,37 @@ def test_an_entry_beyond_the_parsers_limits(spark, value):
     assert [row.reason for row in settled] == [scalar("zeta")]
 
 
+@pytest.mark.parametrize("place", ["first", "last", "alone"])
+def test_what_is_beyond_the_limits_is_one_entry(spark, place):
+    """Long numbers as entries, several faults in one entry, and values at the limits themselves."""
+    good, exact = json.dumps(entry()), '{"n":%s}' % ("8" * 1_000)
+    bad = [LONG, "-" + LONG + ".5e3", '{"a":[%s,{"b":%s}],"c":"] \\" }"}' % (LONG, DEEP), "[%s , %s]" % (LONG, LONG), '"%s"' % LONG]
+    sent = bad + [good, exact] if place == "first" else [good, exact, *bad] if place == "last" else bad
+    rows = validate_entries(explode_entries(parse_requests(requests(spark, '{"logs":[%s]}' % " ,\n".join(sent)))), NOW).orderBy("entry_index").collect()
+    found = {text: (row.reason, row.raw) for text, row in zip(sent, rows, strict=True)}
+    assert [found[text] for text in bad[:4]] == [(BEYOND_LIMITS, text) for text in bad[:4]]
+    assert found[bad[4]][0] == NOT_AN_OBJECT
+    if place != "alone":
+        assert found[good][0] is None and found[exact][0] == "timestamp is required and must be a string"
+
+
+@pytest.mark.parametrize("shape", ["[%s]", '{"k":"a,{[","v":[%s,{"w":{}}]}', "%s"])
+def test_cutting_takes_a_time_in_proportion_to_the_length(spark, shape):
+    """Sixteen times the entries take less than forty times as long; a body of over 5,000 is refused as any other."""
+
+    def seconds(n):
+        body = '{"logs":[%s,%s]}' % (",".join([shape % "1"] * n), LONG)
+        sent = requests(spark, body).repartition(1)
+        began = time.monotonic()
+        row = parse_requests(sent).select("n_entries", "error").first()
+        assert tuple(row) == (n + 1, None if n < 5_000 else "logs batch exceeds maximum of 5000")
+        return time.monotonic() - began
+
+    seconds(1_000)
+    few = min(seconds(4_000) for _ in range(2))
+    assert seconds(64_000) < 40 * max(few, 0.2)
+
+
 def test_ordered_keys(spark):
     text = '{"b":1,"2":1,"a":{"x":1},"01":1,"10":1,"4294967295":1,"b":2,"0":1}'
     found = spark.createDataFrame([(text,)], "t string").select(ordered_keys(F.col("t"))).first()[0]
