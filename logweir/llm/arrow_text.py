@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time; a longer text comes alone.
-BYTES = 4 << 20
+BYTES = 1 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = BYTES) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from hashlib import sha256
 from itertools import chain
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from logweir.llm import arrow_text
-from logweir.llm.common import Scratch, map_arrow
+from logweir.llm.common import Scratch, map_arrow, quoted
 from logweir.llm.transducer import LONGEST, Transducer, compile_transducer, gathered, mapped, starts
 
 #: Words in the lexicon, which bounds what the driver gathers and sends.
 LEXICON = 1 << 18
 #: Unseen words that a worker remembers.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 15
 #: Bytes of a word up to which pairs are searched one by one.
 SHORT = 64
 #: Greater than any rank.
@@ -275,16 +276,11 @@ def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
     return found
 
 
-def _tools(content: str, block: bytes) -> tuple[Encoder, Decoder]:
-    """Encoder and decoder, made once per Python worker."""
-    key = hash(block)
-    if _TOOLS.get("key") != key:
-        vocabulary = Vocabulary(content)
-        _TOOLS.update(key=key, tools=(Encoder(vocabulary, Transducer(mapped(block))), Decoder(vocabulary)))
-    return _TOOLS["tools"]
-
-
-_TOOLS: dict = {}
+@contextmanager
+def _tools(content: str, block: bytes) -> Iterator[tuple[Encoder, Decoder]]:
+    """Encoder and decoder for one task; a worker that waits for the next keeps nothing of them."""
+    vocabulary = Vocabulary(content)
+    yield Encoder(vocabulary, Transducer(mapped(block))), Decoder(vocabulary)
 
 
 def _sent(docs: DataFrame, vocabulary_file: str, text: str, lexicon_words: int) -> Broadcast:
@@ -308,12 +304,31 @@ def encode(docs: DataFrame, vocabulary_file: str, text: str = "text", lexicon_wo
     rows = docs.select(*[name for name in docs.columns if name != "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = _tools(*sent.value)
-        for batch in batches:
-            for part in arrow_text.slices(batch, text):
-                ids, offsets = encoder.encode(arrow_text.texts(part.column(text)))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "ids"])
+        with _tools(*sent.value) as (encoder, _):
+            for batch in batches:
+                for part in arrow_text.slices(batch, text):
+                    lists = _lists(*encoder.encode(arrow_text.texts(part.column(text))))
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "ids"])
+
+    return map_arrow(rows, run, StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+
+
+def _lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+
+
+def round_trip(docs: DataFrame, vocabulary_file: str, text: str = "text", lexicon_words: int = LEXICON) -> DataFrame:
+    """``docs`` with ``ids`` as of :func:`encode`, and as text the one decoded from these; both in one pass of one worker."""
+    sent = _sent(docs, vocabulary_file, text, lexicon_words)
+    rows = docs.select(*[quoted(name) for name in docs.columns if name != "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _tools(*sent.value) as (encoder, decoder):
+            for batch in batches:
+                for part in arrow_text.slices(batch, text):
+                    ids, offsets = encoder.encode(arrow_text.texts(part.column(text)))
+                    part = part.set_column(part.schema.names.index(text), text, pa.array(decoder.decode(ids, offsets), pa.string()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids, offsets)], [*part.schema.names, "ids"])
 
     return map_arrow(rows, run, StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
@@ -349,17 +364,17 @@ def token_digests(docs: DataFrame, vocabulary_file: str, lexicon_words: int = LE
     sent = _sent(docs, vocabulary_file, "text", lexicon_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = _tools(*sent.value)
-        names = [b"%d," % number for number in range(len(decoder.offsets) - 1)]
-        digits, places = np.frombuffer(b"".join(names), np.uint8), starts(np.fromiter(map(len, names), np.int64, len(names)))
-        for batch in batches:
-            for part in arrow_text.slices(batch):
-                ids, offsets = encoder.encode(arrow_text.texts(part.column("text")))
-                written, lengths = gathered(digits, places, ids)
-                of_ids = [sha256(own[:-1]).hexdigest() for own in _runs(written, starts(lengths)[offsets])]
-                of_text = [sha256(own.encode()).hexdigest() for own in decoder.decode(ids, offsets)]
-                columns = [part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with _tools(*sent.value) as (encoder, decoder):
+            names = [b"%d," % number for number in range(len(decoder.offsets) - 1)]
+            digits, places = np.frombuffer(b"".join(names), np.uint8), starts(np.fromiter(map(len, names), np.int64, len(names)))
+            for batch in batches:
+                for part in arrow_text.slices(batch):
+                    ids, offsets = encoder.encode(arrow_text.texts(part.column("text")))
+                    written, lengths = gathered(digits, places, ids)
+                    of_ids = [sha256(own[:-1]).hexdigest() for own in _runs(written, starts(lengths)[offsets])]
+                    of_text = [sha256(own.encode()).hexdigest() for own in decoder.decode(ids, offsets)]
+                    columns = [part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select("doc_id", "text")
     return map_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

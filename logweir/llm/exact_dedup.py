@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.common import Scratch, ascii_lower, union_all
+from logweir.llm.common import Scratch, ascii_lower, free_name, mark_possible, quoted, union_all
 
 #: A digest is frequent if it has one row in so many; there are at most as many frequent ones.
 FREQUENT = 1_000
@@ -104,13 +104,23 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """``docs`` with one row of each group of equal texts, all columns as they are.
 
     The row with the largest id stays; of rows that repeat both id and text,
-    one; of a group without any id, one.
+    one; of a group without any id, one. Whole rows move only if a bounded map
+    of the ids with anything to drop marks them; the others go on as they were read.
     """
-    # Ranked by narrow rows: the text moves only to its own id.
-    numbered = docs.withColumn("row_text_sha256", F.sha2(ascii_lower(F.col(text)), 256))
-    kept = find_copies(docs, doc_id, text).where("kept").select(
-        F.col("doc_id").alias("kept_doc_id"), F.col("text_sha256").alias("kept_text_sha256")
-    ).distinct()
-    same = (F.col(doc_id).eqNullSafe(F.col("kept_doc_id"))) & (F.col("row_text_sha256") == F.col("kept_text_sha256"))
-    found = numbered.join(kept, same, "left_semi")
-    return found.dropDuplicates([doc_id, "row_text_sha256"]).drop("row_text_sha256")
+    scratch = Scratch(docs.sparkSession)
+    key, stays, n, possible = (free_name(name, docs.columns) for name in ("key", "stays", "n", "possible"))
+
+    def row_key(row_id: Column, digest: Column) -> Column:
+        return F.concat(digest, F.coalesce(row_id.cast("string"), F.lit("-")))
+
+    found = find_copies(docs, doc_id, text).groupBy("doc_id", "text_sha256").agg(F.first("kept").alias(stays), F.count("*").alias(n))
+    odd = found.where(~F.col(stays) | (F.col(n) > 1)).select("doc_id", row_key(F.col("doc_id"), F.col("text_sha256")).alias(key), stays)
+    odd = scratch.keep(odd, "odd")
+    own, content = F.col(quoted(doc_id)), F.col(quoted(text))
+    columns = [quoted(name) for name in docs.columns]
+    marked = mark_possible(docs, own, odd.select(F.col("doc_id").alias(key)), possible)
+    some = marked.where(F.col(possible)).withColumn(key, row_key(own, F.sha2(ascii_lower(content), 256)))
+    some = some.join(odd.drop("doc_id"), key, "left").where(F.coalesce(F.col(stays), F.lit(True)))
+    if not odd.where(F.col(stays)).isEmpty():
+        some = some.dropDuplicates([key])
+    return marked.where(~F.col(possible)).select(*columns).unionAll(some.select(*columns))

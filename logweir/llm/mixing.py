@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.llm.common import WORD, Scratch, hex_bits
+from logweir.llm.common import WORD, Scratch, free_name, hex_bits, quoted
 
 WEIGHTS = (5, 2, 1)
 #: Size of the mix against the size of the input.
@@ -152,24 +152,28 @@ def _taken(sized: DataFrame, quotas: DataFrame, block_words: int) -> DataFrame:
 def _whole(taken: DataFrame) -> DataFrame:
     """``taken`` with the partial document of each quota rounded to a whole copy or none.
 
-    What a source is ahead or behind by is carried from shard to shard, so its
-    words differ from the mix's by half its largest such document at most. One
-    row per source holds its partial documents, one per shard.
+    A source's partial documents, one per shard, stand in a seeded order. Those
+    whose middle lies before the sum of all partial words are taken whole: a prefix
+    sum, by which the source's words differ from the mix's by half its largest
+    such document at most. The window of a source has a row for each shard.
     """
-    rows = Scratch(taken.sparkSession).keep(taken.select("doc_id", "source", "shard", "size", "taken").where("taken > 0"), "taken")
+    rows = Scratch(taken.sparkSession).keep(taken.select("doc_id", "source", "shard", "size", "text_md5", "taken").where("taken > 0"), "taken")
     rest = F.col("taken") % F.col("size")
-    ends = rows.where(rest > 0).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("shard", "size", rest.alias("rest")))).alias("ends"))
-    start = F.struct(F.lit(0).cast("long").alias("ahead"), F.array().cast("array<bigint>").alias("up"))
-
-    def carried(state: Column, end: Column) -> Column:
-        up = 2 * (end["rest"] - state["ahead"]) >= end["size"]
-        ahead = state["ahead"] - end["rest"] + F.when(up, end["size"]).otherwise(F.lit(0).cast("long"))
-        return F.struct(ahead.alias("ahead"), F.when(up, F.concat(state["up"], F.array(end["shard"]))).otherwise(state["up"]).alias("up"))
-
-    ups = ends.select(F.col("source").alias("its_source"), F.explode(F.aggregate("ends", start, carried)["up"]).alias("its_shard"))
+    of_source = Window.partitionBy("source")
+    place = F.md5(F.concat(F.lit(SEED), F.col("shard").cast("string")))
+    ends = rows.where(rest > 0).select("source", "shard", "size", rest.alias("rest"))
+    reach = F.sum("size").over(of_source.orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
+    ends = ends.withColumns({"reach": reach, "wanted": F.sum("rest").over(of_source)})
+    ups = ends.where(2 * F.col("reach") - F.col("size") < 2 * F.col("wanted"))
+    ups = ups.select(F.col("source").alias("its_source"), F.col("shard").alias("its_shard"))
     same = F.col("source").eqNullSafe(F.col("its_source")) & (F.col("shard") == F.col("its_shard"))
     more = F.when((rest > 0) & F.col("its_shard").isNotNull(), F.col("size")).otherwise(F.lit(0).cast("long"))
-    return rows.join(ups, same, "left").withColumn("taken", F.col("taken") - rest + more).select("doc_id", "size", "taken")
+    return rows.join(ups, same, "left").withColumn("taken", F.col("taken") - rest + more)
+
+
+def _row_key(doc_id: Column, text_md5: Column, source: Column) -> Column:
+    """What the mix knows a row by."""
+    return F.concat(text_md5, F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("|"), source), F.lit("")))
 
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, whole: bool = False) -> DataFrame:
@@ -179,29 +183,30 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, whole: bool
     and ``n_chars`` to match if there is such a column. With ``whole`` no text is
     cut: such a document comes as a whole copy more or not, see :func:`_whole`,
     and a source has as many shards as the root of its own documents. Documents
-    that the mix takes no word of are left out.
+    that the mix takes no word of are left out. Texts move once, to their counts.
+    Only if rows repeat id, source and text are these numbered, in a window over
+    the rows alike, which are alike to the mix.
     """
-    if whole:
-        narrow = docs.select("doc_id", "source", "text")
-        taken = _whole(_taken(*_quotas(narrow, block_words, by_source=True), block_words))
-    else:
-        taken = mix(docs, block_words=block_words)
-    taken = taken.where("taken > 0")
-    # Rows of one id and size are alike to the mix; numbered, so that each meets one of its counts.
-    of_id = Window.partitionBy("doc_id", "mix_size")
-    taken = taken.select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"))
-    taken = taken.withColumn("mix_row", F.row_number().over(Window.partitionBy("mix_id", "mix_size").orderBy(F.desc("mix_taken"))))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("mix_size", size)
-    rows = rows.withColumn("mix_row", F.row_number().over(of_id.orderBy(F.md5("text"))))
-    same = rows["doc_id"].eqNullSafe(taken["mix_id"]) & (rows["mix_size"] == taken["mix_size"]) & (rows["mix_row"] == taken["mix_row"])
-    found = rows.join(taken, same).drop(taken["mix_size"], taken["mix_row"], "mix_id", "mix_row")
-    whole, rest = F.floor(F.col("mix_taken") / F.col("mix_size")), F.col("mix_taken") % F.col("mix_size")
-    copies = F.array_repeat(F.lit(None).cast("long"), whole.cast("int"))
-    parts = F.when(rest > 0, F.concat(copies, F.array(rest))).otherwise(copies)
-    found = found.withColumn("mix_words", F.explode(parts))
-    words = F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.col("mix_words").cast("int"))
-    found = found.withColumn("text", F.when(F.col("mix_words").isNull(), F.col("text")).otherwise(F.array_join(words, "")))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    key, row, taken, size, part = (free_name(name, docs.columns) for name in ("key", "row", "taken", "size", "part"))
+    counts = _taken(*_quotas(docs.select("doc_id", "source", "text"), block_words, by_source=whole), block_words)
+    counts = _whole(counts) if whole else counts
+    counts = counts.where("taken > 0").select(
+        _row_key(F.col("doc_id"), F.col("text_md5"), F.col("source")).alias(key), F.col("taken").alias(taken), F.col("size").alias(size)
+    )
+    counts = Scratch(docs.sparkSession).keep(counts, "counts")
+    rows = docs.withColumn(key, _row_key(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))), F.col("source")))
+    on = [key]
+    if not counts.groupBy(key).count().where("count > 1").isEmpty():
+        alike, on = Window.partitionBy(key), [key, row]
+        counts = counts.withColumn(row, F.row_number().over(alike.orderBy(F.desc(taken))))
+        rows = rows.withColumn(row, F.row_number().over(alike.orderBy(key)))
+    found = rows.join(counts, on)
+    rest = F.col(taken) % F.col(size)
+    copies = F.array_repeat(F.lit(None).cast("long"), F.floor(F.col(taken) / F.col(size)).cast("int"))
+    found = found.withColumn(part, F.explode(F.when(rest > 0, F.concat(copies, F.array(rest))).otherwise(copies)))
+    if not whole:
+        words = F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.col(part).cast("int"))
+        found = found.withColumn("text", F.when(F.col(part).isNull(), F.col("text")).otherwise(F.array_join(words, "")))
+        if "n_chars" in docs.columns:
+            found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*map(quoted, docs.columns))

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.llm import arrow_text
-from logweir.llm.common import Scratch, map_arrow, share_package, union_all
+from logweir.llm.common import Scratch, free_name, map_arrow, mark_possible, quoted, release_memory, share_package, union_all
 from logweir.llm.components import components
 from logweir.llm.shingles import mixed, shingle_sets
 
@@ -68,8 +68,10 @@ SMALL = 32
 #: Classes in a block of a center.
 BLOCK = 2_048
 
-#: Bits (as a power of two) of the map that says which texts may be fetched.
-MAP_BITS = 24
+#: Bytes of text whose sets are made at a time; a longer text comes alone.
+BYTES = 1 << 19
+#: Elements of sets that a signature's symbols are made from at a time.
+STRETCH = 1 << 17
 
 
 @cache
@@ -85,11 +87,15 @@ def signatures(values: np.ndarray, offsets: np.ndarray, layout: Layout = CONTRAC
     """One row of 16-bit symbols for each non-empty set."""
     xor, times, _ = _numbers(layout)
     begins = offsets[:-1][offsets[1:] > offsets[:-1]]
-    found = np.empty((len(begins), layout.symbols), np.uint16)
-    for k in range(layout.symbols if len(begins) else 0):
-        least = np.minimum.reduceat((values ^ xor[k]) * times[k], begins)
-        found[:, k] = (mixed(least) >> np.uint64(48)).astype(np.uint16)
-    return found
+    least = np.full((layout.symbols, len(begins)), np.uint64(2**64 - 1))
+    # Sets of several texts are cut nowhere but at the borders of a stretch, which a long set spans.
+    for at in range(0, len(values) if len(begins) else 0, STRETCH):
+        part = values[at : at + STRETCH]
+        first, last = np.searchsorted(begins, at, side="right") - 1, np.searchsorted(begins, at + len(part))
+        own = np.maximum(begins[first:last] - at, 0)
+        for k in range(layout.symbols):
+            np.minimum(least[k, first:last], np.minimum.reduceat((part ^ xor[k]) * times[k], own), out=least[k, first:last])
+    return (mixed(least) >> np.uint64(48)).astype(np.uint16).T.copy()
 
 
 def index_keys(found: np.ndarray, layout: Layout = CONTRACT) -> np.ndarray:
@@ -102,7 +108,7 @@ def index_keys(found: np.ndarray, layout: Layout = CONTRACT) -> np.ndarray:
 
 
 def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for part in arrow_text.slices(batch):
+    for part in arrow_text.slices(batch, most=BYTES):
         yield part, *shingle_sets(*arrow_text.utf8(part.column("text")))
 
 
@@ -150,22 +156,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists.cast(pa.list_(pa.int64()))], ["id", "shingles"])
 
 
-def _possibly(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without most rows whose id is not in ``ids``, and with all others.
-
-    Ids are marked in a map of ``2**MAP_BITS`` bits, so what is broadcast is bounded
-    (``2**MAP_BITS / 64`` rows) whatever the number of ids; a full map lets all pass.
-    """
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << MAP_BITS))
-    words = ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
-    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
-    marked = docs.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))).withColumn("word", F.shiftright("place", 6))
-    is_set = F.expr("shiftrightunsigned(bits, cast(place % 64 as int)) & 1") == 1
-    return marked.join(F.broadcast(words), "word").where(is_set).select(*docs.columns)
-
-
 def _sets_by_id(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    found = _possibly(docs, ids)
+    found = mark_possible(docs, F.col("doc_id"), ids, "possible").where("possible")
     return map_arrow(found.join(ids, found["doc_id"] == ids["id"], "left_semi").select("doc_id", "text"), _sets, "id long, shingles array<long>")
 
 
@@ -256,7 +248,14 @@ def _links_across(deltas: DataFrame, found: DataFrame, layout: Layout) -> DataFr
     members = members.withColumn("block", F.pmod(F.xxhash64("b"), blocks).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members = members.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    return members.groupBy("a", "low", "high").applyInPandas(lambda rows: _joining_links(rows, layout), "a long, b long")
+
+    def joining(rows: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return _joining_links(rows, layout)
+        finally:
+            release_memory()
+
+    return members.groupBy("a", "low", "high").applyInPandas(joining, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", layout: Layout = CONTRACT) -> DataFrame:
@@ -322,6 +321,17 @@ def _same_id(placed: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", layout: Layout = CONTRACT) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id; all columns as they are."""
-    kept = near_duplicates(docs, doc_id, text, layout).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("kept_id")), "left_semi")
+    """``docs`` with one document of each group, the one with the smallest id; all columns as they are.
+
+    Rows without id stay. Only rows that a bounded map of the ids to drop
+    marks are joined with these; the others go on as they were read.
+    """
+    scratch = Scratch(docs.sparkSession)
+    dropped, possible = (free_name(name, docs.columns) for name in ("dropped", "possible"))
+    ids = near_duplicates(docs, doc_id, text, layout).where("not kept").select(F.col("doc_id").alias(dropped)).distinct()
+    ids = scratch.keep(ids, "dropped")
+    own = F.col(quoted(doc_id)).cast("long")
+    marked = mark_possible(docs, own, ids, possible)
+    some = marked.where(F.col(possible)).join(ids, own == F.col(dropped), "left_anti")
+    columns = [quoted(name) for name in docs.columns]
+    return marked.where(~F.col(possible)).select(*columns).unionAll(some.select(*columns))

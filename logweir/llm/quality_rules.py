@@ -23,7 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.common import free_name, words_of
+from logweir.llm.common import free_name, quoted, words_of
 
 WINDOW = 5
 SYMBOLS = "[#*$%&|<>]"
@@ -130,10 +130,6 @@ def clean_documents(docs: DataFrame, text: str = "text", rules: Rules = RULES) -
     return rows.select(*[quoted(name) for name in own if name not in added], *added)
 
 
-def quoted(name: str) -> str:
-    return f"`{name.replace('`', '``')}`"
-
-
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = RULES) -> DataFrame:
     """``doc_id`` and the figures and verdicts of :func:`clean_documents` for every row; other columns are ignored."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

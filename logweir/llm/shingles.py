@@ -6,6 +6,8 @@ import numpy as np
 
 #: Words in a shingle.
 WORDS = 5
+#: Bytes that are hashed at a time.
+BLOCK = 1 << 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -26,21 +28,14 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of an odd number modulo 2**64, and of its inverse; as many as were asked for."""
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(BLOCK, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << (n - 1).bit_length()
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(cls, name, np.multiply.accumulate(steps))
-        return cls.up[:n], cls.down[:n]
+#: Powers of an odd number modulo 2**64, and of its inverse, for the places of a block.
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 2**64))
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,11 +54,22 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; upper and lower case of A-Z count as equal."""
-    up, down = _Powers.of(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * down[starts]
+    """A 64-bit hash of each word; upper and lower case of A-Z count as equal.
+
+    A word's bytes are weighed by powers of their place in it. Sums run inside
+    blocks, whatever the length of the text; a word over several blocks is the sum of its parts.
+    """
+    hashes = np.zeros(len(starts), np.uint64)
+    for begin in range(0, len(data), BLOCK):
+        part = data[begin : begin + BLOCK]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * _UP[: len(part)], out=sums[1:])
+        first, last = np.searchsorted(ends, begin, side="right"), np.searchsorted(starts, begin + len(part))
+        froms = np.maximum(starts[first:last], begin) - begin
+        own = (sums[np.minimum(ends[first:last] - begin, len(part))] - sums[froms]) * _DOWN[froms]
+        if last > first and starts[first] < begin:
+            own[:1] *= np.uint64(pow(_BASE, int(begin - starts[first]), 2**64))
+        hashes[first:last] += own
     return mixed(hashes + (ends - starts).astype(np.uint64))
 
 

@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from logweir.llm import arrow_text
-from logweir.llm.common import Scratch, map_arrow
+from logweir.llm.common import Scratch, free_name, map_arrow, quoted
 
 #: Labelled documents to learn from, a documented bound of the model; those with the smallest hash of their id.
 SAMPLE = 20_000
+#: Tasks that read the sample.
+TASKS = 24
 #: Letters of a word beginning.
 STEMS = (4, 5, 6, 7)
 #: A term must be in so many toxic documents, and in this share of them.
@@ -120,7 +122,16 @@ class Lexicon:
             weight = whole if ends and whole else stem
             if weight and (begin not in best or end > best[begin][0]):
                 best[begin] = (end, weight)
-        return [(b, e, w) for b, (e, w) in sorted(best.items()) if not any(x <= b and e <= y for x, y in harmless)]
+        # One sweep: how far the phrases that began so far reach.
+        harmless.sort()
+        kept, reach, k = [], 0, 0
+        for begin, (end, weight) in sorted(best.items()):
+            while k < len(harmless) and harmless[k][0] <= begin:
+                reach = max(reach, harmless[k][1])
+                k += 1
+            if end > reach:
+                kept.append((begin, end, weight))
+        return kept
 
     def density(self, text: str) -> float:
         """Sum of weights, damped by the logarithm of the length beyond ``FREE_WORDS`` words."""
@@ -235,7 +246,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int =
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(most)
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    return texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label").limit(most)
+    found = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
+    # An id has one text here, the smallest; the sample is dealt out, so that many tasks learn from it.
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).repartition(TASKS, "doc_id")
 
 
 def learn_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = ()) -> Lexicon:
@@ -246,14 +259,17 @@ def learn_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, excepti
     return lexicon
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+NEW = ("density", "score", "predicted")
+
+
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text", names: tuple[str, str, str] = NEW) -> DataFrame:
     """``docs`` with ``density``, ``score`` (0 to 1, higher is more toxic) and ``predicted`` (1 from 0.5 on).
 
     Null or empty text scores as text without a match. Other columns are kept;
-    ones named like the new columns are replaced.
+    ones named like the new columns, whose ``names`` can be given, are replaced.
     """
     told = (lexicon.weights, lexicon.exceptions, lexicon.slope, lexicon.offset)
-    rows = docs.select(*[name for name in docs.columns if name not in ("density", "score", "predicted")])
+    rows = docs.select(*[quoted(name) for name in docs.columns if name not in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(*told)
@@ -262,15 +278,13 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> Dat
                 densities = np.array([own.density(t) for t in arrow_text.texts(part.column(text))], np.float64)
                 scores = 1.0 / (1.0 + np.exp(-np.clip(own.slope * densities + own.offset, -40.0, 40.0)))
                 new = [pa.array(densities), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "density", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *names])
 
-    new = [StructField("density", DoubleType()), StructField("score", DoubleType()), StructField("predicted", IntegerType())]
+    new = [StructField(name, kind) for name, kind in zip(names, (DoubleType(), DoubleType(), IntegerType()), strict=True)]
     return map_arrow(rows, run, StructType([*rows.schema.fields, *new]))
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``docs`` without the rows predicted toxic, all columns as they are."""
-    scored = score_toxicity(docs.select("doc_id", "text"), lexicon).where("predicted = 1")
-    toxic = scored.select(F.col("doc_id").alias("toxic_id"), F.md5("text").alias("toxic_md5")).distinct()
-    same = docs["doc_id"].eqNullSafe(toxic["toxic_id"]) & F.md5(docs["text"]).eqNullSafe(toxic["toxic_md5"])
-    return docs.join(toxic, same, "left_anti")
+    names = tuple(free_name(name, docs.columns) for name in NEW)
+    return score_toxicity(docs, lexicon, names=names).where(F.col(names[2]) == 0).select(*map(quoted, docs.columns))
