@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm.bpe import decode, encode
-from logweir.llm.common import Scratch, documents
+from logweir.llm.bpe import round_trip
+from logweir.llm.common import Scratch, documents, temporary
 from logweir.llm.exact_dedup import drop_copies
 from logweir.llm.mixing import mixed_documents
 from logweir.llm.near_dedup import CORPUS, drop_near_duplicates
@@ -35,9 +35,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids; the text is the one decoded from these."""
-    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = decode(encode(docs, vocabulary), vocabulary)
-    return decoded.drop("text").withColumnRenamed("decoded", "text").select(*docs.columns, "ids")
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("bpe", bpe)]
@@ -47,9 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What a stage has read or written for itself goes when its result is written."""
     scratch = Scratch(spark)
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), []
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with temporary():
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
+        before = [name]
     return docs
