@@ -43,12 +43,13 @@ def needs_base(query: AggregateQuery) -> bool:
 def sum_rollup(rollup: DataFrame, query: AggregateQuery) -> DataFrame:
     """Counts from the rollup. ``since`` and ``until`` apply to the start of each minute.
 
-    Deltas need not be merged first: they are summed here anyway.
+    Deltas need not be merged first: they are summed here anyway. Counts that
+    deletions have taken off again leave no bucket.
     """
     if needs_base(query):
         raise ValueError("attribute and text filters need the base table")
     rows = apply_filters(rollup, query, "minute")
-    return _ordered(_bucketed(rows, query, "minute", F.sum("count")))
+    return _ordered(_bucketed(rows, query, "minute", F.sum("count")).where(F.col("count") != 0))
 
 
 def _floor_minute(value: datetime) -> datetime:
@@ -83,7 +84,7 @@ def count_exact(logs: DataFrame, rollup: DataFrame, query: AggregateQuery, compl
         (F.col("minute") >= instant(first)) & (F.col("minute") < instant(last))
     )
     parts = whole.select("minute", *columns, "count").unionByName(edges)
-    return _ordered(_bucketed(parts, query, "minute", F.sum("count")))
+    return _ordered(_bucketed(parts, query, "minute", F.sum("count")).where(F.col("count") != 0))
 
 
 def bucket_counts(

@@ -6,6 +6,7 @@ from cases import GOLDEN_NOW, body, entry, golden, requests
 from pyspark.sql import functions as F
 
 from logweir import store as store_module
+from logweir.ledger import Ledger
 from logweir.operators.rollup import minute_counts
 from logweir.params import AggregateQuery, LogQuery, QueryCursor
 from logweir.store import LogStore
@@ -49,7 +50,7 @@ def test_unfinished_batch_is_invisible_and_repeatable(spark, tmp_path, monkeypat
         def fail(*_):
             raise RuntimeError("lost")
 
-        patch.setattr(LogStore, "_put", fail)
+        patch.setattr(Ledger, "add", fail)
         with pytest.raises(RuntimeError):
             store.ingest(requests(spark, body(*logs)), "b2", GOLDEN_NOW)
     assert keys(store.logs()) == EXPECTED[:3]
@@ -205,13 +206,6 @@ def test_index_stays_with_the_table(spark, tmp_path):
         LogStore(spark, str(tmp_path), indexed=("User", "user"))
 
 
-def test_second_writer_is_noticed(spark, tmp_path):
-    store = LogStore(spark, str(tmp_path))
-    store.ingest(requests(spark, body(golden()[0])), "b1", GOLDEN_NOW)
-    with pytest.raises(RuntimeError, match="another writer"):
-        store._enter("b2", 1, 1, 2, [], [])
-
-
 def test_files_of_a_day_are_ranges_of_time(spark, tmp_path):
     rows = [entry(timestamp=f"2011-03-05T{h:02d}:{m:02d}:00Z") for m in range(0, 60, 2) for h in range(24)]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
