@@ -11,6 +11,10 @@ from logweir.session import cut_lineage
 BLOCK = 65_536
 HOT_ROWS = 1_000_000
 SLOTS = 4_096
+#: Rows of a file, at least where fewer files do, and at most.
+FEW_ROWS, MOST_ROWS = 50_000, 2_000_000
+#: Offsets of requests up to this size are sent to all tasks.
+BROADCAST_BYTES = 8 << 20
 MINUTE_MS = 60_000
 
 
@@ -53,7 +57,10 @@ def exclusive_prefix_sum(
 
 def _levels(counts: DataFrame, key: str, block: int = BLOCK) -> int:
     """Levels needed for the key range at hand, so that no window partition exceeds ``block`` rows."""
-    low, high = counts.agg(F.min(key), F.max(key)).first()
+    return _levels_between(*counts.agg(F.min(key), F.max(key)).first(), block)
+
+
+def _levels_between(low: int | None, high: int | None, block: int = BLOCK) -> int:
     levels, keys = 0, 1 if low is None else high - low + 1
     while keys > block:
         keys = keys // block + 2
@@ -64,18 +71,32 @@ def _levels(counts: DataFrame, key: str, block: int = BLOCK) -> int:
 def assign_ids(accepted: DataFrame, first_id: int = 1) -> DataFrame:
     """Consecutive ids in the order ``(request_seq, entry_index)``.
 
-    The same input always gets the same ids, whatever its partitioning. A
-    request has at most 5000 entries, so its window is bounded, and it reuses
-    the shuffle of the join.
+    The same input always gets the same ids, whatever its partitioning. A row's
+    id is the number of rows in requests before its own, plus its place there.
+    Places come from a mask of the request's accepted indexes, at most 5,000 signs, and null
+    where all are. So only indexes are grouped; the rows themselves stay where they are if
+    the offsets and masks are at most ``BROADCAST_BYTES``, and move once otherwise.
     """
-    counts = cut_lineage(accepted.groupBy("request_seq").agg(F.count("*").alias("n")))
-    levels = _levels(counts, "request_seq")
-    offsets = exclusive_prefix_sum(counts, "request_seq", "n", levels=levels).select("request_seq", "before")
-    inside = F.row_number().over(Window.partitionBy("request_seq").orderBy("entry_index"))
+    indexes = F.sort_array(F.collect_list("entry_index")).alias("indexes")
+    grouped = accepted.groupBy("request_seq").agg(indexes).withColumn("n", F.size("indexes").cast("long"))
+
+    def sign(index: Column, k: Column) -> Column:
+        return F.concat(F.repeat(F.lit("0"), index - F.coalesce(F.get("indexes", k - 1), F.lit(-1)) - 1), F.lit("1"))
+
+    mask = F.when(F.col("n") <= F.element_at("indexes", -1), F.array_join(F.transform("indexes", sign), ""))
+    counts = cut_lineage(grouped.select("request_seq", "n", mask.alias("mask")))
+    low, high, size = counts.agg(F.min("request_seq"), F.max("request_seq"), F.sum(24 + F.coalesce(F.length("mask"), F.lit(0)))).first()
+    sums = exclusive_prefix_sum(counts, "request_seq", "n", levels=_levels_between(low, high))
+    offsets = sums.select("request_seq", "before", "mask")
+    if (size or 0) <= BROADCAST_BYTES:
+        offsets = F.broadcast(offsets)
+    inside = F.when(F.col("mask").isNull(), F.col("entry_index") + 1).otherwise(
+        F.length(F.replace(F.substring(F.col("mask"), F.lit(1), F.col("entry_index") + 1), F.lit("0"), F.lit("")))
+    )
     return (
         accepted.join(offsets, "request_seq")
         .withColumn("id", F.lit(first_id - 1) + F.col("before") + inside)
-        .drop("before")
+        .drop("before", "mask")
     )
 
 
@@ -180,3 +201,73 @@ def up_to(position: tuple[int, int]) -> Column:
     """``(timestamp, id) <= position`` (milliseconds and id), in a form that is pushed down."""
     at, number = instant(position[0]), F.lit(position[1])
     return (F.col("timestamp") <= at) & ((F.col("timestamp") < at) | (F.col("id") <= number))
+
+
+def partitions_for(rows: int, at_least: int) -> int:
+    """Partitions of at most ``MOST_ROWS`` rows, and up to ``at_least`` of ``FEW_ROWS``."""
+    return max(1, min(at_least, -(-rows // FEW_ROWS)), -(-rows // MOST_ROWS))
+
+
+def time_ranges(logs: DataFrame, spans: DataFrame, at_least: int, slots: int = SLOTS) -> DataFrame:
+    """``logs`` (with ``timestamp, id``) in partitions of about equal size, each a range of time.
+
+    ``spans`` has the same timestamps. They are counted in ``slots`` equal parts of
+    their range (the driver sees as many counts); slots that follow each other
+    share a partition, and one with more rows than a partition should have is counted again
+    in parts. What no time can divide, a single hot millisecond, is dealt out by id.
+    A row finds its partition by the number of its slot; only in slots that are cut
+    it is compared with the parts.
+    """
+    millis = F.unix_millis("timestamp")
+    low, high, rows = spans.agg(F.min(millis), F.max(millis), F.count("*")).first()
+    n = partitions_for(rows, at_least)
+    if n == 1:
+        return logs.repartitionById(1, F.lit(0))
+    most = -(-rows // n)
+
+    def counted(lo: int, hi: int) -> list[tuple[int, int, int]]:
+        """``(first, last, rows)`` of the slots of ``[lo, hi]`` in order."""
+        width = -(-(hi - lo + 1) // slots)
+        slot = _floor_div(millis - F.lit(lo), width).alias("slot")
+        inside = spans.where((F.col("timestamp") >= F.timestamp_millis(F.lit(lo))) & (F.col("timestamp") < F.timestamp_millis(F.lit(hi + 1))))
+        found = sorted(map(tuple, inside.groupBy(slot).count().collect()))
+        return [(lo + number * width, min(hi, lo + (number + 1) * width - 1), count) for number, count in found]
+
+    def cells(first: int, last: int, count: int) -> list[tuple[int, int]]:
+        """``(first, rows)`` of a slot's parts, none of several milliseconds with over ``most`` rows."""
+        if count <= most or first == last:
+            return [(first, count)]
+        return [cell for part in counted(first, last) for cell in cells(*part)]
+
+    width = -(-(high - low + 1) // slots)
+    # By slot: its partition and the number of them, or where to find those of its parts.
+    places, parts, cut = [0] * slots, [1] * slots, []
+    place, filled = 0, 0
+    for first, last, count in counted(low, high):
+        starts = []
+        for begin, size in cells(first, last, count):
+            if filled and filled + size > most:
+                place, filled = place + 1, 0
+            starts.append((begin, place, max(1, -(-size // most))))
+            filled += size
+            if size > most:
+                place, filled = place + starts[-1][2], 0
+        number = (first - low) // width
+        if len(starts) > 1:
+            cut.append(starts)
+            places[number] = -len(cut)
+        else:
+            _, places[number], parts[number] = starts[0]
+    total = place + (1 if filled else 0)
+
+    number = _floor_div(millis - F.lit(low), width).cast("int") + 1
+    literal = lambda values, kind: F.array(*[F.lit(value).cast(kind) for value in values])
+    of_slot = F.struct(F.element_at(literal(places, "int"), number).alias("place"), F.element_at(literal(parts, "int"), number).alias("parts"))
+    if cut:
+        nested = [[F.array(*[F.lit(start[k]).cast("long") for start in starts]) for starts in cut] for k in range(3)]
+        bounds, firsts, many = (F.element_at(F.array(*each), -F.element_at(literal(places, "int"), number)) for each in nested)
+        at = F.size(F.filter(bounds, lambda bound: bound <= millis))
+        of_part = F.struct(F.element_at(firsts, at).cast("int").alias("place"), F.element_at(many, at).cast("int").alias("parts"))
+        of_slot = F.when(F.element_at(literal(places, "int"), number) < 0, of_part).otherwise(of_slot)
+    partition = of_slot["place"] + F.pmod(F.col("id"), of_slot["parts"]).cast("int")
+    return logs.repartitionById(total, partition.cast("int"))

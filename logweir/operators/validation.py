@@ -201,14 +201,27 @@ def batch_report(states: DataFrame, outcomes: DataFrame) -> DataFrame:
         ).alias("reject"),
         nothing.cast("string").alias("error"),
     )
-    grouped = (
-        envelope.unionByName(entries)
-        .groupBy("request_seq")
-        .agg(
-            F.sum("accepted").alias("accepted"),
-            F.array_sort(F.collect_list("reject")).alias("rejected"),
-            F.max("error").alias("error"),
-        )
+    return _reported(envelope.unionByName(entries))
+
+
+def entry_report(validated: DataFrame) -> DataFrame:
+    """:func:`batch_report` of validated entries and the rows of refused or empty requests, in one pass over them."""
+    is_entry, index = F.col("entry_index").isNotNull(), F.coalesce("entry_index", F.lit(-1))
+    reason = F.when(is_entry, F.col("reason")).when(F.col("error").isNull(), EMPTY_BATCH)
+    rows = validated.select(
+        "request_seq",
+        F.when(is_entry & F.col("reason").isNull(), 1).otherwise(0).alias("accepted"),
+        F.when(reason.isNotNull(), F.struct(index.alias("index"), reason.alias("reason"))).alias("reject"),
+        "error",
+    )
+    return _reported(rows)
+
+
+def _reported(rows: DataFrame) -> DataFrame:
+    grouped = rows.groupBy("request_seq").agg(
+        F.sum("accepted").alias("accepted"),
+        F.array_sort(F.collect_list("reject")).alias("rejected"),
+        F.max("error").alias("error"),
     )
     status = (
         F.when(F.col("error").isNotNull(), "refused")

@@ -55,36 +55,36 @@ def _quoted(text: Column) -> Column:
 def damaged_entry(fault: Column) -> Column:
     """JSON text of a log entry, damaged in the way that ``fault`` (0-31) selects; 20 and up are valid."""
     members = {
-        "timestamp": F.when(fault == 3, F.lit('"2024-02-30T00:00:00Z"'))
+        "timestamp": F.when(fault == 3, F.lit('"2023-04-31T00:00:00Z"'))
         .when(fault == 6, F.lit('"2024-06-01T00:05:00.001Z"'))
         .when(fault == 20, F.lit('"2024-06-01T00:05:00.000Z"'))
         .when(fault == 8, F.lit("1717200000000"))
         .when(fault == 9, F.lit(None))
         .when(fault == 21, F.concat(F.lit('"'), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit('+00:00"')))
         .otherwise(_quoted(iso_timestamp(F.col("timestamp")))),
-        "level": F.when(fault == 0, F.lit('"critical"'))
+        "level": F.when(fault == 0, F.lit('"fatal"'))
         .when(fault == 10, F.lit("5"))
-        .when(fault == 11, F.lit('"ERROR"'))
+        .when(fault == 11, F.lit('"Warn"'))
         .otherwise(_quoted(F.col("level"))),
         "service": F.when(fault == 1, F.lit('" \\t\\u00a0\\ufeff"'))
-        .when(fault == 12, F.lit("42"))
+        .when(fault == 12, F.lit("7.5"))
         .otherwise(_quoted(F.col("service"))),
         "message": F.when(fault == 2, F.lit(None))
         .when(fault == 13, F.lit('""'))
         .when(fault == 14, F.lit("false"))
         .otherwise(_quoted(F.col("message"))),
-        "attributes": F.when(fault == 4, F.lit('{"user":{"id":"42"}}'))
+        "attributes": F.when(fault == 4, F.lit('{"place":{"row":1}}'))
         .when(fault == 5, F.lit("null"))
         .when(fault == 15, F.lit("[]"))
-        .when(fault == 16, F.lit('{"ok":1,"roles":["admin"]}'))
-        .when(fault == 17, F.lit('{"value":null}'))
+        .when(fault == 16, F.lit('{"ok":1,"tags":["x","y"]}'))
+        .when(fault == 17, F.lit('{"note":null}'))
         .when(fault == 18, F.lit('"text"'))
         .when(fault == 22, F.lit(None))
         .when(fault == 23, F.lit("{}"))
         .otherwise(
             F.concat(
-                F.lit('{"user_id":"'), F.col("id") % 50, F.lit('","retries":'), F.col("id") % 4,
-                F.lit(',"success":'), F.when(F.col("id") % 7 != 0, "true").otherwise("false"), F.lit("}"),
+                F.lit('{"crate":"'), F.col("id") % 50, F.lit('","kilos":'), F.col("id") % 4,
+                F.lit(',"sealed":'), F.when(F.col("id") % 7 != 0, "true").otherwise("false"), F.lit("}"),
             )
         ),
         "extra": F.lit("[1,{}]"),
@@ -113,6 +113,27 @@ def payload_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("request_seq", body.alias("body"))
 
 
+def _packed(entries: DataFrame, per_request: int) -> DataFrame:
+    """``(request_seq, body)`` of rows ``id, entry``, in the order of ids."""
+    numbered = entries.select(F.floor(F.col("id") / per_request).alias("request_seq"), F.struct("id", "entry").alias("entry"))
+    packed = numbered.groupBy("request_seq").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+    texts = F.array_join(F.transform("entries", lambda e: e["entry"]), ",")
+    return packed.select("request_seq", F.concat(F.lit('{"logs":['), texts, F.lit("]}")).alias("body"))
+
+
+def good_requests(spark: SparkSession, sf_dir: str, per_request: int) -> DataFrame:
+    """``(request_seq, body)``: the log view in requests of ``per_request`` entries."""
+    return _packed(log_view(spark, sf_dir).select("id", damaged_entry(F.lit(24)).alias("entry")), per_request)
+
+
+def requests_beyond_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(request_seq, body)``: the log view with values that the JSON parser refuses in some entries."""
+    number, nested = F.repeat(F.lit("7"), 1_200), F.concat(F.repeat(F.lit("["), 1_100), F.repeat(F.lit("]"), 1_100))
+    value = F.when(F.col("id") % 10 == 3, number).when(F.col("id") % 10 == 7, nested).otherwise(F.lit("1"))
+    entry = F.replace(damaged_entry(F.lit(23)), F.lit('"attributes":{}'), F.concat(F.lit('"attributes":{"n":'), value, F.lit("}")))
+    return _packed(log_view(spark, sf_dir).select("id", entry.alias("entry")), ENTRIES_PER_REQUEST)
+
+
 def twice_faulty_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(request_seq, body)``: the log view with two bad attributes per entry, ``zeta`` first in even ids."""
     logs = log_view(spark, sf_dir).withColumn("request_seq", F.floor(F.col("id") / ENTRIES_PER_REQUEST))

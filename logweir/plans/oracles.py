@@ -58,24 +58,24 @@ def rollup_counts(seconds: int, where: str = "TRUE", group: str = "CAST(NULL AS
 # Expected outcome of the payload entries, from the fault number alone.
 REASON = """
 CASE id % 32
-  WHEN 0 THEN 'invalid level: ''critical'''
+  WHEN 0 THEN 'invalid level: ''fatal'''
   WHEN 1 THEN 'service must be non-empty'
   WHEN 2 THEN 'message is required and must be a string'
   WHEN 3 THEN 'invalid timestamp'
-  WHEN 4 THEN 'invalid attributes.user: must be string, number, or boolean'
+  WHEN 4 THEN 'invalid attributes.place: must be string, number, or boolean'
   WHEN 5 THEN 'attributes must be a flat object'
   WHEN 6 THEN 'timestamp is more than 5 minutes in the future'
   WHEN 7 THEN 'log entry must be an object'
   WHEN 8 THEN 'timestamp is required and must be a string'
   WHEN 9 THEN 'timestamp is required and must be a string'
   WHEN 10 THEN 'level is required and must be a string'
-  WHEN 11 THEN 'invalid level: ''ERROR'''
+  WHEN 11 THEN 'invalid level: ''Warn'''
   WHEN 12 THEN 'service is required and must be a string'
   WHEN 13 THEN 'message must be non-empty'
   WHEN 14 THEN 'message is required and must be a string'
   WHEN 15 THEN 'attributes must be a flat object'
-  WHEN 16 THEN 'invalid attributes.roles: must be string, number, or boolean'
-  WHEN 17 THEN 'invalid attributes.value: must be string, number, or boolean'
+  WHEN 16 THEN 'invalid attributes.tags: must be string, number, or boolean'
+  WHEN 17 THEN 'invalid attributes.note: must be string, number, or boolean'
   WHEN 18 THEN 'attributes must be a flat object'
   WHEN 19 THEN 'log entry must be an object'
 END"""

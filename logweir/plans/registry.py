@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import UTC, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,6 +106,40 @@ def ingest_entries(spark, sf_dir):
     )
 
 
+#: Of ten entries, the fourth holds a number of 1,200 digits, the eighth 1,100 levels of arrays.
+BEYOND = f"""{LOGS}, sent AS (SELECT id, id // 50 AS request_seq, id % 10 AS form,
+  CAST(row_number() OVER (PARTITION BY id // 50 ORDER BY id) - 1 AS INTEGER) AS entry_index FROM logs)"""
+
+
+@register(
+    "entries_beyond_limits",
+    f"""WITH {BEYOND} SELECT request_seq, entry_index,
+  CASE WHEN form IN (3, 7) THEN 'log entry exceeds the limits of the JSON parser' END AS reason,
+  CASE form WHEN 3 THEN 1200 WHEN 7 THEN 2200 END AS n_raw
+FROM sent""",
+)
+def entries_beyond_limits(spark, sf_dir):
+    """Entries that the parser refuses among good ones; ``n_raw`` counts the digits or brackets of the value kept as raw text."""
+    entries = raw.explode_entries(raw.parse_requests(logview.requests_beyond_limits(spark, sf_dir)))
+    checked = validation.validate_entries(entries, logview.PAYLOAD_NOW)
+    long_value = F.regexp_extract("raw", r'"n":([0-9]+|[\[\]]+)', 1)
+    return checked.select("request_seq", "entry_index", "reason", F.length(F.when(F.col("raw").isNotNull(), long_value)).alias("n_raw"))
+
+
+@register(
+    "oversized_requests",
+    f"""WITH {LOGS}, sizes AS (SELECT id // 6000 AS request_seq, COUNT(*) AS n FROM logs GROUP BY 1)
+SELECT request_seq, CASE WHEN n > 5000 THEN 'refused' ELSE 'ok' END AS status,
+  CASE WHEN n > 5000 THEN 0 ELSE n END AS accepted,
+  CASE WHEN n > 5000 THEN 'logs batch exceeds maximum of 5000' END AS error FROM sizes""",
+)
+def oversized_requests(spark, sf_dir):
+    """Requests of 6,000 entries, and the shorter one at the end."""
+    parsed = raw.explode_requests(raw.parse_requests(logview.good_requests(spark, sf_dir, 6_000)))
+    report = validation.entry_report(validation.validate_entries(parsed, logview.PAYLOAD_NOW))
+    return report.select("request_seq", "status", F.col("accepted").cast("long").alias("accepted"), "error")
+
+
 @register("unnest_columns", f"WITH {LOGS} SELECT {FIELDS} FROM logs")
 def unnest_columns(spark, sf_dir):
     names = ["id", "timestamp", "level", "service", "message"]
@@ -176,9 +211,9 @@ def ingest_rejects(spark, sf_dir):
 @register(
     "ingest_accepted",
     f"""WITH {ENTRIES} SELECT request_seq, entry_index, {iso("ts")} AS timestamp, level, service, message,
-  CASE WHEN has_attributes = 1 THEN CAST(id % 50 AS VARCHAR) END AS user_id,
-  CASE WHEN has_attributes = 1 THEN CAST(id % 4 AS VARCHAR) END AS retries,
-  CASE WHEN has_attributes = 1 THEN CASE WHEN id % 7 <> 0 THEN 'true' ELSE 'false' END END AS success
+  CASE WHEN has_attributes = 1 THEN CAST(id % 50 AS VARCHAR) END AS crate,
+  CASE WHEN has_attributes = 1 THEN CAST(id % 4 AS VARCHAR) END AS kilos,
+  CASE WHEN has_attributes = 1 THEN CASE WHEN id % 7 <> 0 THEN 'true' ELSE 'false' END END AS sealed
 FROM accepted""",
 )
 def ingest_accepted(spark, sf_dir):
@@ -191,7 +226,7 @@ def ingest_accepted(spark, sf_dir):
         "level",
         "service",
         "message",
-        *(search[key].alias(key) for key in ("user_id", "retries", "success")),
+        *(search[key].alias(key) for key in ("crate", "kilos", "sealed")),
     )
 
 
@@ -214,9 +249,7 @@ SELECT request_seq, CASE WHEN kind = 'ok' AND accepted = 0 THEN 'all_rejected' E
 def ingest_report(spark, sf_dir):
     parsed = raw.explode_requests(parsed_payload(spark, sf_dir))
     validated = validation.validate_entries(parsed, logview.PAYLOAD_NOW)
-    report = validation.batch_report(
-        validated.where(F.col("entry_index").isNull()), validated.where(F.col("entry_index").isNotNull())
-    )
+    report = validation.entry_report(validated)
     lines = F.transform("rejected", lambda r: F.concat_ws(" ", r["index"], r["reason"]))
     return report.select("request_seq", "status", "accepted", F.array_join(lines, "|").alias("rejected"), "error")
 
@@ -297,9 +330,9 @@ def entries_with_attributes(spark, sf_dir, attributes) -> DataFrame:
 @register(
     "validate_attributes",
     """SELECT event_id AS id, CASE event_id % 12
-  WHEN 0 THEN 'invalid attributes.user: must be string, number, or boolean'
-  WHEN 1 THEN 'invalid attributes.roles: must be string, number, or boolean'
-  WHEN 2 THEN 'invalid attributes.value: must be string, number, or boolean'
+  WHEN 0 THEN 'invalid attributes.place: must be string, number, or boolean'
+  WHEN 1 THEN 'invalid attributes.tags: must be string, number, or boolean'
+  WHEN 2 THEN 'invalid attributes.note: must be string, number, or boolean'
   WHEN 3 THEN 'attributes must be a flat object'
   WHEN 4 THEN 'attributes must be a flat object'
   WHEN 5 THEN 'attributes must be a flat object'
@@ -310,7 +343,7 @@ END AS reason FROM events""",
 def validate_attributes(spark, sf_dir):
     number = F.col("event_id")
     bad = [
-        '{"user":{"id":"42"}}', '{"ok":"x","roles":["admin"]}', '{"value":null}', "[]", "null", '"text"',
+        '{"place":{"row":1}}', '{"ok":"x","tags":["y"]}', '{"note":null}', "[]", "null", '"text"',
         '{"i":1e400}',
     ]
     forms = [*map(F.lit, bad), F.concat(F.lit('{"key'), number, F.lit('":{}}'))]
@@ -740,6 +773,61 @@ def store_exact_after_retention(spark, sf_dir):
     return shown_buckets(expired(spark, sf_dir).bucket_counts(query, "exact"))
 
 
+def exactly_expired(spark: SparkSession, sf_dir: str) -> LogStore:
+    """The stored payload after a capped cycle that keeps the rollup exact."""
+    store = stored(spark, sf_dir)
+    store.apply_retention(datetime(2024, 2, 5, tzinfo=UTC), days=15, batch_size=100, max_batches=3, exact=True)
+    return store
+
+
+REMAINING_MINUTES = f"""WITH {REMAINING} SELECT {iso("date_trunc('minute', ts)")} AS minute, service, level, COUNT(*) AS count
+FROM remaining GROUP BY ALL"""
+
+
+@register("store_exact_retention", REMAINING_MINUTES)
+def store_exact_retention(spark, sf_dir):
+    return shown_rollup(exactly_expired(spark, sf_dir).rollup())
+
+
+@register("store_exact_retention_compacted", REMAINING_MINUTES)
+def store_exact_retention_compacted(spark, sf_dir):
+    store = exactly_expired(spark, sf_dir)
+    store.compact("some", ["even"])
+    return shown_rollup(store.rollup())
+
+
+@register(
+    "store_exact_retention_buckets",
+    f"""WITH {REMAINING}, hours AS (SELECT {oracles.bucket(3_600)} AS start, level AS "group", COUNT(*) AS count
+FROM remaining WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01' GROUP BY ALL)
+SELECT * FROM hours CROSS JOIN (SELECT unnest(['base', 'exact', 'rollup']) AS source)""",
+)
+def store_exact_retention_buckets(spark, sf_dir):
+    """Counts of the three sources, which agree after an exact cycle."""
+    store = exactly_expired(spark, sf_dir)
+    query = AggregateQuery(bucket="1h", group_by="level", **WHOLE)
+    found = [shown_buckets(store.bucket_counts(query, source)).withColumn("source", F.lit(source)) for source in ("base", "exact", "rollup")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@register(
+    "store_fetch_page",
+    f"""WITH {REMAINING} SELECT number AS id, {iso('ts')} AS timestamp, level, service, message FROM remaining
+WHERE ts >= TIMESTAMP '2024-01-05 06:07:00' AND level = 'error' AND message ILIKE '%declined%' ORDER BY ts DESC, number DESC LIMIT 1000""",
+)
+def store_fetch_page(spark, sf_dir):
+    """Five pages of 200 rows, each behind the cursor of the one before, by filters and a start."""
+    store, query, found = expired(spark, sf_dir), LogQuery(since=SINCE, level="error", q="declined", limit=200), []
+    for _ in range(5):
+        rows, cursor = store.fetch_page(query)
+        found += [(row.id, row.timestamp_millis, row.level, row.service, row.message) for row in rows]
+        if cursor is None:
+            break
+        query = replace(query, cursor=cursor)
+    pages = spark.createDataFrame(found, "id long, millis long, level string, service string, message string")
+    return shown(pages.withColumn("timestamp", F.timestamp_millis("millis")))
+
+
 @register("store_compacted", f"WITH {REMAINING} SELECT number AS id, {iso('ts')} AS timestamp, level, service, message FROM remaining")
 def store_compacted(spark, sf_dir):
     store = expired(spark, sf_dir)

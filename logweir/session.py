@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +38,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, for a small result that is used several times.
 
     Goes to the shared checkpoint folder, so losing an executor costs nothing.
-    Without such a folder ``df`` is computed wherever it is used.
+    Without such a folder ``df`` is kept in the executors' memory or on their disks; what
+    is lost with an executor is then computed again.
     """
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        return df
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df.checkpoint()

@@ -30,7 +30,7 @@ from logweir.ledger import Deletion, Ledger, Segment, Superseded, Version
 from logweir.operators.buckets import bucket_counts
 from logweir.operators.filters import attribute_column, instant
 from logweir.operators.listing import fetch_page
-from logweir.operators.ranking import assign_ids, up_to
+from logweir.operators.ranking import assign_ids, time_ranges, up_to
 from logweir.operators.retention import RetentionPlan, retention_plan
 from logweir.operators.rollup import minute_counts, rollup_scan
 from logweir.operators.validation import (
@@ -183,7 +183,7 @@ class LogStore:
         accepted = add_search_map(accepted) if slow_numbers else accepted.drop("slow_numbers")
         accepted = assign_ids(accepted, first_id)
         indexed = self._indexed(version)
-        self._write_logs(accepted.select("id", *LOG_FIELDS), segment, indexed)
+        self._write_logs(accepted.select("id", *LOG_FIELDS), entries.where(F.col("reason").isNull()), segment, indexed)
         written = self._read("logs", T.StructType([*schema.LOG, LOG_DATE, SEGMENT]), [segment])
         self._write_rollup(minute_counts(written), segment)
 
@@ -210,20 +210,18 @@ class LogStore:
         names = {key.lower(): key for segment in version.live for key in segment.indexed}
         return sorted({**names, **{key.lower(): key for key in self.indexed}}.values())
 
-    def _write_logs(self, logs: DataFrame, segment: str, indexed: list[str]) -> None:
+    def _write_logs(self, logs: DataFrame, spans: DataFrame, segment: str, indexed: list[str]) -> None:
         """One day per file, sorted for row-group skipping.
 
         Tasks get ranges of time, so a hot day, or a hot instant, is split over
-        several files that a short time range does not all touch.
+        several files that a short time range does not all touch. The ranges
+        come from counts of ``spans``, a frame with the same timestamps, instead of a
+        sample of ``logs``, which would be computed twice for it.
         """
         own = {attribute_column(key): F.col("attributes_search")[key] for key in indexed}
         dated = logs.withColumns({**own, "log_date": F.to_date("timestamp")})
-        writer = (
-            dated.repartitionByRange("log_date", "timestamp", "id")
-            .sortWithinPartitions("log_date", "timestamp", "id")
-            .write.mode("overwrite")
-            .partitionBy("log_date")
-        )
+        ranged = time_ranges(dated, spans, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        writer = ranged.sortWithinPartitions("log_date", "timestamp", "id").write.mode("overwrite").partitionBy("log_date")
         for name in own:
             writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
         writer.parquet(self._folder("logs", segment))
@@ -332,7 +330,8 @@ class LogStore:
             old = tuple(sorted(each.name for each in merged))
             part = replace(version, live=merged)
             indexed = self._indexed(version)
-            self._write_logs(self._logs(part).select("id", *LOG_FIELDS), segment, indexed)
+            logs = self._logs(part)
+            self._write_logs(logs.select("id", *LOG_FIELDS), logs, segment, indexed)
             self._write_rollup(rollup_scan(self._deltas(part)), segment)
             for table, layout in (("rejects", schema.REJECT), ("reports", schema.REPORT)):
                 self._read(table, layout, list(old)).write.mode("overwrite").parquet(self._folder(table, segment))

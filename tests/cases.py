@@ -1,14 +1,16 @@
-"""Shared inputs: the base entry and seven logs with the awkward cases of listing and counting."""
+"""Shared inputs: a plain entry, and logs drawn from a seed so that they hold the awkward cases of listing and counting."""
 
 import json
+import random
+from datetime import datetime, timedelta
 
 NOW = "2021-03-09T06:41:00.000Z"
 BASE = {
+    "service": "gauge",
+    "level": "info",
     "timestamp": "2021-03-09T06:41:07.250Z",
-    "level": "warn",
-    "service": "gateway",
-    "message": "lane 3 blocked",
-    "attributes": {"badge": "u7", "tries": 3, "done": False},
+    "attributes": {"load": 0.5, "mast": "b"},
+    "message": "wind from the north",
 }
 GOLDEN_NOW = "2026-08-08T00:00:00Z"
 ABSENT = object()
@@ -19,24 +21,31 @@ def entry(**changes) -> dict:
     return {key: value for key, value in changed.items() if value is not ABSENT}
 
 
-#: ``at, level, service, message, badge, tries, done, hall``: two logs of one instant, one at each side of a bucket
-#: edge, LIKE signs, mixed case, and logs without a hall.
-GOLDEN = [
-    ("2011-03-05T09:10:00.000Z", "warn", "gateway", "lane 3 BLOCKED, first report", "u7", 3, False, "north"),
-    ("2011-03-05T09:10:00.000Z", "debug", "gateway", "lane 3 free", "u7", 0, True, "north"),
-    ("2011-03-05T09:12:30.500Z", "error", "parcel", "Blocked at 50%_gate", "u9", 5, True, "south"),
-    ("2011-03-05T09:14:59.999Z", "info", "gateway", "door shut", "u7", 3, False, None),
-    ("2011-03-05T09:15:00.000Z", "warn", "gateway", "lane 1 blocked", "u7", 3, False, None),
-    ("2011-03-05T11:00:00.000Z", "error", "stock", "count off by 2", "u100", 0, True, None),
-    ("2011-03-06T00:00:00.000Z", "warn", "gateway", "overnight: lane blocked", "u7", 1, False, None),
-]
+FIRST_AT = datetime(2011, 3, 5, 9, 10)
+#: With LIKE signs, a backslash, and words in either case.
+PHRASES = ("crane {} is idle", "CRANE {} Idle again", "at 50% of {} tons", "slot_{} open", "belt\\{} slow", "{} empty")
+
+
+def _places(rng: random.Random) -> list[int]:
+    """Milliseconds after the first log: some at random, two at one instant, both sides of a bucket's edge, the next midnight."""
+    drawn = rng.sample(range(1, 3 * 3_600_000), 5)
+    edge = 300_000 * rng.randint(3, 30)
+    midnight = (FIRST_AT.replace(hour=0, minute=0) + timedelta(days=1) - FIRST_AT) // timedelta(milliseconds=1)
+    return sorted([0, *drawn, rng.choice(drawn), edge - 1, edge, midnight])
 
 
 def golden() -> list[dict]:
+    """Ten logs in the order of time, with text, number and boolean attributes, and one that is often missing."""
+    rng = random.Random(2011)
     found = []
-    for at, level, service, message, *values in GOLDEN:
-        attributes = {k: v for k, v in zip(("badge", "tries", "done", "hall"), values, strict=True) if v is not None}
-        found.append({"timestamp": at, "level": level, "service": service, "message": message, "attributes": attributes})
+    for k, place in enumerate(_places(rng)):
+        at = FIRST_AT + timedelta(milliseconds=place)
+        attributes = {"crate": rng.choice("KLM") + str(rng.randint(1, 2)), "kilos": rng.choice([0, 4, 2.5, -7]), "sealed": rng.random() < 0.4}
+        attributes |= {"dock": rng.choice(["east", "west"])} if rng.random() < 0.5 else {}
+        found.append({
+            "timestamp": at.isoformat(timespec="milliseconds") + "Z", "level": rng.choice(["debug", "info", "warn", "warn", "error"]),
+            "service": rng.choice(["yard", "yard", "scale", "ferry"]), "message": f"{rng.choice(PHRASES).format(rng.randint(1, 3))} ({k})", "attributes": attributes,
+        })
     return found
 
 

@@ -181,9 +181,9 @@ def test_two_stores_on_one_folder(spark, tmp_path, monkeypatch):
         def overtaken(self, found, segment):
             write(self, found, segment)
             patch.setattr(LogStore, "_write_rollup", write)
-            other.apply_retention(datetime(2011, 3, 5, 9, 15, 30, tzinfo=UTC), 0, 1, 2, exact=True)
+            other.apply_retention(datetime.fromisoformat(logs[5]["timestamp"]), 0, 1, 2, exact=True)
 
         patch.setattr(LogStore, "_write_rollup", overtaken)
         one.compact("c")
-    assert one.logs().count() == 5 and one.ledger.newest().names() == ["c"]
+    assert one.logs().count() == len(logs) - 2 and one.ledger.newest().names() == ["c"]
     agree(one)

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweir.operators.filters import instant
-from logweir.operators.ranking import assign_ids, exclusive_prefix_sum, kth_oldest, newest_first_rank
+from logweir.operators import ranking
+from logweir.operators.ranking import assign_ids, exclusive_prefix_sum, kth_oldest, newest_first_rank, time_ranges
 
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
@@ -66,3 +67,46 @@ def test_kth_oldest(spark, finish):
 def test_instant_literal(spark):
     at = datetime(1969, 12, 31, 23, 59, 59, 999_000, UTC)
     assert spark.range(1).select(F.unix_millis(instant(at))).first()[0] == -1
+
+
+@pytest.mark.parametrize("bytes_", [0, 1 << 20])
+def test_ids_with_and_without_a_broadcast(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(ranking, "BROADCAST_BYTES", bytes_)
+    rng = random.Random(9)
+    rows = [(seq, i) for seq in rng.sample(range(10**6), 40) for i in range(rng.randint(1, 60)) if seq % 3 == 0 or rng.random() < 0.5]
+    expected = {row: 1 + n for n, row in enumerate(sorted(rows))}
+    rng.shuffle(rows)
+    found = assign_ids(spark.createDataFrame(rows, "request_seq long, entry_index int").repartition(4))
+    assert {(row.request_seq, row.entry_index): row.id for row in found.collect()} == expected
+
+
+@pytest.mark.parametrize(("n", "slots"), [(1, 16), (4, 16), (7, 5), (40, 4_096), (9, 1)])
+def test_time_ranges(spark, monkeypatch, n, slots):
+    """Partitions are ranges of time of bounded size; only a hot millisecond is in several."""
+    rows = skewed_rows()
+    monkeypatch.setattr(ranking, "FEW_ROWS", -(-len(rows) // n))
+    frame = logs(spark, rows).repartition(3)
+    ranged = time_ranges(frame, frame, n, max(2, slots))
+    found = ranged.select(F.spark_partition_id().alias("p"), F.unix_millis("timestamp").alias("ms"), "id").collect()
+    assert sorted((row.ms, row.id) for row in found) == sorted(rows)
+    spans = {}
+    for row in found:
+        spans.setdefault(row.p, []).append(row.ms)
+    most = -(-len(rows) // n)
+    # The hot millisecond is dealt out by id, about evenly.
+    assert all(len(own) <= most or len({*own}) == 1 and len(own) < 2 * most for own in spans.values())
+    ordered = [(min(own), max(own)) for _, own in sorted(spans.items())]
+    assert all(a[1] < b[0] or a[0] == a[1] == b[0] == b[1] for a, b in zip(ordered, ordered[1:], strict=False))
+    assert n == 1 or len(spans) >= n - 1
+
+
+@pytest.mark.parametrize(("rows", "at_least", "expected"), [(0, 8, 1), (1, 8, 1), (120_000, 8, 3), (10**6, 8, 8), (10**9, 8, 500), (10**9, 2_000, 2_000)])
+def test_partitions_for(rows, at_least, expected):
+    assert ranking.partitions_for(rows, at_least) == expected
+
+
+def test_time_ranges_of_nothing(spark):
+    frame = logs(spark, [])
+    assert time_ranges(frame, frame, 4).count() == 0
+    one = logs(spark, [(5, 1)])
+    assert time_ranges(one, one, 4).count() == 1
