@@ -6,8 +6,11 @@ path and divided by the number of blocks, each path's ratios are smoothed with
 those of the paths beside it, and the two are fused into a score. Paths above
 a threshold are content, and so is the title. The innermost path that holds
 them all, or the article or main element around it, is the article. All its
-blocks are taken but those under tags or classes that mark menus, notices,
-adverts, comments and the like.
+blocks are taken but those under tags or names that mark menus, notices,
+adverts, comments and the like. A name does so if all of it is known
+(``comment-list``); one with a known word in it (``social-impact``) only if what
+is under it has the ratios of a menu: mostly links, or no punctuation at all. Names of
+headings, paragraphs and quotes say nothing.
 """
 
 from __future__ import annotations
@@ -55,6 +58,13 @@ MARGINAL_WORDS = set(
     " masthead topbar footer foot sidebar side widget related recommended recommendations share sharing social comment comments"
     " disqus reply replies respond pagination pager toolbar skip copyright legal complementary contentinfo search form".split()
 )
+#: Words that make no other thing of a marginal one.
+PLAIN_WORDS = set(
+    "list lists post posts box boxes area section wrap wrapper container block blocks button buttons link links item items bar panel slot unit"
+    " inner outer row col column group site page main global left right top bottom primary secondary article story entry content body icons text".split()
+)
+#: Parts whose names are never evidence.
+PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption hgroup tr td th tbody".split())
 #: Marginal at the top of a page, but not inside an article.
 TOP_WORDS = set("header head banner".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？]")
@@ -67,6 +77,13 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
+def _is_known(name: str, inside: bool) -> bool:
+    """Whether all of a class name or id stands for something marginal."""
+    words = [word for word in re.split(r"[^a-z]+", name) if word]
+    marks = [word for word in words if word in MARGINAL_WORDS or not inside and word in TOP_WORDS]
+    return bool(marks) and all(word in marks or word in PLAIN_WORDS for word in words)
+
+
 class _Page:
     """Blocks of one page, with paths as numbers; a path knows the one above it."""
 
@@ -74,6 +91,7 @@ class _Page:
         self.numbers: dict[tuple[int, str], int] = {}
         self.above = [-1]
         self.marginal = [False]
+        self.suspect: list[int] = []
         self.article = [False]
         self.holds = [False]
         self.tags = [""]
@@ -107,22 +125,24 @@ class _Page:
         for name in ENDS.get(tag, {"p"}):
             if self.names[name] and self._near(name):
                 self.end(name)
-        words: set[str] = set()
+        names: set[str] = set()
         hidden = False
         if attributes:
             for name, value in _ATTRIBUTE.findall(attributes):
                 value = value.strip("\"'").lower()
                 hidden |= name.lower() == "hidden" and value != "until-found" or name.lower() == "aria-hidden" and value == "true"
-                words.update(re.split(r"[^a-z0-9]+", value) if name.lower() in ("class", "id", "role") else ())
-            words.discard("")
+                names.update(value.split() if name.lower() in ("class", "id", "role") else ())
         _, path, silent = self.open[-1]
-        key = path, f"{tag}.{'.'.join(sorted(words))}"
+        key = path, f"{tag}.{'.'.join(sorted(names))}"
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.above)
             inside = self.article[path]
-            is_article = tag in ARTICLE or "main" in words
-            marginal = tag in MARGINAL or bool(words & MARGINAL_WORDS) or (not inside and (tag == "header" or bool(words & TOP_WORDS)))
+            is_article = tag in ARTICLE or "main" in names
+            evidence = set() if tag in PROSE else names
+            marginal = tag in MARGINAL or not inside and tag == "header" or any(_is_known(name, inside) for name in evidence)
+            if not marginal and MARGINAL_WORDS & {word for name in evidence for word in re.split(r"[^a-z]+", name)}:
+                self.suspect.append(number)
             self.above.append(path)
             self.tags.append(tag)
             self.marginal.append(self.marginal[path] or marginal and tag not in ("html", "body"))
@@ -150,6 +170,28 @@ class _Page:
                     break
 
 
+def _judge_suspects(page: _Page) -> None:
+    """Mark what is under a doubtful name as marginal if it has the ratios of a menu."""
+    if not page.suspect:
+        return
+    n = len(page.above)
+    size, linked, marked = [0] * n, [0] * n, [False] * n
+    for path, text, in_links in page.blocks:
+        size[path] += len(text)
+        linked[path] += in_links
+        marked[path] = marked[path] or bool(PUNCTUATION.search(text))
+    # Paths are numbered from the root down.
+    for path in range(n - 1, 0, -1):
+        above = page.above[path]
+        size[above] += size[path]
+        linked[above] += linked[path]
+        marked[above] = marked[above] or marked[path]
+    for path in page.suspect:
+        page.marginal[path] |= 2 * linked[path] > size[path] or not marked[path]
+    for path in range(1, n):
+        page.marginal[path] |= page.marginal[page.above[path]]
+
+
 def _hides(attributes: str) -> bool:
     found = [(name.lower(), value.strip("\"'").lower()) for name, value in _ATTRIBUTE.findall(attributes)]
     return any(name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true" for name, value in found)
@@ -157,6 +199,15 @@ def _hides(attributes: str) -> bool:
 
 def _read(content: str) -> _Page:
     page, at = _Page(), 0
+    unended: set[str] = set()
+
+    def end_of(tag: str, at: int) -> int | None:
+        """Where the next closing tag ends; that there is none is found out once."""
+        found = None if tag in unended else re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(content, at)
+        if found is None:
+            unended.add(tag)
+        return found and found.end()
+
     while found := _TOKEN.search(content, at):
         page.text(content[at : found.start()])
         at = found.end()
@@ -165,12 +216,10 @@ def _read(content: str) -> _Page:
             continue
         tag = tag.lower()
         if tag in RAW and not closing:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(content, at)
-            at = end.end() if end else len(content)
+            at = end_of(tag, at) or len(content)
         elif tag in UNSEEN or tag == "svg" and _hides(attributes):
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(content, at)
-                at = end.end() if end else at
+                at = end_of(tag, at) or at
         elif tag in DRAWN:
             page.text(" ")
         elif tag == "a":
@@ -186,6 +235,7 @@ def _read(content: str) -> _Page:
             page.end(tag) if closing else page.begin(tag, attributes)
     page.text(content[at:])
     page.flush()
+    _judge_suspects(page)
     return page
 
 

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -86,3 +87,33 @@ def test_table(spark):
     assert found.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(map(tuple, found.collect()), key=repr) == sorted([(1, "k", "", 0), (2, "k", "A.", 2), (None, "k", "A.", 2)], key=repr)
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+ARTICLE = (
+    '<html><body><nav class="menu"><a href="/">Home</a></nav><article><h1>T</h1><p>First text of the article, it is long enough. Yes.</p>%s'
+    '<p>Last part of the text, also with words.</p><div class="comment-list"><p>Nice one, says a reader.</p></div>'
+    '<div class="ad-slot">Buy now, it is cheap.</div><ul class="share-buttons"><li>Mail it.</li></ul></article></body></html>'
+)
+
+
+@pytest.mark.parametrize(
+    ("part", "text"),
+    [
+        ('<h2 id="related-work">Related work</h2>', "Related work"), ('<h2 id="search">Search</h2>', "Search"),
+        ('<section id="social-impact"><p>Impact, it says.</p></section>', "Impact, it says."), ('<section id="copyright-law"><p>Law.</p></section>', "Law."),
+        ('<div class="side-by-side"><p>Left. Right.</p></div>', "Left. Right."), ('<blockquote class="quote promotion">A quote.</blockquote>', "A quote."),
+        # Names of menus and notices, and doubtful ones with the ratios of a menu.
+        ('<div class="related-posts"><p>Another story, in short.</p></div>', None), ('<div id="newsletter">Get our mail. Weekly.</div>', None),
+        ('<div class="social-things"><a href="/1">Tweet.</a> <a href="/2">Mail.</a></div>', None), ('<div class="search-again">Type here</div>', None),
+    ],
+)
+def test_names_inside_an_article(part, text):
+    lines = ["T", "First text of the article, it is long enough. Yes.", text, "Last part of the text, also with words."]
+    assert main_text(ARTICLE % part) == "\n".join(line for line in lines if line)
+
+
+@pytest.mark.parametrize("part", ["<desc>", "<title>", "<div class='side-note'>", "<p>a <svg>"])
+def test_time_is_in_proportion_to_the_page(part):
+    began = time.monotonic()
+    main_text("<p>x y.</p>" + part * 40_000)
+    assert time.monotonic() - began < 5
