@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from logweir.llm.common import LOWER, UPPER
 from logweir.llm.quality_rules import RULES, SYMBOLS
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -119,7 +120,15 @@ FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
 QUALIFY rank <= 5
 """
 
+OP3_EXACT_DEDUP = f"""
+WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS content FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+    doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(content) AS text_sha256
+FROM texts WINDOW same AS (PARTITION BY content)
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_exact_dedup": OP3_EXACT_DEDUP,
     "op11_filter_audit": OP11_FILTER_AUDIT,
     "op12_quality_rules": OP12_QUALITY_RULES,
     "op13_hard_negatives": OP13_HARD_NEGATIVES,
