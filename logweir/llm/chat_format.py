@@ -4,7 +4,7 @@ Calls and results meet by conversation and identifier in a hash join. Each call
 and result gets a place that respects what it needs: the turn it can come at,
 and its depth among what became possible at that turn. Arguments are checked
 against the parameters of their tool, and every message is written as
-canonical JSON: keys in order, no white space, numbers in shortest form.
+canonical JSON: keys in order, no white space, equal numbers in one form.
 
 All tables are keyed by conversation *and* identifier, and places are sort keys
 instead of row numbers, so a conversation of any length spreads over all tasks.
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.llm.common import Scratch, union_all
+from logweir.session import configure
 
 KEY = ["conv_id", "node_id"]
 
@@ -93,10 +94,12 @@ def validate_arguments(calls: DataFrame, parameters: DataFrame) -> DataFrame:
     """``conv_id, call_id, errors`` of the calls with faulty arguments; ``errors`` is sorted.
 
     ``calls`` has ``conv_id, call_id, tool, arguments`` (JSON text), ``parameters`` has ``tool,
-    parameter, kind, required``. A fault is ``no object``, ``unknown tool``, or
+    parameter, kind, required``. A fault is ``no object`` (a number beyond doubles included), ``unknown tool``, or
     ``missing``, ``unknown`` or ``type`` with the parameter's name. An integer is a number as well.
     """
-    own = calls.select("conv_id", "call_id", "tool", F.try_parse_json("arguments").alias("whole"))
+    configure(calls.sparkSession)
+    whole = F.when(is_finite(F.col("arguments")), F.try_parse_json("arguments"))
+    own = calls.select("conv_id", "call_id", "tool", whole.alias("whole"))
     own = own.withColumn("given", F.from_json(F.to_json("whole"), "map<string,variant>"))
     is_object = F.coalesce(F.schema_of_variant("whole").startswith("OBJECT"), F.lit(False))
     known = own.where(is_object)
@@ -116,9 +119,54 @@ def validate_arguments(calls: DataFrame, parameters: DataFrame) -> DataFrame:
     return faults.groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_list("error")).alias("errors"))
 
 
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_NUMBER = r"-?[0-9][-+0-9.eE]*+"
+
+
+def _number(token: Column) -> Column:
+    """A JSON number as the text of its double: plain from 1e-6 to 1e21, otherwise with an exponent; no zeros at the ends."""
+    value = token.cast("double")
+    # Java's text of the absolute value: digits, a point, digits, perhaps an exponent.
+    text = F.abs(value).cast("string")
+    mantissa, exponent = F.substring_index(text, "E", 1), F.coalesce(F.when(F.contains(text, F.lit("E")), F.substring_index(text, "E", -1)), F.lit("0")).cast("int")
+    whole, rest = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
+    every = F.concat(whole, rest)
+    digits = F.rtrim(F.ltrim(every, F.lit("0")), F.lit("0"))
+    # The point stands behind so many of the digits.
+    point = F.length(whole) + exponent - (F.length(every) - F.length(F.ltrim(every, F.lit("0"))))
+    n = F.length(digits)
+    zeros = lambda k: F.repeat(F.lit("0"), k)
+    scientific = F.concat(
+        F.left(digits, F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""),
+        F.lit("e"), F.when(point > 0, "+").otherwise("-"), F.abs(point - 1).cast("string"),
+    )
+    plain = (
+        F.when((point >= n) & (point <= 21), F.concat(digits, zeros(point - n)))
+        .when((point > 0) & (point <= 21), F.concat(F.left(digits, point), F.lit("."), F.substr(digits, point + 1)))
+        .when((point > -6) & (point <= 0), F.concat(F.lit("0."), zeros(-point), digits))
+        .otherwise(scientific)
+    )
+    return F.when(value == 0, "0").otherwise(F.concat(F.when(value < 0, "-").otherwise(""), plain))
+
+
+def _tokens(json: Column) -> Column:
+    return F.regexp_extract_all(json, F.lit(rf'{_STRING}|{_NUMBER}|[^"0-9-]++'), F.lit(0))
+
+
+def is_finite(json: Column) -> Column:
+    """Whether all numbers of a JSON text are doubles."""
+    return ~F.exists(_tokens(json), lambda token: token.rlike("^-?[0-9]") & (F.abs(token.try_cast("double")) == float("inf")))
+
+
 def canonical(json: Column) -> Column:
-    """JSON text in canonical form; null if it is none. Of repeated keys the last counts if the session allows them."""
-    return F.to_json(F.try_parse_json(json))
+    """JSON text in canonical form: keys in order, no white space, one text for numbers that are the same double.
+
+    Null if it is no JSON or has a number that no finite double stands for. Of
+    repeated keys the last counts (:func:`logweir.session.configure`).
+    """
+    text = F.to_json(F.try_parse_json(json))
+    written = F.transform(_tokens(text), lambda token: F.when(token.rlike("^-?[0-9]"), _number(token)).otherwise(token))
+    return F.when(is_finite(json), F.array_join(written, ""))
 
 
 def format_chat(messages: DataFrame, parameters: DataFrame) -> DataFrame:

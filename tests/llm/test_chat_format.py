@@ -4,9 +4,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from logweir.llm import chat_view, queries
-from logweir.llm.chat_format import format_chat, place_nodes, validate_arguments
+from logweir.llm.chat_format import canonical, format_chat, place_nodes, validate_arguments
 
 SF_DIR = "/root/testdata/sf0.001"
 MESSAGES = "conv_id long, turn long, role string, text string, call_id string, tool string, arguments string, needs array<string>, status string"
@@ -94,3 +95,30 @@ def test_query(spark):
 def test_no_python_in_the_plan(spark):
     plan = queries.op9_chat_format(spark, SF_DIR)._jdf.queryExecution().toString()
     assert "ArrowEvalPython" not in plan and "MapInArrow" not in plan and "Pandas" not in plan and "BatchEvalPython" not in plan
+
+
+NUMBERS = {
+    "0": "0", "-0.0": "0", "1.0": "1", "1e2": "100", "100": "100", "1.50": "1.5", "0.1": "0.1", "1e-1": "0.1", "-25e-1": "-2.5", "1e20": "100000000000000000000",
+    "1e21": "1e+21", "100000000000000000000000000000000000000000": "1e+41", "123456.7e-9": "0.0001234567", "1e-6": "0.000001", "1.5e-7": "1.5e-7",
+    "12345678901234567890": "12345678901234567000", "9007199254740993": "9007199254740992", "1.7976931348623157e308": "1.7976931348623157e+308",
+}
+
+
+def test_equal_numbers_have_one_text(spark):
+    texts = [f'{{"b": [{number}, "1.0 e"], "a": {{"x": {number}}}}}' for number in NUMBERS]
+    rows = spark.createDataFrame([(k, text) for k, text in enumerate(texts)], "k int, t string")
+    found = [row[0] for row in rows.orderBy("k").select(canonical(F.col("t"))).collect()]
+    assert found == [f'{{"a":{{"x":{number}}},"b":[{number},"1.0 e"]}}' for number in NUMBERS.values()]
+
+
+@pytest.mark.parametrize("allowed", ["true", "false"])
+def test_what_has_no_canonical_text(spark, allowed):
+    """Whatever the session said before, repeated keys count once."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", allowed)
+    parameters = spark.createDataFrame([("t", "n", "number", True)], "tool string, parameter string, kind string, required boolean")
+    texts = {"inf": '{"n":1e400}', "minus": '{"n":-1e999}', "text": '{"n":"1e400"}', "twice": '{"n":"x","n":1.0}', "none": "{"}
+    calls = spark.createDataFrame([("c", name, "t", text) for name, text in texts.items()], "conv_id string, call_id string, tool string, arguments string")
+    errors = {row.call_id: row.errors for row in validate_arguments(calls, parameters).collect()}
+    assert errors == {"inf": ["no object"], "minus": ["no object"], "none": ["no object"], "text": ["type n"]}
+    shown = {row.call_id: row.text for row in calls.select("call_id", canonical(F.col("arguments")).alias("text")).collect()}
+    assert shown == {"inf": None, "minus": None, "none": None, "text": '{"n":"1e400"}', "twice": '{"n":1}'}
