@@ -1,7 +1,7 @@
 """Quality classifier on supervised subword embeddings.
 
 A document is the average of learned vectors of its hashed words, pairs of
-neighbouring words and runs of 3 and 5 bytes; a softmax over two classes sits
+neighbouring words and runs of 3 and 5 characters; a softmax over two classes sits
 on top. Both are trained together by stochastic gradient descent in numpy on a
 bounded sample of labelled documents, inside one task. Scoring is linear in the
 vectors, so the product of each vector with the softmax weights is taken once
@@ -35,23 +35,40 @@ _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character, A-Z as a-z, and the offsets of the texts in them.
+
+    A character is a byte that begins one with up to three that go on; its
+    number holds all of them.
+    """
+    begins = (data & 0xC0) != 0x80
+    at = np.flatnonzero(begins)
+    folded = data + np.where((data >= 65) & (data <= 90), 32, 0).astype(np.uint8)
+    codes, inside = folded[at].astype(np.uint64), np.ones(len(at), bool)
+    for k in range(1, 4):
+        there = np.minimum(at + k, max(0, len(data) - 1))
+        inside &= (at + k < len(data)) & ~begins[there]
+        codes |= np.where(inside, folded[there], 0).astype(np.uint64) << np.uint64(8 * k)
+    return codes, np.searchsorted(at, offsets)
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The feature buckets of all texts, and the offsets of the texts in them. An empty text has none."""
     starts, ends, words = word_spans(data, offsets)
     hashes = word_hashes(data, starts, ends)
     pairs = mixed(hashes[:-1] * _PAIR + hashes[1:])
     pairs[hashes[:-1] == hashes[1:]] = _SAME_WORD
-    by_byte = []
-    wide = data.astype(np.uint64)
+    codes, places = characters(data, offsets)
+    by_place = []
     for n in RUNS:
-        run = np.zeros(max(0, len(data) - n + 1), np.uint64)
+        run = np.zeros(max(0, len(codes) - n + 1), np.uint64)
         for k in range(n):
-            run = run * _STEP + wide[k : k + len(run)] + np.uint64(1)
-        by_byte.append(mixed(run + np.uint64(n)))
+            run = run * _STEP + codes[k : k + len(run)] + np.uint64(1)
+        by_place.append(mixed(run + np.uint64(n)))
     found, sizes = [], []
     for text in range(len(offsets) - 1):
-        a, b, begin, end = words[text], words[text + 1], offsets[text], offsets[text + 1]
-        own = [hashes[a:b], pairs[a : max(a, b - 1)], *(run[begin : max(begin, end - n + 1)] for n, run in zip(RUNS, by_byte, strict=True))]
+        a, b, begin, end = words[text], words[text + 1], places[text], places[text + 1]
+        own = [hashes[a:b], pairs[a : max(a, b - 1)], *(run[begin : max(begin, end - n + 1)] for n, run in zip(RUNS, by_place, strict=True))]
         found += own
         sizes.append(sum(map(len, own)))
     buckets = np.concatenate(found) if found else np.empty(0, np.uint64)

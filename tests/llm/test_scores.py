@@ -1,6 +1,8 @@
 """Toxicity and quality: the parts, and held-out accuracy on the test tables."""
 
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -108,3 +110,77 @@ def test_features_by_hand():
     # Two words, one pair and runs of 3 and 5 bytes; nothing; one word alone (no pair across texts) and one run.
     assert np.diff(offsets).tolist() == [2 + 1 + 3 + 1, 0, 1 + 0 + 1 + 0]
     assert found[0] == found[1]
+
+
+def by_hand(lexicon, folded):
+    """Every term and phrase tried at every place."""
+    letter = lambda k: 0 <= k < len(folded) and folded[k].isalpha()
+    phrases = [fold(phrase) for phrase in lexicon.exceptions]
+    spans = [(k, k + len(p)) for p in phrases for k in range(len(folded)) if folded.startswith(p, k) and not letter(k - 1) and not letter(k + len(p))]
+    found = []
+    for begin in range(len(folded)):
+        fitting = []
+        for term, weight in lexicon.weights.items():
+            plain = term.strip("^$")
+            end = begin + len(plain)
+            if folded.startswith(plain, begin) and not letter(begin - 1) and not (term.endswith("$") and letter(end)):
+                fitting.append((end, term.endswith("$"), weight))
+        if fitting:
+            end, _, weight = max(fitting)
+            if not any(a <= begin and end <= b for a, b in spans):
+                found.append((begin, end, weight))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_matches_by_hand(seed):
+    rng = random.Random(seed)
+    words = ["ab", "abc", "abcd", "ba", "bab", "c", "ca"]
+    weights = {f"^{word}{rng.choice(['', '$'])}": rng.choice([1.0, 2.5, -0.5]) for word in words}
+    lexicon = Lexicon(weights, ["ab c", "c abc ab", "ba"])
+    for _ in range(200):
+        text = "".join(rng.choice(["ab", "c", "abcd", " ", " ", "ba", ".", "d"]) for _ in range(rng.randint(0, 25)))
+        assert lexicon.matched(fold(text)) == by_hand(lexicon, fold(text))
+
+
+def test_long_texts_are_matched_in_linear_time():
+    lexicon = Lexicon({"^idiot$": 3.0, "^stup": 2.0}, ["village idiot", "stupid joke"])
+    text = "the village idiot told a stupid joke, idiot! " * 25_000
+    began = time.monotonic()
+    assert len(lexicon.matched(fold(text))) == 25_000 and time.monotonic() - began < 15
+
+
+def test_features_by_hand():
+    """The runs of each text from its characters one by one, whatever stands beside it."""
+    texts = ["", "A", "ab", "Ñandú año", "日本語 の 文", "😀x😀", "aB aB AB", " \n", "é" * 7]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(text.encode()) for text in texts)])
+    whole, places = quality.features(np.frombuffer(data, np.uint8), offsets)
+    mask = 2**64 - 1
+    for k, text in enumerate(texts):
+        codes = [int.from_bytes((c.lower() if c.isascii() else c).encode(), "little") for c in text]
+        runs = []
+        for n in quality.RUNS:
+            for at in range(len(codes) - n + 1):
+                value = 0
+                for code in codes[at : at + n]:
+                    value = (value * int(quality._STEP) + code + 1) & mask
+                runs.append(int(quality.mixed(np.array([(value + n) & mask], np.uint64))[0]) % quality.BUCKETS)
+        own = whole[places[k] : places[k + 1]].tolist()
+        n_words = len(text.split())
+        assert own[n_words + max(0, n_words - 1) :] == runs
+    assert quality.features(np.frombuffer("ÑA".encode(), np.uint8), np.array([0, 3]))[0].tolist() == quality.features(np.frombuffer("Ña".encode(), np.uint8), np.array([0, 3]))[0].tolist()
+
+
+def test_scores_by_hand():
+    rng = np.random.default_rng(3)
+    model = quality.Model(rng.normal(size=quality.BUCKETS).astype(np.float32), 0.25)
+    texts = ["", "some words here", "été à la mer", "x" * 50]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(text.encode()) for text in texts)])
+    found = model.scores(np.frombuffer(data, np.uint8), offsets)
+    for text, score in zip(texts, found, strict=True):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        own = quality.features(raw, np.array([0, len(raw)]))[0].tolist()
+        logit = (sum(float(model.numbers[bucket]) for bucket in own) / len(own) if own else 0.0) + 0.25
+        assert score == pytest.approx(1 / (1 + math.exp(-logit)))
