@@ -15,7 +15,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import cache
+from functools import cache, lru_cache
 from hashlib import sha256
 from itertools import chain
 
@@ -34,7 +34,7 @@ from logweir.llm.transducer import LONGEST, Transducer, compile_transducer, gath
 #: Words in the lexicon, which bounds what the driver gathers and sends.
 LEXICON = 1 << 18
 #: Unseen words that a worker remembers.
-REMEMBERED = 1 << 15
+REMEMBERED = 1 << 17
 #: Bytes of a word up to which pairs are searched one by one.
 SHORT = 64
 #: Greater than any rank.
@@ -142,6 +142,11 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
+def _is_word(unit: str) -> bool:
+    """Whether a piece is letters only, behind a space or not: the split leaves these as they are."""
+    return (unit[1:] if unit[0] == " " else unit).isalpha()
+
+
 def _units(text: str) -> list[str]:
     """``text`` in pieces that the split never crosses: cut before each space, if those are all single ones."""
     split, odd = _splitter()
@@ -202,7 +207,7 @@ class Encoder:
         split, special = _splitter()[0], self.vocabulary.special
         cut = [self._cut(text) for text in texts]
         units = {unit: k for k, unit in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
-        words_of = [[unit] if unit in special else split.findall(unit) for unit in units]
+        words_of = [[unit] if _is_word(unit) or unit in special else split.findall(unit) for unit in units]
         words = {word: k for k, word in enumerate(dict.fromkeys(chain.from_iterable(words_of)))}
         flat, offsets = self._of_words(list(words))
         of_units = np.fromiter(map(words.__getitem__, chain.from_iterable(words_of)), np.int64)
@@ -248,7 +253,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow_text.slices(batch, most=4 * arrow_text.BYTES):
             words: Counter[str] = Counter()
             for unit, n in Counter(chain.from_iterable(map(str.split, arrow_text.texts(part.column("text"))))).items():
-                for word in split.findall(" " + unit):
+                for word in (f" {unit}",) if unit.isalpha() else split.findall(f" {unit}"):
                     words[word] += n
             yield pa.RecordBatch.from_pydict({"word": list(words), "n": list(words.values())})
 
@@ -276,10 +281,16 @@ def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
     return found
 
 
+@lru_cache(maxsize=1)
+def _vocabulary(content: str) -> Vocabulary:
+    """The last vocabulary that a worker has read."""
+    return Vocabulary(content)
+
+
 @contextmanager
 def _tools(content: str, block: bytes) -> Iterator[tuple[Encoder, Decoder]]:
-    """Encoder and decoder for one task; a worker that waits for the next keeps nothing of them."""
-    vocabulary = Vocabulary(content)
+    """Encoder and decoder for one task; a worker that waits for the next keeps the vocabulary only."""
+    vocabulary = _vocabulary(content)
     yield Encoder(vocabulary, Transducer(mapped(block))), Decoder(vocabulary)
 
 
