@@ -5,8 +5,10 @@ import random
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
+from logweir.llm import fingerprints
 from logweir.llm.fingerprints import changed_paragraphs, fingerprint, fingerprint_documents, likeness
 
 
@@ -14,28 +16,59 @@ def md5(text, digits):
     return hashlib.md5(text.encode()).hexdigest()[:digits]
 
 
-def tree(text):
-    """The fingerprint by cutting after blank lines, line breaks, and ends of sentences."""
+ENDS = ".!?\n…。！？．؟।"
+PLACES = regex.compile(f"[{fingerprints._PLACES}]".replace("\\p{P}", "\\p{P}"))
+
+
+def pieces_of(paragraph):
+    """Cut at ends of sentences, longer stretches at the first good place from the 25th character on."""
+    found, at = [], 0
+    while at < len(paragraph):
+        end = next((k for k in range(at, min(at + 81, len(paragraph))) if paragraph[k] in ENDS), None)
+        if end is not None:
+            while end < len(paragraph) and paragraph[end] in ENDS:
+                end += 1
+        else:
+            end = next((k + 1 for k in range(at + 24, min(at + 80, len(paragraph))) if PLACES.match(paragraph[k])), min(at + 80, len(paragraph)))
+        found.append(paragraph[at:end])
+        at = end
+    return found
+
+
+def branches(text):
+    """Sections, each a list of paragraphs, each a tuple of the digests of its pieces."""
     sections = re.findall(r"(?s).+?(?:\n[ \t\r]*\n\s*|\Z)", text)
     assert "".join(sections) == text
     found = []
     for section in sections:
         paragraphs = re.findall(r"[^\n]*\n+|[^\n]+", section)
-        inner = []
-        for paragraph in paragraphs:
-            pieces = re.findall(r"[^.!?\n]{0,80}[.!?\n]+|[^.!?\n]{1,80}", paragraph)
-            assert "".join(pieces) == paragraph
-            inner.append(md5(paragraph, 16) + "=" + ",".join(md5(piece, 8) for piece in pieces))
-        found.append(md5(section, 16) + "=" + ";".join(inner))
-    return hashlib.sha256(text.encode()).hexdigest() + "/" + "|".join(found)
+        found.append([tuple(md5(piece, 16) for piece in pieces_of(paragraph)) for paragraph in paragraphs])
+    return found
+
+
+def tree(text):
+    """The fingerprint from the digests of the pieces upwards."""
+    n = len({piece for section in branches(text) for paragraph in section for piece in paragraph})
+    tops, bodies = [], []
+    for section in branches(text):
+        digests = [md5(",".join(paragraph), 16) for paragraph in section]
+        tops.append(md5(",".join(digests), 16))
+        bodies.append(f"{tops[-1]}=" + ";".join(f"{d}={','.join(p)}" for d, p in zip(digests, section, strict=True)))
+    return f"{hashlib.sha256('|'.join(tops).encode()).hexdigest()}:{n}/{'|'.join(bodies)}"
 
 
 def near(one, other):
+    """By descent over the branches themselves."""
     if one[:64] == other[:64]:
         return 1.0
-    pieces = [{p for s in x[65:].split("|") for q in s.partition("=")[2].split(";") for p in q.partition("=")[2].split(",") if p} for x in (one, other)]
-    both = len(pieces[0]) + len(pieces[1])
-    return min(0.999999, 2 * len(pieces[0] & pieces[1]) / both) if both else 0.0
+    a, b = ([[tuple(p.partition("=")[2].split(",")) for p in s.partition("=")[2].split(";")] for s in x.partition("/")[2].split("|") if s] for x in (one, other))
+    both = sum(int(x[65:].partition("/")[0]) for x in (one, other))
+    differing = 0
+    for own, others in ((a, b), (b, a)):
+        paragraphs = {p for s in own if s not in others for p in s}
+        known = {p for s in others if s not in own for p in s}
+        differing += len({x for p in paragraphs - known for x in p} - {x for p in known - paragraphs for x in p})
+    return min(0.999999, 1 - differing / both) if both else 0.0
 
 
 def texts(n=120):
@@ -93,6 +126,28 @@ def test_changes_are_located(spark):
     assert found[2][0] == ["1.1", "2.0"] and found[3] == ([], 0.0) and found[4] == (["0.0"], 0.0)
 
 
+@pytest.mark.parametrize("kind", ["日本語文字列", "abcdefghijklmnop", "한국어문장", "слово", "x9y8 "])
+def test_an_inserted_character_changes_little(spark, kind):
+    """Also in a long stretch without any sign."""
+    rng = random.Random(kind)
+    text = "".join(rng.choice("あいうえおかきくけこのはにを" + "漢字仮名交文章" if kind[0] == "日" else kind) for _ in range(4_000))
+    middle = text[:2_000] + "Q" + text[2_000:]
+    frame = spark.createDataFrame([(text, "Q" + text), (text, middle), (text, text[:-1])], "one string, other string")
+    found = [row[0] for row in frame.select(likeness(fingerprint(F.col("one")), fingerprint(F.col("other")))).collect()]
+    assert all(0.9 < x < 1 for x in found)
+
+
+def test_rows_of_one_id_are_dealt_out(table, spark):
+    """A third of the rows have one id, a third have none; each still meets the row that follows it."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}. " * (1 + i % 4)) for i in range(240)]
+    found = fingerprints.with_next(table(rows).select("doc_id", "text"), ["text"])
+    placed = [(row.text, row.next_text) for row in found.collect()]
+    order = found.select("doc_id", "text", F.xxhash64("text").alias("tie")).orderBy(F.desc_nulls_last("doc_id"), "tie").collect()
+    assert sorted(placed) == sorted((row.text, order[(k + 1) % len(order)].text) for k, row in enumerate(order))
+    sizes = fingerprints._placed(table(rows).select("doc_id", "text"), 12).groupBy("range").count()
+    assert sizes.count() >= 10 and sizes.agg(F.max("count")).first()[0] < 50
+
+
 def test_no_python_in_the_plan(table):
     plan = fingerprint_documents(table([(1, "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
