@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logweir.functions.attributes import add_search_map, ordered_keys
 from logweir.functions.timestamps import iso_timestamp
 from logweir.operators.validation import BEYOND_LIMITS, NOT_AN_OBJECT, batch_report, rejected_rows, settle_attribute_order, validate_entries
-from logweir.sources.requests import explode_entries, explode_requests, parse_requests
+from logweir.sources.requests import BLOCK, PIECES, explode_entries, explode_requests, parse_requests
 
 FLAT = "attributes must be a flat object"
 
@@ -192,6 +192,18 @@ def test_cutting_takes_a_time_in_proportion_to_the_length(spark, shape):
     assert seconds(64_000) < 40 * max(few, 0.2)
 
 
+def test_brackets_in_a_row_are_one_piece(spark):
+    """The steps through a body follow its entries, not its brackets; cuts hold across blocks of steps."""
+    bad = '{"n":{"m":%s}}' % DEEP
+    sent = [bad, json.dumps(entry()), DEEP, '{"n":%s}' % LONG] * (BLOCK // 8)
+    text = '{"logs":[%s]}' % ", ".join(sent)
+    row = requests(spark, text).select(F.regexp_extract_all("body", F.lit(PIECES), F.lit(0)).alias("pieces")).first()
+    assert "".join(row.pieces) == text and BLOCK < len(row.pieces) < 8 * len(sent)
+    rows = validate_entries(explode_entries(parse_requests(requests(spark, text))), NOW).orderBy("entry_index").collect()
+    refused = [(BEYOND_LIMITS, text) for text in sent[:4]]
+    assert [(row.reason, row.raw) for row in rows] == [refused[0], (None, None), refused[2], refused[3]] * (BLOCK // 8)
+
+
 def test_ordered_keys(spark):
     text = '{"b":1,"2":1,"a":{"x":1},"01":1,"10":1,"4294967295":1,"b":2,"0":1}'
     found = spark.createDataFrame([(text,)], "t string").select(ordered_keys(F.col("t"))).first()[0]
