@@ -110,3 +110,15 @@ def test_time_ranges_of_nothing(spark):
     assert time_ranges(frame, frame, 4).count() == 0
     one = logs(spark, [(5, 1)])
     assert time_ranges(one, one, 4).count() == 1
+
+
+def test_time_ranges_from_few_literals(spark, monkeypatch):
+    """A literal for each slot kept the driver busy for half a minute a batch; hot slots are cut in few literals, too."""
+    made, lit = [], F.lit
+    monkeypatch.setattr(F, "lit", lambda value: made.append(value) or lit(value))
+    hot = F.when(F.col("id") % 3 == 0, 86_400_000 + F.col("id") % 7).otherwise(F.col("id") * 997)
+    frame = spark.range(400_000).select("id", F.timestamp_millis(hot).alias("timestamp"))
+    ranged = time_ranges(frame, frame, 16).groupBy(F.spark_partition_id().alias("part"))
+    sizes = ranged.agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).orderBy("first", "last", "part").collect()
+    assert len(made) < 200 and sum(size.n for size in sizes) == 400_000 and max(size.n for size in sizes) <= 50_000
+    assert all(one.last <= other.first for one, other in zip(sizes, sizes[1:]))
