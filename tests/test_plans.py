@@ -2,12 +2,14 @@
 
 import pytest
 from cases import GOLDEN_NOW, body, golden, requests
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from logweir.operators.filters import apply_filters
 from logweir.operators.listing import list_logs
 from logweir.operators.validation import accepted_rows, rejected_rows, validate_entries
 from logweir.params import AggregateQuery, LogQuery, QueryCursor
+from logweir.plans import logview
 from logweir.sources.requests import explode_entries, parse_requests
 from logweir.store import LogStore
 
@@ -74,3 +76,10 @@ def test_filters_do_not_repeat_the_parse(spark):
 def test_no_python_and_no_cross_join(spark, name):
     text = plan(entry_points.queries()[name](spark, SF_DIR))
     assert "EvalPython" not in text and "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_requests_are_spread_and_rejects_settled_in_one_pass(spark):
+    for made in (logview.requests_beyond_limits, logview.twice_faulty_requests):
+        assert made(spark, "/root/testdata/sf0.01").select(F.spark_partition_id()).distinct().count() > 4
+    # One reading for the rejects, one for the bodies.
+    assert plan(entry_points.queries()["reject_order"](spark, SF_DIR)).count("FileScan parquet") == 2
