@@ -12,12 +12,13 @@ import heapq
 import json
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache, lru_cache
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, count, islice
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,12 @@ from logweir.llm.transducer import LONGEST, Transducer, compile_transducer, gath
 
 #: Words in the lexicon, which bounds what the driver gathers and sends.
 LEXICON = 1 << 18
-#: Unseen words that a worker remembers.
-REMEMBERED = 1 << 17
+#: Units that a task remembers or counts before it begins anew, some 200 bytes each.
+REMEMBERED = 1 << 18
 #: Bytes of a word up to which pairs are searched one by one.
 SHORT = 64
+#: Words merged side by side.
+ABREAST = 1 << 14
 #: Greater than any rank.
 NONE = (1 << 62, -1)
 #: White space of the split pattern.
@@ -58,12 +61,12 @@ def _kind(first: str) -> str:
 
 
 @cache
-def _splitter() -> tuple[re.Pattern, re.Pattern]:
-    """The split of byte-level BPE, and what shows that a text's words do not all stand behind single spaces."""
+def _splitter() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """The split of byte-level BPE, what shows that a text's words do not all stand behind single spaces, and single line ends."""
     letter, number = _kind("L"), _kind("N")
     # The order of the alternatives decides the split.
     split = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-    return re.compile(split), re.compile(rf" (?:[{SPACE}]|\Z)")
+    return re.compile(split), re.compile(rf" (?:[{SPACE}]|\Z)"), re.compile(rf"\n(?<=[^{SPACE}]\n)(?=[^{SPACE}])")
 
 
 @cache
@@ -87,6 +90,15 @@ class Vocabulary:
         for rank, pair in enumerate(read["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
+        # The merges again as arrays: sorted pairs, their ranks, and the merged id of each rank.
+        pairs = np.fromiter((left << 32 | right for left, right in self.merges), np.int64, len(self.merges))
+        found = np.fromiter(chain.from_iterable(self.merges.values()), np.int64).reshape(-1, 2)
+        order = np.argsort(pairs)
+        self._pairs, self._ranks = np.append(pairs[order], 1 << 62), np.append(found[order, 0], NONE[0])
+        self._merged = np.zeros(len(read["model"]["merges"]), np.int64)
+        self._merged[found[:, 0]] = found[:, 1]
+        bytes_ids = self._byte_ids = np.array([*self.of_byte, -1], np.int64)
+        self._byte_ranks = self._pair_ranks(bytes_ids[:, None], bytes_ids).ravel()
         self.special = {token["content"]: token["id"] for token in read["added_tokens"]}
         self.bytes_of = {ids[token]: content for token, content in raw.items()}
         self.bytes_of |= {number: text.encode() for text, number in self.special.items()}
@@ -113,6 +125,76 @@ class Vocabulary:
                 ranks[i - 1] = rank((ids[i - 1], best[1]), NONE)
         return ids
 
+    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids; a pair that never merges, or with -1 in it, has one greater than any."""
+        pairs = left << 32 | right
+        place = np.searchsorted(self._pairs, pairs)
+        return np.where(self._pairs[place] == pairs, self._ranks[place], NONE[0])
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words as of :meth:`merge`, one after the other, and the number of each word's ids."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        flats, counts, begin = [], [], 0
+        while begin < len(order):
+            # Words of about the same length, so a block has few empty places.
+            longest = max(8, 2 * int(lengths[order[begin]]))
+            end = min(begin + ABREAST, int(np.searchsorted(lengths, min(longest, SHORT), side="right", sorter=order)))
+            if end > begin:
+                some, own = self._merge_block([words[k] for k in order[begin:end].tolist()])
+            else:
+                end = begin + 1
+                some = np.array(self.merge(words[order[begin]]), np.int32)
+                own = np.array([len(some)])
+            flats.append(some)
+            counts.append(own)
+            begin = end
+        if not flats:
+            return np.empty(0, np.int32), lengths
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return gathered(np.concatenate(flats), starts(np.concatenate(counts)), place)
+
+    def _merge_block(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """One merge of every word at a time: each column holds the ids of a word, linked from place to place.
+
+        A place knows the rank of the pair that begins there, with the place in
+        the low bits, so the least one of a column is the leftmost of the lowest
+        rank. The last row is empty: it stands before and behind a word.
+        """
+        n, lengths = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        width = int(lengths.max())
+        bits = width.bit_length()
+        codes = np.full((width + 1) * n, 256, np.int64)
+        row = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        codes[row * n + np.repeat(np.arange(n), lengths)] = np.frombuffer(b"".join(words), np.uint8)
+        ids = self._byte_ids[codes]
+        none = NONE[0] >> bits << bits
+        rank = np.full((width + 1) * n, none)
+        place = np.repeat(np.arange(width), n)
+        first = self._byte_ranks[codes[:-n] * 257 + codes[n:]]
+        rank[:-n] = np.where(first < NONE[0], first << bits | place, none)
+        following = np.arange(n, (width + 2) * n)
+        before = np.concatenate((np.arange(width * n, (width + 1) * n), np.arange(width * n)))
+        columns = rank.reshape(width + 1, n)
+
+        while True:
+            least = columns.min(axis=0)
+            at = np.flatnonzero(least < none)
+            if not len(at):
+                break
+            least = least[at]
+            i = (least & (1 << bits) - 1) * n + at
+            j = following[i]
+            k, h = following[j], before[i]
+            ids[i] = merged = self._merged[least >> bits]
+            ids[j], rank[j] = -1, none
+            following[i], before[k] = k, i
+            for place, found in ((i, self._pair_ranks(merged, ids[k])), (h, self._pair_ranks(ids[h], merged))):
+                rank[place] = np.where(found < NONE[0], found << bits | place // n, none)
+        ids = ids.reshape(width + 1, n).T
+        return ids[ids >= 0].astype(np.int32), (ids >= 0).sum(axis=1)
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap of pairs over a linked list, so a very long word costs little more than its length."""
         merges = self.merges
@@ -142,19 +224,37 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
-def _is_word(unit: str) -> bool:
-    """Whether a piece is letters only, behind a space or not: the split leaves these as they are."""
-    return (unit[1:] if unit[0] == " " else unit).isalpha()
+def _words(unit: str) -> list[str]:
+    """The words of a unit: letters, behind a space or a line end or neither, and the marks behind them need no pattern."""
+    core = unit.rstrip(punctuation)
+    if core.isalpha() or core[:1] == " " and core[1:].isalpha():
+        found = [core]
+    elif core[:1] == "\n" and core[1:].isalpha():
+        found = ["\n", core[1:]]
+    else:
+        return _splitter()[0].findall(unit)
+    return found if len(core) == len(unit) else [*found, unit[len(core) :]]
 
 
 def _units(text: str) -> list[str]:
-    """``text`` in pieces that the split never crosses: cut before each space, if those are all single ones."""
-    split, odd = _splitter()
+    """``text`` in units that the split never crosses: cut at each space, if those are all single ones, and at single line ends.
+
+    A unit behind a space is written without it, one that begins with a line end
+    as it is, any other with a space at its end.
+    """
+    split, odd, line_end = _splitter()
     if odd.search(text):
-        return split.findall(text)
-    first, *others = text.split(" ")
-    units = [" " + word for word in others]
-    return [first, *units] if first else units
+        return [word + " " for word in split.findall(text)]
+    units = (line_end.sub(" \n", text) if "\n" in text else text).split(" ")
+    if not units[0]:
+        return units[1:]
+    units[0] += " "
+    return units
+
+
+def _written(unit: str) -> str:
+    """What stands in the text for a unit of :func:`_units`."""
+    return unit[:-1] if unit[-1] == " " else unit if unit[0] == "\n" else " " + unit
 
 
 class Encoder:
@@ -162,7 +262,12 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.unseen: dict[bytes, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # Units seen so far with their numbers, and by number their ids.
+        self.units: defaultdict[str, int] = defaultdict(count().__next__)
+        self.flat, self.offsets = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def _cut(self, text: str) -> list[str]:
         """The units of ``text``; special tokens stand alone."""
@@ -170,50 +275,43 @@ class Encoder:
         if pattern is None or not pattern.search(text):
             return _units(text)
         parts = pattern.split(text)
-        return list(chain.from_iterable([part] if k % 2 else _units(part) for k, part in enumerate(parts) if part))
-
-    def _merged(self, word: bytes) -> list[int]:
-        """The ids of a word that the lexicon does not hold; the last ones are remembered."""
-        found = self.unseen.get(word)
-        if found is None:
-            found = self.vocabulary.merge(word)
-            if len(word) <= LONGEST:
-                if len(self.unseen) >= REMEMBERED:
-                    self.unseen.clear()
-                self.unseen[word] = found
-        return found
+        return list(chain.from_iterable([part + " "] if k % 2 else _units(part) for k, part in enumerate(parts) if part))
 
     def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, one after the other, and their offsets."""
         special = self.vocabulary.special
         raw = [word.encode() for word in words]
         ranks = self.lexicon.ranks(raw)
-        # Unseen words stand behind the known ones, and every word is then picked from where it is.
-        unseen = np.flatnonzero(ranks < 0).tolist()
-        merged = [[special[words[k]]] if words[k] in special else self._merged(raw[k]) for k in unseen]
+        # Special tokens and unseen words stand behind the known ones, and every word is then picked from where it is.
+        fixed = [k for k, word in enumerate(words) if word in special]
+        ranks[fixed] = -2
+        unseen = np.flatnonzero(ranks == -1)
+        merged, counts = self.vocabulary.merge_all([raw[k] for k in unseen.tolist()])
         known, lengths = self.lexicon.entries(ranks[ranks >= 0])
-        flat = np.concatenate((known, np.fromiter(chain.from_iterable(merged), np.int32)))
+        flat = np.concatenate((known, np.array([special[words[k]] for k in fixed], np.int32), merged))
         place = np.empty(len(words), np.int64)
-        place[ranks >= 0] = np.arange(len(lengths))
-        place[unseen] = np.arange(len(lengths), len(words))
-        return _picked(flat, np.concatenate((lengths, np.fromiter(map(len, merged), np.int64, len(merged)))), place)
+        place[np.concatenate((np.flatnonzero(ranks >= 0), np.array(fixed, np.int64), unseen))] = np.arange(len(words))
+        return _picked(flat, np.concatenate((lengths, np.ones(len(fixed), np.int64), counts)), place)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the offsets of the texts in them.
-
-        Distinct units are split into words, distinct words are looked up; both
-        are then put together by position.
-        """
-        split, special = _splitter()[0], self.vocabulary.special
-        cut = [self._cut(text) for text in texts]
-        units = {unit: k for k, unit in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
-        words_of = [[unit] if _is_word(unit) or unit in special else split.findall(unit) for unit in units]
-        words = {word: k for k, word in enumerate(dict.fromkeys(chain.from_iterable(words_of)))}
-        flat, offsets = self._of_words(list(words))
+    def _learn(self, units: list[str]) -> None:
+        """Add the ids of new units: these are split into words, distinct words are looked up."""
+        special = self.vocabulary.special
+        words_of = [[unit] if unit in special else _words(unit) for unit in map(_written, units)]
+        words: defaultdict[str, int] = defaultdict(count().__next__)
         of_units = np.fromiter(map(words.__getitem__, chain.from_iterable(words_of)), np.int64)
-        flat, offsets = _joined(flat, offsets, of_units, np.fromiter(map(len, words_of), np.int64, len(words_of)))
-        of_texts = np.fromiter(map(units.__getitem__, chain.from_iterable(cut)), np.int64)
-        return _joined(flat, offsets, of_texts, np.fromiter(map(len, cut), np.int64, len(cut)))
+        flat, offsets = _joined(*self._of_words(list(words)), of_units, np.fromiter(map(len, words_of), np.int64, len(words_of)))
+        self.offsets = np.concatenate((self.offsets, offsets[1:] + len(self.flat)))
+        self.flat = np.concatenate((self.flat, flat))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the offsets of the texts in them, put together from the ids of units."""
+        if len(self.units) >= REMEMBERED or len(self.flat) >= 4 * REMEMBERED:
+            self._forget()
+        cut, known = [self._cut(text) for text in texts], len(self.units)
+        of_texts = np.fromiter(map(self.units.__getitem__, chain.from_iterable(cut)), np.int64)
+        if len(self.units) > known:
+            self._learn(list(islice(self.units, known, None)))
+        return _joined(self.flat, self.offsets, of_texts, np.fromiter(map(len, cut), np.int64, len(cut)))
 
 
 class Decoder:
@@ -248,14 +346,22 @@ def _joined(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray, sizes: np.
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    split = _splitter()[0]
+    units: Counter[str] = Counter()
     for batch in batches:
-        for part in arrow_text.slices(batch, most=4 * arrow_text.BYTES):
-            words: Counter[str] = Counter()
-            for unit, n in Counter(chain.from_iterable(map(str.split, arrow_text.texts(part.column("text"))))).items():
-                for word in (f" {unit}",) if unit.isalpha() else split.findall(f" {unit}"):
-                    words[word] += n
-            yield pa.RecordBatch.from_pydict({"word": list(words), "n": list(words.values())})
+        for part in arrow_text.slices(batch):
+            units.update(chain.from_iterable(map(str.split, arrow_text.texts(part.column("text")))))
+            if len(units) >= REMEMBERED:
+                yield _word_counts(units)
+                units.clear()
+    yield _word_counts(units)
+
+
+def _word_counts(units: Counter[str]) -> pa.RecordBatch:
+    words: defaultdict[str, int] = defaultdict(int)
+    for unit, n in units.items():
+        for word in _words(f" {unit}"):
+            words[word] += n
+    return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
@@ -299,8 +405,10 @@ def _sent(docs: DataFrame, vocabulary_file: str, text: str, lexicon_words: int)
     with open(vocabulary_file, encoding="utf-8") as file:
         content = file.read()
     vocabulary = Vocabulary(content)
-    words = (word.encode() for word in frequent_words(docs.select(F.col(text).alias("text")), lexicon_words))
-    block = compile_transducer({word: vocabulary.merge(word) for word in words})
+    words = [word.encode() for word in frequent_words(docs.select(F.col(text).alias("text")), lexicon_words)]
+    flat, lengths = vocabulary.merge_all(words)
+    ids, places = flat.tolist(), starts(lengths).tolist()
+    block = compile_transducer({word: ids[a:b] for word, a, b in zip(words, places, places[1:], strict=False)})
     return docs.sparkSession.sparkContext.broadcast((content, block))
 
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -29,6 +30,12 @@ def texts(spark):
     return [row.text for row in docs.select("text").collect()] + odd_texts()
 
 
+@pytest.fixture
+def vocabulary():
+    with open(BYTE_BPE, encoding="utf-8") as file:
+        return bpe.Vocabulary(file.read())
+
+
 def test_transducer():
     rng = random.Random(1)
     words = {bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 9))): tuple(rng.randrange(99) for _ in range(rng.randint(0, 4))) for _ in range(3_000)}
@@ -63,6 +70,52 @@ def test_bytes_that_are_no_text():
     assert bpe.Decoder(vocabulary).decode(np.array(half), np.array([0, 1])) == ["�"]
 
 
+def test_merges_side_by_side(vocabulary):
+    rng = random.Random(5)
+    words = [bytes(rng.choice(b"  aeinrst,\xc3\xa9") for _ in range(rng.randint(0, 70))) for _ in range(3_000)]
+    words += [b"", b"a", *(letter * n for letter in (b"a", b" ", b"-", b"\xff") for n in (2, 3, 7, 8, 9, 16, 63, 64, 65, 200))]
+    ids, lengths = vocabulary.merge_all(words)
+    ends = np.cumsum(lengths).tolist()
+    assert [ids[b - n : b].tolist() for b, n in zip(ends, lengths.tolist(), strict=True)] == [vocabulary.merge(word) for word in words]
+    assert [len(found) for found in vocabulary.merge_all([])] == [0, 0]
+
+
+def test_a_unit_is_worked_out_once(vocabulary, monkeypatch):
+    """No word of usual length is merged by itself, and a unit seen before costs a look-up only."""
+    alone, together, merge_all = [], [], vocabulary.merge_all
+    monkeypatch.setattr(vocabulary, "merge", lambda word: alone.append(word))
+    monkeypatch.setattr(vocabulary, "merge_all", lambda words: together.append(len(words)) or merge_all(words))
+    encoder = bpe.Encoder(vocabulary, Transducer(compile_transducer({})))
+    words = [f"thonre{k:x}ing" for k in range(1_000)]
+    first, second = (encoder.encode([" ".join(words)])[0].tolist() for _ in range(2))
+    assert first == second and not alone and len(together) == 1
+
+
+def test_forgotten_units(vocabulary, monkeypatch, texts):
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    encoder, library = bpe.Encoder(vocabulary, Transducer(compile_transducer({}))), Tokenizer.from_file(BYTE_BPE)
+    for k in range(0, 600, 20):
+        ids, offsets = encoder.encode(texts[k : k + 20])
+        exact = [found.ids for found in library.encode_batch(texts[k : k + 20], add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == exact
+
+
+def test_line_ends_and_marks(vocabulary):
+    rng = random.Random(7)
+    parts = ["a", "Wort", "é", "1", "½", "'s", "'", "it's", "***", "_", ".", "\n", "\n", "\n\n", "\r", "\x85", "\x1c", " ", " ", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    ids, offsets = bpe.Encoder(vocabulary, Transducer(compile_transducer({}))).encode(texts)
+    exact = [found.ids for found in Tokenizer.from_file(BYTE_BPE).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == exact
+
+
+def test_words_are_counted_over_slices():
+    """A word goes to the shuffle once for all the slices of a task while few enough are known."""
+    batch = pa.RecordBatch.from_pydict({"text": ["same words, again " * 100_000] * 5})
+    found = [row for part in bpe._counted(iter([batch, batch])) for row in part.to_pylist()]
+    assert sorted((row["word"], row["n"]) for row in found) == [(" again", 1_000_000), (" same", 1_000_000), (" words", 1_000_000), (",", 1_000_000)]
+
+
 def test_bpe_of_a_table(table, texts):
     rows = [*enumerate(texts[:300]), (900, None), (901, ""), (901, ""), (None, "a b")]
     docs = table(rows)
